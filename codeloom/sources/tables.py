@@ -52,3 +52,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def micros(ts: Column) -> Column:
     """Timestamp (with or without zone) as epoch microseconds."""
     return F.unix_micros(ts.cast("timestamp"))
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes a table into the shared folder of spark.checkpoint.dir and reads it back: a compressed checkpoint.
+
+    The files outlive the loss of any executor; the plan behind them is cut off.
+    """
+    sc = df.sparkSession.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if base is None:  # unset, as in tests
+        checkpoint_dir = sc._jsc.sc().getCheckpointDir()
+        base = checkpoint_dir.get() if checkpoint_dir.isDefined() else os.path.join(tempfile.gettempdir(), "codeloom-checkpoints")
+    out = f"{base}/codeloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
