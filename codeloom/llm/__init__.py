@@ -1,3 +1,3 @@
 """Operators for language-model training data. Nothing outside this subpackage imports it."""
 
-MODULES = ["codeloom.llm.tokenize"]
+MODULES = ["codeloom.llm.tokenize", "codeloom.llm.truncation"]
