@@ -157,7 +157,7 @@ def _one_task(links: DataFrame, with_paths: bool) -> DataFrame:
         path = _paths(parent, ids, f.circle, seg) if with_paths else [None] * len(ids)
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.string()), pa.array(ids[root[at]], pa.string()), pa.array(f.offset[at]), pa.array(f.circle[at]), pa.array([path[i] for i in at], pa.list_(pa.string()))], schema=schema)
 
-    return links.coalesce(1).mapInArrow(run, "top string, root string, up_offset long, up_circle boolean, up_path array<string>")
+    return links.repartition(1).mapInArrow(run, "top string, root string, up_offset long, up_circle boolean, up_path array<string>")
 
 
 def _doubling(links: DataFrame) -> DataFrame:
