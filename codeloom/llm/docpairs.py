@@ -192,16 +192,16 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p2_pairs(spark, sf_dir: str) -> DataFrame:
-    """symbol_id, kind, signature and the description without its markers."""
+    """symbol_id, kind, signature and the description: the lines that say something, without markers."""
     p = symbol_pairs(table(spark, sf_dir, "symbols"))
-    return p.select(F.col("holder").alias("symbol_id"), "kind", F.trim("signature").alias("signature"), F.trim(F.array_join(F.filter(comment_lines(F.col("doc")), lambda x: x != ""), "\n")).alias("description"))
+    return p.select(F.col("holder").alias("symbol_id"), "kind", F.trim("signature").alias("signature"), F.trim(F.array_join(F.filter(comment_lines(F.col("doc")), lambda x: ~x.rlike(TRIVIAL_LINE)), "\n")).alias("description"))
 
 
 def p2_source_pairs(spark, sf_dir: str) -> DataFrame:
     """The same from whole source texts: path, line, kind, name, signature, description."""
     spans = source_spans(table(spark, sf_dir, "sources"), file_languages(table(spark, sf_dir, "files")))
     p = documented(attach(spans))
-    return p.select(F.col("holder").alias("path"), F.col("pos").cast("int").alias("line"), "kind", "name", "signature", F.trim(F.array_join(F.filter(comment_lines(F.col("doc")), lambda x: x != ""), "\n")).alias("description"))
+    return p.select(F.col("holder").alias("path"), F.col("pos").cast("int").alias("line"), "kind", "name", "signature", F.trim(F.array_join(F.filter(comment_lines(F.col("doc")), lambda x: ~x.rlike(TRIVIAL_LINE)), "\n")).alias("description"))
 
 
 QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p2_source_pairs": p2_source_pairs}
