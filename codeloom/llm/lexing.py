@@ -14,7 +14,7 @@ PATTERNS = {
     "c": rf"(?P<comment>{_LINE}|{_BLOCK})|(?P<string>{_TRIPLE}|{_DQ})|{_CHAR}",
     "cs": rf'(?P<comment>{_LINE}|{_BLOCK})|(?P<string>[$@]*@[$@]*"(?:[^"]|"")*(?:"|\Z)|{_TRIPLE}|{_DQ})|{_CHAR}',
     "go": rf"(?P<comment>{_LINE}|{_BLOCK})|(?P<string>{_DQ}|`[^`]*(?:`|\Z))|{_CHAR}",
-    "rust": rf'(?P<comment>{_LINE}|{_BLOCK})|(?P<string>\bb?r(?P<h>#*)"(?:.*?)(?:"(?P=h)|\Z)|"(?:[^"\\]|\\.)*(?:"|\Z))|{_CHAR}',
+    "rust": rf'(?P<comment>{_LINE}|{_BLOCK})|(?P<string>\bb?r(?P<h>#*)"(?:.*?)(?:"(?P=h)|\Z)|{_DQ})|{_CHAR}',
     "ts": rf"(?P<comment>{_LINE}|{_BLOCK})|(?P<string>{_DQ}|{_SQ}|{_TICK})",
     "hash": rf"(?P<comment>\#[^\n]*)|(?P<string>{_TRIPLE}|'''(?:[^\\]|\\.)*?(?:'''|\Z)|{_DQ}|{_SQ})",
     "dash": rf"(?P<comment>--\[(?P<h>=*)\[.*?(?:\](?P=h)\]|\Z)|--[^\n]*)|(?P<string>{_DQ}|{_SQ}|\[(?P<g>=*)\[.*?(?:\](?P=g)\]|\Z))",
@@ -54,7 +54,9 @@ _SIGNS = {k: re.compile(v, re.M) for k, v in SIGNS.items()}
 
 def real_language(body: str, claimed: str | None) -> str | None:
     """The claimed language, unless another one's constructs are clearly more in the text."""
+    own = len(_SIGNS[claimed].findall(body)) if claimed in _SIGNS else 0
+    if own >= 4:  # a text in another language has hardly any of this one's constructs
+        return claimed
     scores = {k: sum(1 for _ in p.finditer(body)) for k, p in _SIGNS.items()}
     best = max(scores, key=lambda k: scores[k])
-    own = scores.get(claimed, 0) if claimed else 0
     return best if scores[best] >= 2 and scores[best] > 2 * own else claimed if claimed in FAMILY or not scores[best] else best
