@@ -1,3 +1,3 @@
 """The modules whose QUERIES and ORACLES make up the engine's registry."""
 
-MODULES = ["codeloom.operators.orphans", "codeloom.operators.hierarchy"]
+MODULES = ["codeloom.operators.orphans", "codeloom.operators.hierarchy", "codeloom.operators.lookup", "codeloom.operators.stats"]
