@@ -1,3 +1,12 @@
 """The modules whose QUERIES and ORACLES make up the engine's registry."""
 
-MODULES = ["codeloom.operators.orphans", "codeloom.operators.hierarchy", "codeloom.operators.lookup", "codeloom.operators.stats"]
+MODULES = [
+    "codeloom.operators.orphans",
+    "codeloom.operators.hierarchy",
+    "codeloom.operators.lookup",
+    "codeloom.operators.stats",
+    "codeloom.operators.graph",
+    "codeloom.operators.tags",
+    "codeloom.operators.search",
+    "codeloom.functions.text",
+]
