@@ -9,4 +9,6 @@ MODULES = [
     "codeloom.operators.tags",
     "codeloom.operators.search",
     "codeloom.functions.text",
+    "codeloom.operators.incremental",
+    "codeloom.streaming.watch",
 ]
