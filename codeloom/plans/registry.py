@@ -11,4 +11,5 @@ MODULES = [
     "codeloom.functions.text",
     "codeloom.operators.incremental",
     "codeloom.streaming.watch",
+    "codeloom.sources.extract",
 ]
