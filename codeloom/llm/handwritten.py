@@ -4,8 +4,8 @@ A random forest judges each text by what generators leave in it: compression rat
 identifiers, comment density, and measures of repetition, lines and literals. It is trained anew on every corpus: labels
 are the notices in file headers ("code generated by ...", a library's banner) and the names by which minifiers mark
 their output, and these headers are cut off before the features are taken, so that the forest learns the text behind
-them. Texts without a notice are the other class; as some of them are generated as well, the forest is fitted twice, and
-the second time without those that the first took for cases.
+them. Texts without a notice are the other class; as some of them are generated as well, forests fitted on either half
+judge the other half first, and the final one is fitted without the texts they took for cases.
 
 A path is found if the forest says so, or if the evidence that labels (notice, path) is there, or if the text is, by
 five-word shingles, a library file of the reference items, whole or slightly changed.
@@ -172,7 +172,7 @@ def fit(labelled: DataFrame, train_rows: int, seed: int = 7):
     part = F.pmod(F.xxhash64("body_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
     sample = labelled.filter(part < F.when(F.col("label") == 1, keep[1.0]).otherwise(keep[0.0]))
     weight = F.when(F.col("label") == 1, 1.0 / max(1, count[1.0] * keep[1.0])).otherwise(1.0 / max(1, count[0.0] * keep[0.0])) * F.lit(float(min(train_rows, sum(count.values()))) / 2)
-    return RandomForestClassifier(numTrees=40, maxDepth=8, minInstancesPerNode=2, seed=seed, labelCol="label", featuresCol="x", weightCol="w", featureSubsetStrategy="sqrt").fit(sample.select("x", "label", weight.alias("w")).coalesce(4))
+    return RandomForestClassifier(numTrees=40, maxDepth=7, minInstancesPerNode=3, seed=seed, labelCol="label", featuresCol="x", weightCol="w", featureSubsetStrategy="sqrt").fit(sample.select("x", "label", weight.alias("w")).coalesce(4))
 
 
 def judged(sources: DataFrame, library: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -186,13 +186,21 @@ def judged(sources: DataFrame, library: DataFrame, train_rows: int = TRAIN_ROWS,
     x = t.filter("feats is not null").withColumn("x", array_to_vector("feats")).withColumn("sure", F.col("notice") | F.col("minified_name") | F.col("data"))
     positive = x.filter("sure").select("body_id", "x", F.lit(1.0).alias("label"))
     other = x.filter("not sure and not by_path and lib is null").select("body_id", "x", F.lit(0.0).alias("label"))
-    model = fit(positive.unionByName(other), train_rows)
-    if model is None:
-        return t.select("path", "body_id", "notice", "by_path", "data", "lib", F.lit(None).cast("double").alias("p"))
+    labelled = positive.unionByName(other).withColumn("fold", F.pmod(F.xxhash64("body_id", F.lit(11)), F.lit(2)))
+    folds = [fit(labelled.filter(f"fold = {k}"), train_rows // 2) for k in (0, 1)]
+    if None in folds:
+        model = fit(labelled, train_rows)
+        if model is None:
+            return t.select("path", "body_id", "notice", "by_path", "data", "lib", F.lit(None).cast("double").alias("p"))
+        scored = model.transform(labelled)
+    else:  # each half is judged by the forest of the other, which hasn't seen its labels
+        scored = folds[1].transform(labelled.filter("fold = 0")).unionByName(folds[0].transform(labelled.filter("fold = 1")))
     score = vector_to_array("probability")[1]
     # Once more, without the unlabelled texts that look like cases and without notices on what looks hand-written.
-    again = model.transform(positive.unionByName(other)).filter(F.when(F.col("label") == 1, score >= 0.5).otherwise(score < 0.2)).select("body_id", "x", "label")
-    model = fit(again, train_rows) or model
+    again = materialise(scored.filter(F.when(F.col("label") == 1, score >= 0.5).otherwise(score < 0.2)).select("body_id", "x", "label"))
+    model = fit(again, train_rows)
+    if model is None:
+        model = fit(labelled, train_rows)
     p = model.transform(x.select("path", "body_id", "x")).select("path", "body_id", score.alias("p"))
     return t.join(p, ["path", "body_id"], "left").select("path", "body_id", "notice", "by_path", "data", "lib", "p")
 
