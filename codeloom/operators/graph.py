@@ -22,6 +22,7 @@ LAYERS = ["api", "controllers", "controller", "services", "service", "domain", "
 
 def callers(edges: DataFrame, name: str, depth: int = 1) -> DataFrame:
     """Calls that reach `name` through at most `depth` calls, with the level at which each was first reached."""
+    edges = materialise(edges) if depth > 1 else edges  # every level reads them
     frontier = edges.sparkSession.createDataFrame([(name,)], "symbol_name string")
     seen = frontier.select(F.col("symbol_name").alias("name"))
     out = None
@@ -45,7 +46,7 @@ def call_graph(edges: DataFrame, df: DataFrame, entry: str, max_depth: int = 3)
     """(nodes, edges) of a breadth-first walk over names with a definition; a name's node is its first definition."""
     w = Window.partitionBy("name").orderBy("file_path", "start_line", "id")
     first = df.filter(F.col("kind").isin(FUNCTION_KINDS)).withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("id", "name", "file_path", "start_line", "end_line")
-    steps = edges.join(first.select(F.col("id").alias("caller_id"), F.col("name").alias("caller_name")), ["caller_id", "caller_name"], "left_semi").select("caller_name", F.col("symbol_name").alias("callee_name")).distinct()
+    steps = edges.select("caller_id", "caller_name", "symbol_name").distinct().join(first.select(F.col("id").alias("caller_id"), F.col("name").alias("caller_name")), ["caller_id", "caller_name"], "left_semi").select("caller_name", F.col("symbol_name").alias("callee_name")).distinct()
     steps = materialise(steps.join(first.select(F.col("name").alias("callee_name")), "callee_name", "left_semi"))
     frontier = first.filter(F.col("name") == entry).select("name", F.lit(0).alias("depth"))
     nodes = frontier

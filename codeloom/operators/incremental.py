@@ -65,7 +65,7 @@ def changed_symbols(changes: DataFrame, df: DataFrame) -> DataFrame:
 
 def hunk_lines(diff: DataFrame, key: str, header: str) -> DataFrame:
     """(key, line): new-side lines of hunk headers '@@ -a,b +c,d @@'; d is 1 where it's missing, and 0 gives none."""
-    start = F.regexp_extract(header, r"^@@ -\d+(?:,\d+)? \+(\d+)", 1).cast("int")
+    start = F.regexp_extract(header, r"^@@ -\d+(?:,\d+)? \+(\d+)", 1).try_cast("int")
     n = F.regexp_extract(header, r"^@@ -\d+(?:,\d+)? \+\d+,(\d+)", 1)
     count = F.when(n == "", 1).otherwise(F.expr("try_cast(n as int)"))
     d = diff.withColumn("n", n).select(key, start.alias("s"), count.alias("c")).filter("s is not null and c > 0")
