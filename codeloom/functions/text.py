@@ -135,6 +135,18 @@ def dictionary_encode(df: DataFrame, column: str, order: str) -> DataFrame:
     return first.withColumn("code", (F.row_number().over(Window.orderBy("first", "value")) - 1).cast("int")).select("value", "code")
 
 
+def dictionary_decode(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
+    """Rows whose `column` is a code, with the value instead; unknown codes give null."""
+    return df.join(codes.select(F.col("code").alias(column), F.col("value").alias("_v")), column, "left").withColumn(column, F.col("_v")).drop("_v")
+
+
+def dictionary_extend(codes: DataFrame, df: DataFrame, column: str, order: str) -> DataFrame:
+    """Codes of the values a dictionary hasn't yet, going on from its greatest: what a session must send."""
+    new = df.join(codes.select(F.col("value").alias(column)), column, "left_anti")
+    top = codes.agg(F.coalesce(F.max("code") + 1, F.lit(0)).alias("top"))
+    return dictionary_encode(new, column, order).crossJoin(F.broadcast(top)).select("value", (F.col("code") + F.col("top")).alias("code"))
+
+
 def makefile_targets(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, target) of lines 'target:' that are no pattern, variable or hidden target."""
     t = F.regexp_extract("line", r"^([A-Za-z0-9_][\w.-]*)\s*:(?!=)", 1)
@@ -153,6 +165,16 @@ def _docs(s, d):
     return table(s, d, "documents").select("doc_id", "text", "created_at")
 
 
+def _coded(s, d):
+    return table(s, d, "documents").withColumn("o", F.struct(F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0)).alias("t"), "doc_id"))
+
+
+def _roundtrip(s, d):
+    codes = dictionary_encode(_coded(s, d), "source", "o")
+    coded = _coded(s, d).join(codes.withColumnRenamed("value", "source"), "source", "left").select("doc_id", "code")
+    return dictionary_decode(coded, codes, "code").select("doc_id", F.col("code").alias("source"))
+
+
 _PKG = "concat('{\"name\": \"p', doc_id, '\", \"scripts\": {\"build\": \"make ', coalesce(lang, ''), '\", \"unit-test\": \"run ', doc_id, '\", \"start\": \"node x\"}}')"
 _MAKE = "concat('.PHONY: all', chr(10), 'all: build', chr(10), chr(9), 'echo ', doc_id, chr(10), 'VAR := 1', chr(10), 'test', doc_id % 7, ':', chr(10), '%.o: x', chr(10))"
 
@@ -181,7 +203,9 @@ QUERIES = {
     "doc_section": lambda s, d: section(_docs(s, d), "doc_id", "text", "install"),
     "fqdn": lambda s, d: fqdn(symbols(s, d, _SYMS)),
     "go_receiver": lambda s, d: symbols(s, d, _SYMS).filter("language = 'go'").select("id", go_receiver(F.col("signature")).alias("receiver")),
-    "dict_encode": lambda s, d: dictionary_encode(table(s, d, "documents").withColumn("o", F.struct(F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(0)).alias("t"), "doc_id")), "source", "o"),
+    "dict_encode": lambda s, d: dictionary_encode(_coded(s, d), "source", "o"),
+    "dict_roundtrip": _roundtrip,
+    "dict_delta": lambda s, d: dictionary_extend(dictionary_encode(_coded(s, d).filter("doc_id % 4 = 0 and source < 'q'"), "source", "o"), _coded(s, d), "source", "o").select("value"),
     "makefile_targets": lambda s, d: makefile_targets(_made(s, d, _MAKE), "doc_id", "text"),
     "package_scripts": lambda s, d: package_scripts(_made(s, d, _PKG), "doc_id", "text"),
 }
@@ -197,6 +221,9 @@ ORACLES = {
     "fqdn": f"WITH {SYM} SELECT id, CASE language WHEN 'go' THEN concat(string_split(regexp_replace(file_path, '\\.[^./]*$', ''), '/')[-2], '.', name) WHEN 'rust' THEN concat(replace({_REL}, '/', '::'), '::', name) ELSE concat(replace({_REL}, '/', '.'), '.', name) END AS fqdn FROM sym",
     "go_receiver": f"WITH {SYM} SELECT id, nullif(regexp_extract(signature, '^func\\s*\\(\\s*\\w*\\s*\\*?\\s*([A-Za-z_]\\w*)\\s*\\)', 1), '') AS receiver FROM sym WHERE language = 'go'",
     "dict_encode": "SELECT source AS value, (row_number() OVER (ORDER BY f, source) - 1)::INT AS code FROM (SELECT source, min((coalesce(epoch_us(created_at), 0), doc_id)) AS f FROM documents WHERE source IS NOT NULL GROUP BY 1)",
+    "dict_roundtrip": "SELECT doc_id, source FROM documents",
+    "dict_delta": "SELECT DISTINCT source AS value FROM documents WHERE source IS NOT NULL AND source NOT IN (SELECT source FROM documents WHERE doc_id % 4 = 0 AND source < 'q')",
+    "doc_command_blocks": f"WITH {_LI}, f AS (SELECT *, sum(CASE WHEN starts_with(ltrim(line, ' '), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS k, sum(CASE WHEN starts_with(ltrim(line, ' '), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS z FROM li), b AS (SELECT doc_id, min(n) AS n, regexp_extract(ltrim(arg_min(line, n), ' '), '^`+\\s*(\\S*)', 1) AS language, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT starts_with(ltrim(line, ' '), '```')), '') AS content FROM f WHERE k % 2 = 1 AND k < z GROUP BY doc_id, k) SELECT doc_id, n FROM b WHERE language IN ('" + "','".join(SHELLS) + "') OR regexp_matches(content, '^\\s*(?:\\$ |cargo |npm |pip |make |docker |git )')",
     "makefile_targets": "SELECT DISTINCT doc_id, unnest(['all', concat('test', doc_id % 7)]) AS target FROM documents",
     "package_scripts": "SELECT doc_id, unnest(['build', 'unit-test', 'start']) AS script, unnest([concat('make ', lang), concat('run ', doc_id), 'node x']) AS command, unnest(['build', 'test', 'run']) AS role FROM documents",
 }

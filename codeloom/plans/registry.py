@@ -12,4 +12,5 @@ MODULES = [
     "codeloom.operators.incremental",
     "codeloom.streaming.watch",
     "codeloom.sources.extract",
+    "codeloom.operators.project",
 ]

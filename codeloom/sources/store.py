@@ -39,6 +39,9 @@ def delete_files(tables: dict[str, DataFrame], paths: DataFrame) -> dict[str, Da
     return {name: t.join(gone.withColumnRenamed("path", FILE_COLUMN[name]), FILE_COLUMN[name], "left_anti") if name in FILE_COLUMN else t for name, t in tables.items()}
 
 
+SCHEMA_VERSION = 1
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -49,8 +52,11 @@ class SnapshotStore:
     def _pointer(self) -> dict:
         p = f"{self.root}/current.json"
         if not self._fs.exists(self._path(p)):
-            return {"revision": 0, "tables": {}}
-        return json.loads(self.spark.read.text(p, wholetext=True).first()[0])
+            return {"schema": SCHEMA_VERSION, "revision": 0, "tables": {}}
+        found = json.loads(self.spark.read.text(p, wholetext=True).first()[0])
+        if found.get("schema") != SCHEMA_VERSION:
+            raise ValueError(f"the index has schema {found.get('schema')}, this engine reads {SCHEMA_VERSION}")
+        return found
 
     @property
     def revision(self) -> int:
@@ -81,6 +87,10 @@ class SnapshotStore:
             raise OSError(f"the pointer of {self.root} could not be moved")
         return rev
 
+    def clear(self) -> int:
+        """An empty index as a new revision; every table keeps its columns."""
+        return self.commit({n: t.limit(0) for n, t in self.tables().items()})
+
     def merge(self, updates: dict[str, DataFrame], removed: DataFrame | None = None, order: str | None = None) -> int:
         """Removes the files (column path), then upserts the updates; nothing to do leaves the revision as it is."""
         old = self.tables()

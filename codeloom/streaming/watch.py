@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codeloom.sources.store import SnapshotStore
@@ -61,6 +62,32 @@ def apply_changes(changes: DataFrame, store: SnapshotStore, extract, checkpoint:
     return (q.trigger(availableNow=True) if once else q).start()
 
 
+class Progress(StreamingQueryListener):
+    """Counts batches and rows of all streams of a session; percent and remaining time against a known total."""
+
+    def __init__(self, total: int | None = None):
+        self.total, self.rows, self.batches, self.seconds, self.failed = total, 0, 0, 0.0, 0
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.rows += event.progress.numInputRows
+        self.batches += 1
+        self.seconds += event.progress.batchDuration / 1000
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.failed += event.exception is not None
+
+    def state(self) -> dict:
+        done = None if not self.total else round(100 * min(1, self.rows / self.total), 1)
+        left = None if not self.total or not self.rows else round(self.seconds / self.rows * max(0, self.total - self.rows), 1)
+        return {"rows": self.rows, "batches": self.batches, "percent": done, "eta_seconds": left, "failed": self.failed}
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """Runs a stream over all that is there into a table in memory; for tests and small results."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()

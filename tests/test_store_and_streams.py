@@ -1,10 +1,11 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.sources.extract import extract_all
 from codeloom.sources.store import SnapshotStore, delete_files, upsert
-from codeloom.streaming.watch import accepted, apply_changes, debounced, events_stream, run_to_table
+from codeloom.streaming.watch import Progress, accepted, apply_changes, debounced, events_stream, run_to_table
 
 
 def test_upsert_keeps_the_last_and_null_keys(spark):
@@ -24,6 +25,11 @@ def test_cascade_and_revisions(spark, tmp_path):
     assert [r.id for r in s.read("symbols").collect()] == ["2"] and s.read("imports").count() == 0
     assert delete_files({"other": sym}, gone)["other"].count() == 2
     assert SnapshotStore(spark, f"file://{tmp_path}/store").revision == 2 and s.merge({}) == 2
+    assert s.clear() == 3 and s.read("symbols").count() == 0
+    (tmp_path / "store" / "current.json").write_text('{"schema": 99, "revision": 1, "tables": {}}')
+    (tmp_path / "store" / ".current.json.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="schema 99"):
+        s.revision  # noqa: B018
 
 
 def test_changes_stream_into_snapshots(spark, tmp_path):
@@ -53,3 +59,10 @@ def test_debounce_and_versions(spark, tmp_path):
     s = events_stream(spark, f"{tmp_path}/e").select(F.col("user_id").alias("doc"), F.col("v").alias("version"), F.col("event_id").alias("arrival"))
     got = run_to_table(accepted(s, "doc", "version"), "t_accepted", "append").collect()
     assert sorted((r.doc, r.version, r.accepted) for r in got) == [(1, 4, False), (1, 5, True), (1, 6, True), (2, 1, True)]
+
+
+def test_progress_counts():
+    p = Progress(total=10)
+    event = type("E", (), {"progress": type("P", (), {"numInputRows": 4, "batchDuration": 2000})})
+    p.onQueryProgress(event)
+    assert p.state() == {"rows": 4, "batches": 1, "percent": 40.0, "eta_seconds": 3.0, "failed": 0}
