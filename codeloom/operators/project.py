@@ -25,19 +25,29 @@ PRIMARY = {"cargo": "rust", "npm": "typescript", "maven": "java", "gradle": "kot
 IMPORTANT = ["README.md", "CONTRIBUTING.md", "ARCHITECTURE.md", "CHANGELOG.md", "Cargo.toml", "package.json", "pyproject.toml", "go.mod", "Makefile", "Dockerfile", "pom.xml", "build.gradle", "build.gradle.kts", "tsconfig.json", "setup.py", "LICENSE"]
 
 
+BUCKET = 64
+
+
+def covered(start: str, end: str) -> Column:
+    """The buckets of lines that a span covers, one row for each."""
+    return F.explode(F.sequence(F.floor(F.col(start) / BUCKET), F.floor(F.col(end) / BUCKET))).alias("bucket")
+
+
 def scopes(df: DataFrame) -> DataFrame:
     """(id, parent_scope, kind, name, file_path, start_line, end_line, width): symbols that open a scope, each with the
-    least scope around it in its file; a range join on the file."""
+    least scope around it in its file. A range join in buckets of lines: a scope is compared only with those that cover
+    the bucket in which it starts."""
     s = df.withColumn("scope_kind", lang.lookup(SCOPE_KINDS, F.col("kind"))).filter("scope_kind is not null and end_line >= start_line").select("id", "scope_kind", "name", "file_path", "start_line", "end_line", (F.col("end_line") - F.col("start_line")).alias("width"))
-    o = s.select("file_path", F.col("id").alias("o_id"), F.col("start_line").alias("o_s"), F.col("end_line").alias("o_e"), F.col("width").alias("o_w"))
-    j = s.join(o, "file_path").filter((F.col("o_s") <= F.col("start_line")) & (F.col("o_e") >= F.col("end_line")) & (F.col("o_w") > F.col("width")))
+    o = s.select("file_path", F.col("id").alias("o_id"), F.col("start_line").alias("o_s"), F.col("end_line").alias("o_e"), F.col("width").alias("o_w"), covered("start_line", "end_line"))
+    j = s.withColumn("bucket", F.floor(F.col("start_line") / BUCKET)).join(o, ["file_path", "bucket"]).filter((F.col("o_s") <= F.col("start_line")) & (F.col("o_e") >= F.col("end_line")) & (F.col("o_w") > F.col("width")))
     best = j.groupBy("id").agg(F.min(F.struct("o_w", F.col("o_s") * -1, "o_id")).alias("b")).select("id", F.col("b.o_id").alias("parent_scope"))
     return s.join(best, "id", "left")
 
 
 def innermost(points: DataFrame, s: DataFrame) -> DataFrame:
     """The least scope around each (file_path, line)."""
-    j = points.join(s.select("id", "file_path", "start_line", "end_line", "width"), "file_path").filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    o = s.select("id", "file_path", "start_line", "end_line", "width", covered("start_line", "end_line"))
+    j = points.withColumn("bucket", F.floor(F.col("line") / BUCKET)).join(o, ["file_path", "bucket"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
     return j.groupBy("file_path", "line").agg(F.min(F.struct("width", F.col("start_line") * -1, "id")).alias("b")).select("file_path", "line", F.col("b.id").alias("scope_id"))
 
 
