@@ -19,6 +19,7 @@ states of a symbol the latest counts; extra columns are ignored; empty tables gi
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -129,9 +130,7 @@ def file_spans(body: str, language: str | None) -> list[tuple]:
     plain, found = list(body), []
     pieces = lex(body, FAMILY[language])
     line_starts = [0, *(m.end() for m in re.finditer("\n", body))]
-    import bisect
-
-    line = lambda at: bisect.bisect_right(line_starts, at)
+    line = lambda at: bisect_right(line_starts, at)
     inner = []
     for kind, start, end, _ in pieces:
         if kind == "comment" or kind == "doc":
