@@ -11,10 +11,7 @@ gathered beyond `parents_per_range` intervals plus those of one key, and these a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
