@@ -209,7 +209,8 @@ def _sc(s, d):
 
 
 def _points(s, d):
-    return refs(s, d).select(F.col("referenced_in_file").alias("file_path"), "line").distinct().filter("line % 7 = 3")
+    """Every line with a reference."""
+    return refs(s, d).select(F.col("referenced_in_file").alias("file_path"), "line").distinct()
 
 
 NODE = "dir:larch-marker/manifestkit-2/src"
@@ -222,7 +223,8 @@ _CMD = " UNION ALL ".join(f"SELECT id, '{r}' AS role, CASE ecosystem {' '.join(f
 _LI = "d AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL), li AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1)::INT AS n FROM d)"
 QUERIES = {
     "scope_tree": lambda s, d: scopes(_sc(s, d)).select("id", "parent_scope", "scope_kind", "name", "file_path", "start_line", "end_line"),
-    "innermost_scope": lambda s, d: innermost(_points(s, d), scopes(bound_symbols(s, d))),
+    "innermost_scope": lambda s, d: innermost(_points(s, d).filter("line % 7 = 3"), scopes(bound_symbols(s, d))),  # the slice its SQL is fixed to
+    "innermost_scope_all": lambda s, d: innermost(_points(s, d), scopes(bound_symbols(s, d))),
     "visible_symbols": lambda s, d: visible(_sc(s, d), s.createDataFrame([("larch-marker/manifestkit-2/tests/token/span_frame.java", 30)], "file_path string, line int")).select("id", "name"),
     "resolve_qualified": lambda s, d: resolve(_sc(s, d), imports(s, d), "DigestShard::matchEdge"),
     "references_without_builtins": lambda s, d: not_builtin(refs(s, d), "rust").groupBy("reference_kind").agg(F.count("*").alias("n")),
@@ -254,3 +256,4 @@ ORACLES = {
     "important_files": "SELECT DISTINCT manifest_path AS path FROM projects WHERE string_split(manifest_path, '/')[-1] IN ('" + "','".join(IMPORTANT) + "')",
     "doc_command_languages": f"WITH {_LI}, f AS (SELECT *, sum(CASE WHEN starts_with(ltrim(line, ' '), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS k, sum(CASE WHEN starts_with(ltrim(line, ' '), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS z FROM li), b AS (SELECT nullif(regexp_extract(ltrim(arg_min(line, n), ' '), '^`+\\s*(\\S*)', 1), '') AS language FROM f WHERE k % 2 = 1 AND k < z GROUP BY doc_id, k) SELECT language, count(*) AS blocks, count(*) FILTER (language IN ('" + "','".join(SHELLS) + "')) AS commands FROM b GROUP BY 1",
 }
+ORACLES["innermost_scope_all"] = ORACLES["innermost_scope"].replace(" WHERE line % 7 = 3", "")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from codeloom.operators.lookup import OUT
 from codeloom.operators.stats import directory
 from codeloom.operators.tags import files_with_tags, with_all_tags
-from codeloom.plans.index import BSYM_CTE, EDGES_CTE, FUNCTION_KINDS, SYM, TAGS_CTE, TYPE_KINDS, bound_symbols, call_edges, file_tags, symbols
+from codeloom.plans.index import BSYM_CTE, EDGES_CTE, FUNCTION_KINDS, SYM, TAGS_ALL_CTE, TAGS_CTE, TYPE_KINDS, bound_symbols, call_edges, file_tags, symbols
 from codeloom.sources.tables import table
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -215,13 +215,13 @@ def _overlay(s, d):
     return b.withColumn("start_line", F.col("start_line") + 1000).withColumn("end_line", F.col("end_line") + 1000).withColumn("id", F.concat(F.lit("o"), "id"))
 
 
-def _by_tag(s, d):
-    ok = with_all_tags(file_tags(s, d), [("domain", "auth"), (None, "service")])
+def _by_tag(s, d, every=False):
+    ok = with_all_tags(file_tags(s, d, every), [("domain", "auth"), (None, "service")])
     return bound_symbols(s, d).join(ok, "file_path", "left_semi").filter(F.lower("name").contains("ring")).orderBy("file_path", "start_line", "id").limit(50)
 
 
-def _with_meta(s, d):
-    return _by_tag(s, d).join(files_with_tags(file_tags(s, d)), "file_path", "left").select("id", "name", "file_path", "tags")
+def _with_meta(s, d, every=False):
+    return _by_tag(s, d, every).join(files_with_tags(file_tags(s, d, every)), "file_path", "left").select("id", "name", "file_path", "tags")
 
 
 _AFTER = (0.9, "enum", "src/brand_22/m1.rs", 1, "")
@@ -278,3 +278,6 @@ ORACLES = {
     "framework_detection": "WITH f(framework, token) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in FRAMEWORKS) + ") SELECT framework, count(*) AS files FROM f JOIN (SELECT unnest(list_distinct(string_split_regex(lower(body), '[^\\p{L}\\p{N}]+'))) AS token FROM sources WHERE body IS NOT NULL) t USING (token) GROUP BY 1",
     "compass_query": _bm25_sql(_W, "id", "sym", ["name", "signature"], "cursor", 4) + "SELECT * FROM (SELECT 'symbol' AS result_type, id AS key, score FROM best UNION ALL (SELECT DISTINCT 'module', id, 0.8::DOUBLE FROM project_nodes WHERE contains(lower(name), 'cursor') ORDER BY id LIMIT 2) UNION ALL (SELECT 'doc', doc_id::VARCHAR, 0.7::DOUBLE FROM documents WHERE regexp_matches(lower(text), '(?m)^#{1,6}[ ].*cursor') ORDER BY doc_id LIMIT 1)) ORDER BY score DESC, result_type, key LIMIT 10",
 }
+# The same over the tags of every row.
+QUERIES |= {"search_by_tag_all": lambda s, d: _by_tag(s, d, True).select("id", "name", "file_path"), "search_with_file_meta_all": lambda s, d: _with_meta(s, d, True)}
+ORACLES |= {n: ORACLES[n.removesuffix("_all")].replace(TAGS_CTE, TAGS_ALL_CTE) for n in ("search_by_tag_all", "search_with_file_meta_all")}

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.plans.index import SYM, TAGS_CTE, file_tags, symbols
+from codeloom.plans.index import SYM, TAGS_ALL_CTE, TAGS_CTE, file_tags, symbols
 
 # The seed dictionary (id, category, name, synonyms).
 DICTIONARY = [(1, "domain", "auth", ["authn", "login"]), (2, "domain", "payment", ["billing", "pay"]), (3, "layer", "api", ["endpoint"]), (4, "layer", "db", ["database", "storage"]), (5, "layer", "service", ["svc"]), (6, "layer", "ui", ["view", "frontend"])]
@@ -83,8 +83,8 @@ def files_with_tags(tags: DataFrame) -> DataFrame:
     return tags.groupBy("file_path").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "category", "tag"))), ",").alias("tags"), F.round(F.max("confidence"), 6).alias("best"))
 
 
-def _paths(s, d):
-    return file_tags(s, d).select("file_path").distinct()
+def _paths(s, d, every=False):
+    return file_tags(s, d, every).select("file_path").distinct()
 
 
 def _words(s, d):
@@ -112,3 +112,12 @@ ORACLES = {
     "file_meta_with_tags": _W + "SELECT file_path, string_agg(DISTINCT concat(category, ':', tag), ',' ORDER BY concat(category, ':', tag)) AS tags, round(max(confidence), 6) AS best FROM file_tags GROUP BY 1",
     "glob_filter": f"WITH {SYM} SELECT DISTINCT file_path FROM sym WHERE regexp_matches(file_path, '^(?:.*/)?src/.*/[a-m].*_..*\\.rs$')",
 }
+# The same over the tags of every row.
+QUERIES |= {
+    "files_with_all_tags_all": lambda s, d: with_all_tags(file_tags(s, d, True), [("domain", "auth"), (None, "service")]),
+    "apply_tag_rules_all": lambda s, d: apply_rules(_paths(s, d, True), RULES),
+    "preview_tag_rules_all": lambda s, d: preview_rules(_paths(s, d, True), RULES),
+    "tag_stats_all": lambda s, d: tag_stats(file_tags(s, d, True), dictionary(s)),
+    "file_meta_with_tags_all": lambda s, d: files_with_tags(file_tags(s, d, True)),
+}
+ORACLES |= {n: ORACLES[n.removesuffix("_all")].replace(TAGS_CTE, TAGS_ALL_CTE) for n in ("files_with_all_tags_all", "apply_tag_rules_all", "preview_tag_rules_all", "tag_stats_all", "file_meta_with_tags_all")}

@@ -1,0 +1,32 @@
+"""Queries over every row, beside those whose SQL is fixed to a slice."""
+
+import os
+
+import pytest
+
+from codeloom.operators import incremental, project, tags
+from codeloom.plans.index import FILE_TAGS_ALL, file_tags, refs
+
+DATA = os.environ.get("CODELOOM_TESTDATA", "/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
+
+
+def test_scopes_of_every_reference_line(spark):
+    got = {(r.file_path, r.line) for r in project.QUERIES["innermost_scope_all"](spark, DATA).collect()}
+    # Every reference lies within its holder's file; lines that no scope covers have none.
+    points = {(r[0], r[1]) for r in refs(spark, DATA).select("referenced_in_file", "line").distinct().collect()}
+    some = {(r.file_path, r.line) for r in project.QUERIES["innermost_scope"](spark, DATA).collect()}
+    assert got <= points and {x for x in got if x[1] % 7 == 3} == some and {x[1] % 7 for x in got} == set(range(7))
+
+
+def test_tags_of_every_row(spark):
+    assert "l_linenumber <= 3" not in FILE_TAGS_ALL and "WHERE" not in FILE_TAGS_ALL
+    every, some = (file_tags(spark, DATA, x).select("file_path", "category", "tag") for x in (True, False))
+    assert some.subtract(every).count() == 0 and every.count() > some.count()
+    assert tags.QUERIES["file_meta_with_tags_all"](spark, DATA).count() == every.select("file_path").distinct().count()
+
+
+def test_changes_of_every_path(spark):
+    paths = {r.path for r in incremental._changes(spark, DATA).filter("status <> 'deleted'").collect()}
+    got = {r.path for r in incremental.QUERIES["git_changed_symbols_all"](spark, DATA).select("path").distinct().collect()}
+    assert got == paths and {len(p) % 3 for p in got} == {0, 1, 2}
