@@ -7,11 +7,12 @@ trailer, a title, a greeting), or neither.
 
 What is whole without a terminator depends on the source, so it is learnt from all texts: last lines that recur in a
 source (a greeting, a sign-off) are its baseline. A word in an ending that could be whole must also be a word of the
-corpus, else the text stopped within it. Lengths at which a source's truncated texts pile up are reported as its field
+corpus, else the text stopped within it. Only other, different texts vouch for an ending: copies of a text count once,
+and never for the text itself. Lengths at which a source's truncated texts pile up are reported as its field
 limits; they decide nothing, as texts that end whole may have any length.
 
-Scale: one narrow Python pass over the texts, then aggregations of (source, shape), (source, length) and of words, all
-with map-side combining. The join back is by shape, length and last word of the doubtful texts only; the baselines are
+Scale: one narrow Python pass over the texts, then distinct counts of texts, by their hashes, for each (source, shape)
+and each word asked for, all with map-side combining. The join back is by shape, length and last word of the doubtful texts only; the baselines are
 reduced to the frequent ones first.
 
 Defined cases: null, empty and blank texts stop nowhere, so they are no cases; a null source is a source of its own in
@@ -20,11 +21,12 @@ the report; repeated texts are judged alike; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.sources.tables import materialise, table
@@ -55,6 +57,7 @@ BROKEN = re.compile(r"(?:�+|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|%[0-9A-Fa-f
 CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힯]$")
 
 WHOLE, CUT, DOUBTFUL = "whole", "cut", "doubtful"
+WORD_SHARE = 0.0001
 
 
 def structure(lines: list[str]) -> str | None:
@@ -108,7 +111,9 @@ def judge(text: str) -> tuple[str, str | None, str | None]:
     last = lines[-1].strip()
     if FENCE.match(last):
         return WHOLE, None, None
-    shape = re.sub(r"\d+", "0", re.sub(r"[0-9a-f]{7,}", "h", last))[-80:]
+    shape = re.sub(r"\d+", "0", re.sub(r"[0-9a-f]{7,}", "h", last))
+    if len(shape) > 80:  # the whole line counts, but only its hash is kept
+        shape = hashlib.md5(shape.encode("utf-8", "replace")).hexdigest()
     if MARKS.search(last):
         return CUT, None, None
     ellipsis = last.endswith(("...", "…"))
@@ -146,45 +151,62 @@ def judge(text: str) -> tuple[str, str | None, str | None]:
     return CUT, None, None
 
 
+def closes(text: str, word: str) -> bool:
+    """Whether a word stands at the end of a line or sentence before the text's own end."""
+    return re.search(rf"(?<![^\W\d_]){re.escape(word)}[`\"')\]]*(?:[.!?]|\r?\n|\r)(?=\s*\S)", text.lower()) is not None
+
+
+def key() -> Column:
+    """A hash of the text: copies have the same, whatever their line ends and the blanks around them."""
+    lines = F.replace(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.xxhash64(F.trim(lines, F.lit(" \t\n"))).alias("key")
+
+
 def ends(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, chars, verdict, shape, word) of every text that isn't null."""
-    schema = "doc_id long, source string, chars long, bytes long, verdict string, shape string, word string"
+    """(doc_id, source, key, chars, verdict, shape, word, own) of every text that isn't null. key: as `key`;
+    own: whether the text itself has the word at another line's or sentence's end."""
+    schema = "doc_id long, source string, key long, chars long, bytes long, verdict string, shape string, word string, own int"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
             v = [judge(t) for t in texts]
-            out = [b.column("doc_id"), b.column("source"), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int64()), *[pa.array(list(x) if v else [], pa.string()) for x in (zip(*v, strict=True) if v else ([], [], []))]]
+            own = pa.array([int(bool(w) and w != "…" and closes(t, w)) for t, (_, _, w) in zip(texts, v, strict=True)], pa.int32())
+            out = [b.column("doc_id"), b.column("source"), b.column("key"), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int64()), *[pa.array(list(x) if v else [], pa.string()) for x in (zip(*v, strict=True) if v else ([], [], []))], own]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return documents.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return documents.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), key()).mapInArrow(run, schema)
 
 
-def truncated(documents: DataFrame, share: float = 0.0008, least: int = 4, word_docs: int = 3) -> DataFrame:
+def truncated(documents: DataFrame, share: float = 0.0008, least: int = 4, word_docs: int = 3, word_share: float = WORD_SHARE) -> DataFrame:
     """(doc_id, source) of texts that stop before their end.
 
+    Texts are counted without their copies, and the text in question is left out.
     share and least: a doubtful last line is whole where at least so large a part, and so many, of its source's texts
-    end in it; the same holds for a last word among all texts. word_docs: a doubtful last word is also whole if so
-    many texts have it at the end of a line or sentence before their own end.
+    end in it; the same holds for a last word among all texts. word_docs and word_share: a doubtful last word is also
+    whole if so many, and so large a part, of the texts have it at the end of a line or sentence before their own end.
     """
     e = materialise(ends(documents).withColumn("source", F.coalesce("source", F.lit("\0"))))
-    total = e.count()
+    total = e.select("key").distinct().count()
     cut = e.filter(F.col("verdict") == CUT)
     doubt = e.filter(F.col("verdict") == DOUBTFUL)
-    per_source = e.groupBy("source").agg(F.count("*").alias("of"))
+    per_source = e.groupBy("source").agg(F.count_distinct("key").alias("of"))
+    others = F.col("n") - 1
     usual = (
-        doubt.groupBy("source", "shape").agg(F.count("*").alias("n")).join(per_source, "source")
-        .filter((F.col("n") >= least) & (F.col("n") >= share * F.col("of"))).select("source", "shape", F.lit(True).alias("usual"))
+        doubt.groupBy("source", "shape").agg(F.count_distinct("key").alias("n")).join(per_source, "source")
+        .filter((others >= least) & (others >= share * F.col("of"))).select("source", "shape", F.lit(True).alias("usual"))
     )
-    asked = doubt.filter("word is not null and word not in ('', '…')").groupBy("word").agg(F.count("*").alias("finals"))
+    asked = doubt.filter("word is not null and word not in ('', '…')").groupBy("word").agg(F.count_distinct("key").alias("finals"))
     # Only words that some doubtful text ends with are counted, and never the end of the text itself.
     closing = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)[`\"')\]]*(?:[.!?]|\r?\n|\r)(?=\s*\S)"), F.lit(1))
-    inside = documents.filter("text is not null").select(F.explode(F.array_distinct(closing)).alias("word")).join(asked, "word", "left_semi").groupBy("word").agg(F.count("*").alias("docs"))
-    known = asked.join(inside, "word", "left").filter((F.coalesce("docs", F.lit(0)) >= word_docs) | ((F.col("finals") >= least) & (F.col("finals") >= share / 2 * total))).select("word", F.lit(True).alias("known"))
+    inside = documents.filter("text is not null").select(key(), F.explode(F.array_distinct(closing)).alias("word")).join(asked, "word", "left_semi").groupBy("word").agg(F.count_distinct("key").alias("docs"))
+    known = asked.join(inside, "word", "left").select("word", F.coalesce("docs", F.lit(0)).alias("docs"), (F.col("finals") - 1).alias("finals"))
     judged = doubt.join(usual, ["source", "shape"], "left").join(known, "word", "left").withColumn("form", F.substring("shape", 1, 1))
+    vouched = F.col("docs") - F.col("own")
+    is_known = ((vouched >= word_docs) & (vouched >= word_share * total)) | ((F.col("finals") >= least) & (F.col("finals") >= share / 2 * total))
     no_form, has_word = ~F.col("form").isin("~", "="), ~F.col("word").isin("", "…")
-    judged = judged.withColumn("bad", ~F.coalesce("usual", F.lit(False)) & (no_form | (has_word & ~F.coalesce("known", F.lit(False)))))
+    judged = judged.withColumn("bad", ~F.coalesce("usual", F.lit(False)) & (no_form | (has_word & ~F.coalesce(is_known, F.lit(False)))))
     found = cut.select("doc_id", "source").unionByName(judged.filter("bad").select("doc_id", "source"))
     return found.select("doc_id", F.nullif("source", F.lit("\0")).alias("source"))
 
