@@ -9,7 +9,8 @@ open, is the error that is reported; there is no recovery.
 Rejected: tokens of no kind (typographic quotes, binary noise, open strings and comments, conflict marks), brackets and
 blocks that don't match or stay open, operators without operand, operands without operator, statements without
 separator, Python blocks without colon or with bad indentation, Lua blocks without their words. Accepted: whatever breaks
-rules beyond the grammar only. Types and patterns are parsed leniently; JSX isn't parsed, so texts with it pass.
+rules beyond the grammar only. Types and patterns are parsed leniently. A text in TypeScript is valid if the grammar
+with or the one without JSX accepts it; open elements and tags lie on the same stack, and embedded braces are parsed.
 
 Scale: one narrow Python pass over distinct (path, body); the language comes by a join with the latest row of each
 path. Rates are aggregations. Texts are parsed whole, in linear time.
@@ -34,7 +35,16 @@ from codeloom.sources.tables import latest, table
 STATEMENT, OPERAND, AFTER, EITHER, MEMBER, BLOCK_END = range(6)
 CLOSES = {")": "(", "]": "[", "}": "{"}
 PYTHON_HEADERS = frozenset("def class if elif else for while try except finally with".split())
-JSX = re.compile(r"</\w|/>")
+# JSX. Every element has a closing tag or closes itself; what may stand before one; its parts.
+JSX = re.compile(r"</|/\s*>")
+JSX_AFTER = frozenset("return case default yield await else throw typeof void in of do".split())
+_JSX_NAME = r"(?:[^\W\d]|\$)[\w$-]*"
+JSX_OPEN = re.compile(rf"<\s*(?P<name>(?:{_JSX_NAME}(?:[.:]{_JSX_NAME})*)?)")
+JSX_GENERIC = re.compile(r"\s*(?:,|=|extends\s)")
+JSX_TAG = re.compile(rf"(?:\s|//[^\n]*|/\*.*?\*/)*(?:(?P<ends>/\s*>)|(?P<opens>>)|(?P<brace>\{{)|(?P<element><)|(?P<attribute>{_JSX_NAME}(?::{_JSX_NAME})?(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(?=[{{<])))?))", re.S)
+JSX_CHILD = re.compile(rf"(?P<text>[^<>{{}}]+)|(?P<brace>\{{)|(?P<closes></\s*(?P<name>(?:{_JSX_NAME}(?:[.:]{_JSX_NAME})*)?)\s*>)|(?P<element><)")
+JSX_SPREAD = re.compile(r"\{(?:\s|/\*.*?\*/)*\.\.\.", re.S)
+JSX_EMPTY = re.compile(r"\{\s*\}")
 
 
 class Rejected(Exception):
@@ -50,13 +60,36 @@ def parse(body: str, language: str) -> tuple[int, str] | None:
     try:
         _run(text, language)
     except Rejected as e:
+        error = e
         if language == "typescript" and JSX.search(text):
-            return None
-        return text.count("\n", 0, min(e.at, len(text))) + 1, e.why
+            try:
+                _run(text, language, jsx=True)
+                return None
+            except Rejected as with_jsx:
+                error = with_jsx
+        return text.count("\n", 0, min(error.at, len(text))) + 1, error.why
     return None
 
 
-def _run(text: str, language: str) -> None:  # noqa: C901
+def _element(text: str, at: int) -> tuple[str, int] | None:
+    """(name, end of the name and its type arguments) of a JSX tag that opens here; None where a type parameter does."""
+    m = JSX_OPEN.match(text, at)
+    name, i = m["name"], m.end()
+    if not name:
+        return (name, i) if re.compile(r"\s*>").match(text, i) else None
+    if JSX_GENERIC.match(text, i) or (name[0].isupper() and text.startswith(">(", i) and f"</{name}" not in text[i:]):
+        return None
+    if text.startswith("<", i):
+        depth = 0
+        while i < len(text):
+            depth += (text[i] == "<") - (text[i] == ">" and text[i - 1] != "=")
+            i += 1
+            if not depth:
+                break
+    return name, i
+
+
+def _run(text: str, language: str, jsx: bool = False) -> None:  # noqa: C901
     g = GRAMMARS[language]
     python, lua, go = language == "python", language == "lua", language == "go"
     pointers = language in ("cpp", "go", "rust", "csharp")
@@ -94,6 +127,41 @@ def _run(text: str, language: str) -> None:  # noqa: C901
 
     i = 0
     while i < n:
+        if jsx and stack and stack[-1][0] in ("<tag", "<element"):
+            top, tag = stack[-1], stack[-1][0] == "<tag"
+            at = i
+            m = (JSX_TAG if tag else JSX_CHILD).match(text, i)
+            if m is None:
+                if not text[i:].strip():
+                    break
+                fail(f"no part of the element <{top[2]}> begins with {text[i : i + 12].strip()[:12]!r}")
+            kind, i = m.lastgroup, m.end()
+            at = m.start(kind)
+            j = at - 1
+            while j > top[1] and text[j].isspace():
+                j -= 1
+            valued = text[j] == "="
+            if kind == "opens":
+                top[0] = "<element"
+            elif kind == "brace":
+                if tag and (JSX_EMPTY.match(text, at) if valued else not JSX_SPREAD.match(text, at)):
+                    fail("an expression is missing in <" + top[2])
+                stack.append(["{", at, "<{", ternary])
+                state, run, ternary, before, prev, prev_kind, newline = OPERAND, 0, 0, prev, "{", "op", False
+            elif kind == "element":
+                e = _element(text, at)
+                if e is None or tag and not valued:
+                    fail("no element begins here")
+                stack.append(["<tag", at, e[0], ternary])
+                i = e[1]
+            elif kind == "ends" or kind == "closes":
+                if kind == "closes" and m["name"] != top[2]:
+                    fail(f"</{m['name']}> closes nothing, <{top[2]}> is open")
+                if kind == "ends" and not top[2]:
+                    fail("no element begins here")
+                ternary = stack.pop()[3]
+                state, run, before, prev, prev_kind, newline = AFTER, 0, prev, "/>", "str", False
+            continue
         m = match(text, i)
         at, kind, i = i, m.lastgroup, m.end()
         if kind in ("h", "g"):
@@ -115,7 +183,11 @@ def _run(text: str, language: str) -> None:  # noqa: C901
                 state, header, colon, fresh, run, prev, prev_kind = STATEMENT, False, False, True, 0, "", ""
             continue
         tok = m[0]
-        if kind == "op" and tok == "/" and language == "typescript" and state in (STATEMENT, OPERAND, EITHER) and prev != ")":
+        if jsx and kind == "op" and tok == "<" and state in (STATEMENT, OPERAND, EITHER) and (prev_kind not in ("name", "mod") or prev in JSX_AFTER) and (e := _element(text, at)):
+            stack.append(["<tag", at, e[0], ternary])
+            i = e[1]
+            continue
+        if kind == "op" and tok == "/" and language == "typescript" and state in (STATEMENT, OPERAND, EITHER) and prev != ")" and text[at - 1 : at] != "<":
             r = re.compile(r"/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*").match(text, at)
             if r:
                 kind, tok, i = "str", r[0], r.end()
@@ -126,7 +198,7 @@ def _run(text: str, language: str) -> None:  # noqa: C901
             fresh = False
             first_word = tok
             header = tok in PYTHON_HEADERS or (tok == "async")
-        separated = newline and g.newline_ends and not python and not (stack and stack[-1][0] in ("(", "[") and not (go and stack[-1][2] in ("import", "const", "var", "type")))
+        separated = newline and g.newline_ends and not python and not (stack and (stack[-1][0] in ("(", "[") or stack[-1][2] == "<{") and not (go and stack[-1][2] in ("import", "const", "var", "type")))
         if python and tok == "::" and stack and stack[-1][0] == "[":
             tok, i = ":", at + 1  # two colons of a slice
         if kind in ("name", "name2", "priv", "macro", "life", "deco", "lab"):
@@ -176,6 +248,8 @@ def _run(text: str, language: str) -> None:  # noqa: C901
             elif python and tok in ("in", "not") and prev in ("not", "is") and state in (OPERAND, EITHER):
                 state, run = OPERAND, 0
             elif tok in statement:
+                if prev == "{" and stack and stack[-1][2] == "<{" and tok not in ("function", "class", "import"):
+                    fail("an operand is missing before " + tok)
                 if state == AFTER and not separated and prev_kind != "mod" and prev not in (")", "]") and not (stack and stack[-1][0] == "(" and not g.semicolon):
                     fail("no separator before " + tok)
                 if state == OPERAND and prev_kind == "op" and prev not in ("(", ",", "[", "=", "=>", "->", ":", "?", "|", "||", "?:", "&&", ";", "{", "??", "!"):
@@ -256,6 +330,8 @@ def _run(text: str, language: str) -> None:  # noqa: C901
         elif tok in forbidden or len(tok) == 7:
             fail("no such operator: " + tok)
         elif tok == ";":
+            if stack and stack[-1][2] == "<{":
+                fail("; within an expression")
             if state == OPERAND and prev_kind == "op" and prev not in (";", "(", "{", "?", "*", "&", "..", ")"):
                 fail("an operand is missing before ;")
             if state == MEMBER:
