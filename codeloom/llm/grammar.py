@@ -57,7 +57,7 @@ JAVA = Grammar(
     infix=words("instanceof"), prefix=words("new return throw case yield else"), juxtapose=2, params_typed=True, forbidden=words(":= === !== ** ?? ?. => .. `"),
 )
 CSHARP = Grammar(
-    tokens=_C_COMMENTS + rf"|(?P<pp>\#[^\n]*)|(?P<str>[$@]*@[$@]*\"(?:[^\"]|\"\")*\"|\"\"\".*?\"\"\"|\$*{_DQ}|{_CHAR})|" + _NUM,
+    tokens=_C_COMMENTS + rf"|(?P<pp>\#[ \t]*(?:if|elif|else|endif|define|undef|warning|error|line|region|endregion|pragma|nullable)\b[^\n]*|\#[!:][^\n]*)|(?P<str>[$@]*@[$@]*\"(?:[^\"]|\"\")*\"|\"\"\".*?\"\"\"|\$*{_DQ}|{_CHAR})|" + _NUM,
     statement=words("return if for foreach while do switch try throw break continue namespace class public private protected internal interface lock goto"),
     modifier=words("public private protected internal static readonly const abstract sealed virtual override async partial extern unsafe volatile ref out in params this void int long short byte char float double bool string object decimal var dynamic uint ulong ushort sbyte struct enum record delegate event operator implicit explicit else finally catch get set init using fixed checked unchecked required file scoped where base global nint nuint"),
     infix=words("is as and or not when with"), prefix=words("new return throw case await typeof sizeof nameof default yield stackalloc from select orderby else"), juxtapose=2, params_typed=False, forbidden=words(":= === !== ** `"),

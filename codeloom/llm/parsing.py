@@ -193,6 +193,8 @@ def _run(text: str, language: str, jsx: bool = False) -> None:  # noqa: C901
                 kind, tok, i = "str", r[0], r.end()
         if kind in ("junk", "bad", "badnum"):
             fail("no token begins with " + repr(tok[:12]))
+        if python and prev in ("def", "class") and kind != "name":
+            fail("a name is missing before " + tok[:12])
         if fresh and python:
             python_line_start(at)
             fresh = False
