@@ -1,26 +1,26 @@
 """Problem 5: source files that their language's grammar rejects.
 
-Each language has a bundled grammar (`grammar`): token patterns, keyword classes, operators and the neighbours allowed.
-One deterministic pushdown parser runs over the whole token stream by these tables. Its stack holds open brackets and
-block words; its state says what may come next: a statement, an operand, an operator, a member's name, or, where a
-language has many forms, either. The first token for which there is no move, or the end of the text with something
-open, is the error that is reported; there is no recovery.
-
-Rejected: tokens of no kind (typographic quotes, binary noise, open strings and comments, conflict marks), brackets and
-blocks that don't match or stay open, operators without operand, operands without operator, statements without
-separator, Python blocks without colon or with bad indentation, Lua blocks without their words. Accepted: whatever breaks
-rules beyond the grammar only. Types and patterns are parsed leniently. A text in TypeScript is valid if the grammar
-with or the one without JSX accepts it; open elements and tags lie on the same stack, and embedded braces are parsed.
+Each language has a bundled grammar of productions and lexemes (`grammar`). Tables are built from them, and one
+generalised LR driver runs the whole token stream over these (`glr`); nothing in the code here knows a language. A text's
+first token that no parse can go on with, or its end while all parses are open, is the error that is reported; there is
+no recovery. Lexemes that begin nothing (typographic quotes, noise, open strings and comments, conflict marks) and
+indentation of no open block are errors as well.
+
+How line ends count is a grammar's `layout`: as indentation; as a semicolon behind certain tokens; as a separator behind
+certain tokens unless others follow; or only where the next token would be an error. Words that are keywords in places
+are offered to the tables both ways. Where a grammar has markup, a text is valid with it or without it; its open elements
+are kept on the scanner's stack, which also requires that closing names match.
 
 Scale: one narrow Python pass over distinct (path, body); the language comes by a join with the latest row of each
-path. Rates are aggregations. Texts are parsed whole, in linear time.
+path. Rates are aggregations. Texts are parsed whole, in time linear in their length where the grammar's forks are local.
 
 Defined cases: null, empty and blank bodies and texts in languages without a grammar aren't judged; a byte-order mark
-and any line ends are fine; copies of a row give one path; a path with several bodies is found if one is invalid.
+and any line ends are fine; a text of comments only is valid; copies of a row give one path; a path with several bodies is found if one is invalid.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -29,22 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import lang
-from codeloom.llm.grammar import GRAMMARS, SCANNERS
+from codeloom.llm.glr import Parser, Tables
+from codeloom.llm.grammar import SPECS, Spec
 from codeloom.sources.tables import latest, table
 
-STATEMENT, OPERAND, AFTER, EITHER, MEMBER, BLOCK_END = range(6)
 CLOSES = {")": "(", "]": "[", "}": "{"}
-PYTHON_HEADERS = frozenset("def class if elif else for while try except finally with".split())
-# JSX. Every element has a closing tag or closes itself; what may stand before one; its parts.
-JSX = re.compile(r"</|/\s*>")
-JSX_AFTER = frozenset("return case default yield await else throw typeof void in of do".split())
-_JSX_NAME = r"(?:[^\W\d]|\$)[\w$-]*"
-JSX_OPEN = re.compile(rf"<\s*(?P<name>(?:{_JSX_NAME}(?:[.:]{_JSX_NAME})*)?)")
-JSX_GENERIC = re.compile(r"\s*(?:,|=|extends\s)")
-JSX_TAG = re.compile(rf"(?:\s|//[^\n]*|/\*.*?\*/)*(?:(?P<ends>/\s*>)|(?P<opens>>)|(?P<brace>\{{)|(?P<element><)|(?P<attribute>{_JSX_NAME}(?::{_JSX_NAME})?(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(?=[{{<])))?))", re.S)
-JSX_CHILD = re.compile(rf"(?P<text>[^<>{{}}]+)|(?P<brace>\{{)|(?P<closes></\s*(?P<name>(?:{_JSX_NAME}(?:[.:]{_JSX_NAME})*)?)\s*>)|(?P<element><)")
-JSX_SPREAD = re.compile(r"\{(?:\s|/\*.*?\*/)*\.\.\.", re.S)
-JSX_EMPTY = re.compile(r"\{\s*\}")
+BLANK = r"(?P<nl>\n)|(?P<ws>[ \t\f\v\r\x1a ﻿]+)|(?P<mark>(?:(?<=\n)|(?<=\A))(?:<{7}|>{7}|={7}|\|{7})(?=\s|\Z))|"
+_NAME = r"(?:[^\W\d]|\$)[\w$-]*"
+TAG = re.compile(rf"<\s*(?P<name>(?:{_NAME}(?:[.:]{_NAME})*)?)")
+TAG_PART = re.compile(rf"(?P<blank>(?:\s|//[^\n]*|/\*.*?\*/)+)|(?P<SELFCLOSE>/\s*>)|(?P<TAGEND>>)|(?P<open>\{{)|(?P<TAG><)|(?P<sign>=)|(?P<STR>\"[^\"]*\"|'[^']*')|(?P<ATTR>{_NAME}(?::{_NAME})?)", re.S)
+CHILD_PART = re.compile(rf"(?P<blank>(?:\s|(?<=\}})\s)+)|(?P<CLOSE></\s*(?P<name>(?:{_NAME}(?:[.:]{_NAME})*)?)\s*>)|(?P<open>\{{)|(?P<TAG><)|(?P<TEXT>[^<>{{}}]+)", re.S)
 
 
 class Rejected(Exception):
@@ -52,401 +46,223 @@ class Rejected(Exception):
         self.at, self.why = at, why
 
 
+class Language:
+    """A grammar's tables and its scanner."""
+
+    def __init__(self, spec: Spec):
+        literals = set(re.findall(r"'([^']+)'", spec.rules))
+        classes: dict[str, list[str]] = {}
+        for name, signs in spec.classes.items():
+            for s in signs.split():
+                classes.setdefault(s, []).append(name)
+        soft = frozenset(spec.soft.split())
+        words = frozenset(x for x in literals if re.fullmatch(r"\w+", x))
+        self.terms: dict[str, tuple] = {x: (*(["ID"] if x in soft else []), *(["'" + x] if x in literals else []), *classes.get(x, [])) for x in literals | set(classes) | soft}
+        signs = sorted((x for x in literals | set(classes) if not re.fullmatch(r"\w+", x)), key=len, reverse=True)
+        self.extra = frozenset(g for g in re.findall(r"\(\?P<([A-Z]+)>", spec.lexemes))
+        self.tables = Tables(spec.rules, "file", words - soft, self.extra | set(spec.classes) | set(spec.shapes) | {"ID"})
+        self.parser = Parser(self.tables)
+        self.pattern = re.compile(BLANK + spec.lexemes + rf"|(?P<ID>{spec.name})|(?P<sign>{'|'.join(re.escape(x) for x in signs)})|(?P<bad>.)".replace("(?P<bad>.)", "(?P<junk>.)"), re.S)
+        name = lambda x: x if x.isupper() and len(x) > 1 else "'" + x
+        self.ends, self.value = (frozenset(map(name, x.split())) for x in (spec.ends, spec.value))
+        self.joins = frozenset(t for x in spec.joins.split() for t in self.terms.get(x, (x,)) if t != "ID")
+        self.literal = re.compile(spec.pattern) if spec.pattern else None
+        self.shape = re.compile("|".join(f"(?P<{k}>{v})" for k, v in spec.shapes.items())) if spec.shapes else None
+        self.layout, self.markup = spec.layout, spec.markup
+
+    def scan(self, text: str, markup: bool = False) -> Iterator[tuple]:
+        """(terminals, position, whether a line ended before) of each token."""
+        match, terms, n, i = self.pattern.match, self.terms, len(text), 0
+        before: tuple = ()
+        newline, fixed = False, {g: (g,) for g in self.extra | {"ID"}}
+        modes: list[list] = []  # open elements of markup and braces within them
+        while i < n:
+            if modes and modes[-1][0] != "brace":
+                i, token = self._markup(text, i, modes)
+                if token is not None:
+                    yield token[0], token[1], False
+                    before = token[0]
+                continue
+            m = match(text, i)
+            at, kind, i = i, m.lastgroup, m.end()
+            if kind == "ws" or kind == "skip" or kind == "pp" or kind == "join":
+                newline = newline or (kind == "skip" and "\n" in m[0]) or kind == "pp"
+                continue
+            if kind == "nl":
+                newline = True
+                continue
+            if kind == "ID":
+                t = terms.get(m[0]) or (fixed["ID"] if self.shape is None or (shaped := self.shape.fullmatch(m[0])) is None else ("ID", shaped.lastgroup))
+            elif kind == "sign":
+                s = m[0]
+                t = terms[s]
+                if self.literal is not None and s[0] == "/" and not self.value.intersection(before):
+                    if (r := self.literal.match(text, at)) is not None:
+                        i, t = r.end(), ("REGEX",)
+                elif markup:
+                    if s == "<" and not self.value.intersection(before):
+                        e = self._tag(text, at)
+                        if e is not None:
+                            modes.append(["tag", e[0], at])
+                            i, t = e[1], ("TAG",)
+                    elif modes and s in "{}":
+                        modes[-1][1] += 1 if s == "{" else -1
+                        if not modes[-1][1]:
+                            modes.pop()
+            elif kind == "mark":
+                raise Rejected(at, "a conflict mark")
+            elif kind in ("bad", "junk"):
+                raise Rejected(at, "no token begins with " + repr(m[0][:12]))
+            else:
+                t = fixed[kind]
+            yield t, at, newline
+            before, newline = t, False
+        if modes:
+            raise Rejected(n, f"<{modes[0][1]}> is never closed" if modes[0][0] != "brace" else "'{' is never closed")
+
+    @staticmethod
+    def _tag(text: str, at: int) -> tuple[str, int] | None:
+        """(name, end) of a tag that opens here, its type arguments included; None where a type parameter does."""
+        m = TAG.match(text, at)
+        name, i = m["name"], m.end()
+        if not name:
+            return ("", i) if re.compile(r"\s*>").match(text, i) else None
+        if re.compile(r"\s*(?:,|=(?!>)|extends\s)").match(text, i) or (name[0].isupper() and text.startswith(">(", i) and f"</{name}" not in text[i:]):
+            return None
+        if text.startswith("<", i):
+            depth = 0
+            while i < len(text):
+                depth += (text[i] == "<") - (text[i] == ">" and text[i - 1] != "=")
+                i += 1
+                if not depth:
+                    break
+        return name, i
+
+    def _markup(self, text: str, i: int, modes: list) -> tuple[int, tuple | None]:
+        top = modes[-1]
+        m = (TAG_PART if top[0] == "tag" else CHILD_PART).match(text, i)
+        if m is None:
+            raise Rejected(i, f"no part of <{top[1]}> begins with {text[i : i + 12]!r}")
+        kind = m.lastgroup if m.lastgroup != "name" else "CLOSE"
+        if kind == "blank":
+            return m.end(), None
+        if kind == "TAGEND":
+            top[0] = "element"
+        elif kind == "SELFCLOSE" or kind == "CLOSE":
+            if kind == "CLOSE" and m["name"] != top[1]:
+                raise Rejected(i, f"</{m['name']}> closes nothing, <{top[1]}> is open")
+            modes.pop()
+        elif kind == "TAG":
+            e = self._tag(text, i)
+            if e is None:
+                raise Rejected(i, "no element begins here")
+            modes.append(["tag", e[0], i])
+            return e[1], (("TAG",), i)
+        elif kind == "open":
+            modes.append(["brace", 1, i])
+            return m.end(), (self.terms["{"], i)
+        elif kind == "sign":
+            return m.end(), (self.terms["="], i)
+        return m.end(), ((kind,), i)
+
+    def laid_out(self, text: str, markup: bool) -> Iterator[tuple]:
+        """The tokens with those that stand for line ends."""
+        tokens = self.scan(text, markup)
+        if self.layout == "indent":
+            yield from self._indented(text, tokens)
+        elif self.layout in ("semicolon", "line"):
+            line, before, closed = self.layout == "line", (), []
+            extra = ("NL",) if line else ("';",)
+            for t, at, newline in tokens:
+                if newline and self.ends.intersection(before) and not (line and (closed and closed[-1] != "'{" or self.joins.intersection(t))):
+                    yield extra, at, False
+                if line:
+                    if t[0] in ("'(", "'[", "'{"):
+                        closed.append(t[0])
+                    elif t[0] in ("')", "']", "'}") and closed:
+                        closed.pop()
+                yield t, at, newline
+                before = t
+            if not line and self.ends.intersection(before):
+                yield extra, len(text), False
+        else:
+            yield from tokens
+
+    @staticmethod
+    def _indented(text: str, tokens: Iterator[tuple]) -> Iterator[tuple]:
+        columns, depth, any_ = [0], 0, False
+        for t, at, newline in tokens:
+            if (newline or not any_) and not depth:
+                if any_:
+                    yield ("NEWLINE",), at, False
+                start = text.rfind("\n", 0, at) + 1
+                column = 0
+                for c in text[start:at]:
+                    column = (column // 8 + 1) * 8 if c == "\t" else 0 if c == "\f" else column + 1
+                if column > columns[-1]:
+                    columns.append(column)
+                    yield ("INDENT",), at, False
+                else:
+                    while column < columns[-1]:
+                        columns.pop()
+                        yield ("DEDENT",), at, False
+                    if column != columns[-1]:
+                        raise Rejected(at, "indentation of no open block")
+            any_ = True
+            if t[0] in ("'(", "'[", "'{"):
+                depth += 1
+            elif t[0] in ("')", "']", "'}"):
+                depth = max(0, depth - 1)
+            yield t, at, newline
+        if any_:
+            yield ("NEWLINE",), len(text), False
+        for _ in columns[1:]:
+            yield ("DEDENT",), len(text), False
+
+    def run(self, text: str, markup: bool = False) -> None:
+        p = self.parser
+        heads, step, offence = p.begin(), p.step, self.layout == "offence"
+        for t, at, newline in self.laid_out(text, markup):
+            nxt = step(heads, t)
+            if not nxt:
+                if offence and (newline or t[0] == "'}"):
+                    heads = step(heads, ("';",))
+                    nxt = step(heads, t) if heads else []
+                if not nxt:
+                    shown = text[at:].split(None, 1)
+                    raise Rejected(at, "unexpected " + (shown[0][:40] if shown and at < len(text) and t[0] not in ("NEWLINE", "INDENT", "DEDENT", "NL") else {"INDENT": "indentation", "DEDENT": "end of a block"}.get(t[0], "end of the line" if at < len(text) else "end of the text")))
+            heads = nxt
+        if heads[0][0] == self.tables.start:
+            return  # comments only: there is nothing to reject
+        if not p.ends(heads) and not (offence and p.ends(step(heads, ("';",)))):
+            raise Rejected(len(text), "unexpected end of the text")
+
+
+@functools.cache
+def grammar_of(language: str) -> Language:
+    return Language(SPECS[language])
+
+
 def parse(body: str, language: str) -> tuple[int, str] | None:
     """(line, reason) of the first error, or None for a valid text."""
     text = body.lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
     if not text.strip():
         return None
+    g = grammar_of(language)
     try:
-        _run(text, language)
+        g.run(text)
     except Rejected as e:
         error = e
-        if language == "typescript" and JSX.search(text):
+        if g.markup and re.search(r"</|/\s*>", text):
             try:
-                _run(text, language, jsx=True)
+                g.run(text, True)
                 return None
-            except Rejected as with_jsx:
-                error = with_jsx
+            except Rejected as with_markup:
+                error = with_markup if with_markup.at > e.at else e
         return text.count("\n", 0, min(error.at, len(text))) + 1, error.why
     return None
 
 
-def _element(text: str, at: int) -> tuple[str, int] | None:
-    """(name, end of the name and its type arguments) of a JSX tag that opens here; None where a type parameter does."""
-    m = JSX_OPEN.match(text, at)
-    name, i = m["name"], m.end()
-    if not name:
-        return (name, i) if re.compile(r"\s*>").match(text, i) else None
-    if JSX_GENERIC.match(text, i) or (name[0].isupper() and text.startswith(">(", i) and f"</{name}" not in text[i:]):
-        return None
-    if text.startswith("<", i):
-        depth = 0
-        while i < len(text):
-            depth += (text[i] == "<") - (text[i] == ">" and text[i - 1] != "=")
-            i += 1
-            if not depth:
-                break
-    return name, i
-
-
-def _run(text: str, language: str, jsx: bool = False) -> None:  # noqa: C901
-    g = GRAMMARS[language]
-    python, lua, go = language == "python", language == "lua", language == "go"
-    pointers = language in ("cpp", "go", "rust", "csharp")
-    statement, modifier, infix, prefix, prefix_signs, forbidden = g.statement, g.modifier, g.infix, g.prefix, g.prefix_signs, g.forbidden
-    match, n = SCANNERS[language].match, len(text)
-    stack: list[list] = []  # [what opened, position, token before, ternaries open]
-    state, prev, prev_kind, run, newline, at, ternary = STATEMENT, "", "", 0, False, 0, 0
-    before = ""  # the token before the previous one
-    annotated = False  # the name just read is an annotation's
-    fine = True  # Lua: the statement so far can end here
-    indents, expect, colon, header, fresh = [0], False, False, False, True  # Python
-    first_word = ""
-
-    def fail(why: str) -> None:
-        raise Rejected(at, why)
-
-    def python_line_start(at: int) -> None:
-        nonlocal expect
-        column = 0
-        i = text.rfind("\n", 0, at) + 1
-        for c in text[i:at]:
-            column = (column // 8 + 1) * 8 if c == "\t" else column + 1
-        if expect:
-            if column <= indents[-1]:
-                raise Rejected(at, "a block is missing")
-            indents.append(column)
-        elif column > indents[-1]:
-            raise Rejected(at, "unexpected indentation")
-        else:
-            while column < indents[-1]:
-                indents.pop()
-            if column != indents[-1]:
-                raise Rejected(at, "indentation of no open block")
-        expect = False
-
-    i = 0
-    while i < n:
-        if jsx and stack and stack[-1][0] in ("<tag", "<element"):
-            top, tag = stack[-1], stack[-1][0] == "<tag"
-            at = i
-            m = (JSX_TAG if tag else JSX_CHILD).match(text, i)
-            if m is None:
-                if not text[i:].strip():
-                    break
-                fail(f"no part of the element <{top[2]}> begins with {text[i : i + 12].strip()[:12]!r}")
-            kind, i = m.lastgroup, m.end()
-            at = m.start(kind)
-            j = at - 1
-            while j > top[1] and text[j].isspace():
-                j -= 1
-            valued = text[j] == "="
-            if kind == "opens":
-                top[0] = "<element"
-            elif kind == "brace":
-                if tag and (JSX_EMPTY.match(text, at) if valued else not JSX_SPREAD.match(text, at)):
-                    fail("an expression is missing in <" + top[2])
-                stack.append(["{", at, "<{", ternary])
-                state, run, ternary, before, prev, prev_kind, newline = OPERAND, 0, 0, prev, "{", "op", False
-            elif kind == "element":
-                e = _element(text, at)
-                if e is None or tag and not valued:
-                    fail("no element begins here")
-                stack.append(["<tag", at, e[0], ternary])
-                i = e[1]
-            elif kind == "ends" or kind == "closes":
-                if kind == "closes" and m["name"] != top[2]:
-                    fail(f"</{m['name']}> closes nothing, <{top[2]}> is open")
-                if kind == "ends" and not top[2]:
-                    fail("no element begins here")
-                ternary = stack.pop()[3]
-                state, run, before, prev, prev_kind, newline = AFTER, 0, prev, "/>", "str", False
-            continue
-        m = match(text, i)
-        at, kind, i = i, m.lastgroup, m.end()
-        if kind in ("h", "g"):
-            kind = "str" if m["str"] is not None else "skip"
-        if kind == "ws" or kind == "skip" or kind == "pp":
-            if kind == "skip" and not python and "\n" in m[0]:
-                newline = True
-            if kind == "pp":
-                newline = True
-            continue
-        if kind == "nl":
-            newline = True
-            if python and not stack and not fresh:
-                if state == OPERAND or state == MEMBER:
-                    fail("the line ends within an expression")
-                if header and not colon:
-                    fail("a colon is missing")
-                expect = header and prev == ":"
-                state, header, colon, fresh, run, prev, prev_kind = STATEMENT, False, False, True, 0, "", ""
-            continue
-        tok = m[0]
-        if jsx and kind == "op" and tok == "<" and state in (STATEMENT, OPERAND, EITHER) and (prev_kind not in ("name", "mod") or prev in JSX_AFTER) and (e := _element(text, at)):
-            stack.append(["<tag", at, e[0], ternary])
-            i = e[1]
-            continue
-        if kind == "op" and tok == "/" and language == "typescript" and state in (STATEMENT, OPERAND, EITHER) and prev != ")" and text[at - 1 : at] != "<":
-            r = re.compile(r"/(?![/*])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*").match(text, at)
-            if r:
-                kind, tok, i = "str", r[0], r.end()
-        if kind in ("junk", "bad", "badnum"):
-            fail("no token begins with " + repr(tok[:12]))
-        if python and prev in ("def", "class") and kind != "name":
-            fail("a name is missing before " + tok[:12])
-        if fresh and python:
-            python_line_start(at)
-            fresh = False
-            first_word = tok
-            header = tok in PYTHON_HEADERS or (tok == "async")
-        separated = newline and g.newline_ends and not python and not (stack and (stack[-1][0] in ("(", "[") or stack[-1][2] == "<{") and not (go and stack[-1][2] in ("import", "const", "var", "type")))
-        if python and tok == "::" and stack and stack[-1][0] == "[":
-            tok, i = ":", at + 1  # two colons of a slice
-        if kind in ("name", "name2", "priv", "macro", "life", "deco", "lab"):
-            if state == MEMBER:
-                state, run, annotated = AFTER, 1, prev == "@" or (annotated and prev == ".")
-                kind = "mod" if annotated else kind
-            elif kind == "life" or kind == "deco" or kind == "lab":
-                state, run = EITHER, 0
-            elif lua and tok in ("function", "if", "for", "while", "do", "repeat", "then", "elseif", "else", "end", "until", "return", "break", "goto", "local"):
-                if state == OPERAND and tok != "function":
-                    fail("an operand is missing before " + tok)
-                if not fine and tok not in ("then", "do") and state == AFTER:
-                    fail("no statement ends before " + tok)
-                fine = True
-                if tok in ("function", "repeat"):
-                    stack.append([tok, at, prev, 0])
-                elif tok == "if":
-                    stack.append(["if?", at, prev, 0])
-                elif tok in ("for", "while"):
-                    stack.append(["loop?", at, prev, 0])
-                elif tok == "do":
-                    if stack and stack[-1][0] == "loop?":
-                        stack[-1][0] = "loop"
-                    else:
-                        stack.append(["do", at, prev, 0])
-                elif tok == "then":
-                    if not stack or stack[-1][0] != "if?":
-                        fail("'then' without 'if'")
-                    stack[-1][0] = "if"
-                elif tok in ("elseif", "else"):
-                    if not stack or stack[-1][0] != "if":
-                        fail(f"{tok!r} without 'if'")
-                    stack[-1][0] = "if?" if tok == "elseif" else "else"
-                elif tok == "end":
-                    if not stack or stack[-1][0] not in ("function", "if", "else", "loop", "do"):
-                        fail("'end' closes nothing")
-                    stack.pop()
-                elif tok == "until":
-                    if not stack or stack[-1][0] != "repeat":
-                        fail("'until' without 'repeat'")
-                    stack.pop()
-                state, run = (BLOCK_END if tok == "end" else EITHER if tok in ("function", "return", "local", "goto", "until", "if", "while", "elseif", "for") else STATEMENT), 0
-            elif state == OPERAND and tok in prefix:
-                state, run = (OPERAND if tok in ("not", "typeof", "new", "await") else EITHER), 0
-            elif tok in infix and state in (AFTER, EITHER, BLOCK_END) and not (separated and tok in prefix) and not (state == EITHER and prev_kind == "name" and prev in statement and tok not in ("import", "in")) and not (state == BLOCK_END and (tok in prefix or tok in modifier)):
-                state, run = OPERAND, 0
-            elif python and tok in ("in", "not") and prev in ("not", "is") and state in (OPERAND, EITHER):
-                state, run = OPERAND, 0
-            elif tok in statement:
-                if prev == "{" and stack and stack[-1][2] == "<{" and tok not in ("function", "class", "import"):
-                    fail("an operand is missing before " + tok)
-                if state == AFTER and not separated and prev_kind != "mod" and prev not in (")", "]") and not (stack and stack[-1][0] == "(" and not g.semicolon):
-                    fail("no separator before " + tok)
-                if state == OPERAND and prev_kind == "op" and prev not in ("(", ",", "[", "=", "=>", "->", ":", "?", "|", "||", "?:", "&&", ";", "{", "??", "!"):
-                    fail("an operand is missing before " + tok)
-                if python and state not in (STATEMENT, EITHER) and prev != ";" and not (tok in infix or tok in prefix):
-                    fail("no separator before " + tok)
-                state, run = EITHER, 0
-            elif tok in modifier or tok in prefix:
-                if state == AFTER and not separated and tok in ("return", "throw", "new", "typeof", "delete") and prev not in (")", "]"):
-                    fail("no separator before " + tok)
-                if python and state == AFTER and tok not in ("async",):
-                    fail("no operator before " + tok)
-                state, run = EITHER, 0
-                kind = "mod"
-            elif state == AFTER and not separated:
-                if lua:
-                    if not fine:
-                        fail("no statement ends before " + tok)
-                    fine, run = False, 1
-                elif prev_kind in ("name", "mod"):
-                    run += 1
-                    if run > 1 + g.juxtapose:
-                        fail("unexpected name " + tok[:40])
-                    if language == "typescript" or (language == "rust"):
-                        if prev not in ("async", "type", "of", "from", "union", "auto", "macro_rules", "as"):
-                            fail("unexpected name " + tok[:40])
-                    elif language == "kotlin":
-                        state = OPERAND  # an infix call
-                        prev, prev_kind, newline = tok, "name", False
-                        continue
-                elif prev_kind in ("num", "str") and not (g.strings_join and prev_kind == "str" and not python):
-                    if language == "kotlin":
-                        state, prev, prev_kind, newline = OPERAND, tok, "name", False
-                        continue
-                    fail("unexpected name " + tok[:40])
-                elif python or (prev == "]" and language in ("typescript", "rust", "kotlin")):
-                    fail("unexpected name " + tok[:40])
-                elif prev == ")" and language == "kotlin" and not newline:
-                    run = 1
-                else:
-                    run = 1
-                state = AFTER
-            else:
-                if lua and state in (STATEMENT, BLOCK_END):
-                    fine = False
-                state, run = AFTER, 1
-        elif kind == "num" or kind == "str":
-            if state == AFTER and not separated:
-                if lua and kind == "str" and prev_kind in ("name", "str") or lua and kind == "str" and prev in (")", "]"):
-                    fine = True
-                elif go and kind == "str" and "import" in (before, stack[-1][2] if stack else ""):
-                    pass  # an import under another name
-                elif not (g.strings_join and kind == "str" and (prev_kind == "str" or language == "cpp")) and not (prev == ")" and not python and not lua) and not (language == "cpp" and prev_kind == "str"):
-                    fail("unexpected literal " + tok[:20])
-            elif lua and state in (STATEMENT, BLOCK_END) and not (stack and stack[-1][0] in ("(", "[", "{")):
-                fail("a literal is no statement")
-            elif state == MEMBER and kind == "str":
-                fail("a name is missing")
-            state, run = AFTER, 0
-        elif tok in ("(", "[", "{"):
-            if tok == "{" and state == MEMBER and language not in ("rust",):
-                fail("a name is missing")
-            if lua and tok in ("(", "{"):
-                fine = fine or state == AFTER
-            stack.append([tok, at, prev, ternary])
-            ternary, run = 0, 0
-            state = OPERAND if tok != "{" or python or lua else STATEMENT
-        elif tok in CLOSES:
-            if not stack or stack[-1][0] != CLOSES[tok]:
-                fail(f"{tok!r} closes nothing" + (f", {stack[-1][0]!r} is open" if stack else ""))
-            if state == OPERAND and prev not in ("(", "[", "{", ",", ";", "..", "...", "*", "&", "?", ":") and not (prev == "=" and tok == "]"):
-                fail("an operand is missing before " + tok)
-            if state == MEMBER and language != "rust":
-                fail("a name is missing before " + tok)
-            opened = stack.pop()
-            ternary = opened[3]
-            state, run = (BLOCK_END if tok == "}" and not python and not lua else AFTER), 0
-        elif tok in forbidden or len(tok) == 7:
-            fail("no such operator: " + tok)
-        elif tok == ";":
-            if stack and stack[-1][2] == "<{":
-                fail("; within an expression")
-            if state == OPERAND and prev_kind == "op" and prev not in (";", "(", "{", "?", "*", "&", "..", ")"):
-                fail("an operand is missing before ;")
-            if state == MEMBER:
-                fail("a name is missing before ;")
-            state, run, fine, ternary = STATEMENT, 0, True, (0 if not stack or stack[-1][0] == "{" else ternary)
-        elif tok == ",":
-            if state in (STATEMENT, OPERAND, MEMBER) and not (language == "typescript" and prev in ("[", ",")) and prev not in ("..", "...", "*", "&", "?", ">"):
-                fail("an operand is missing before ,")
-            if python and not stack and state == STATEMENT:
-                fail("an operand is missing before ,")
-            state, run = OPERAND, 0
-            if python and not stack or go or language == "kotlin":
-                state = EITHER if not stack else OPERAND
-        elif tok in (".", "?.", "::"):
-            if state in (STATEMENT, OPERAND) and not (tok == "::" and language in ("rust", "cpp", "kotlin", "lua", "csharp")) and not (tok == "." and python and prev in ("from", ".", "...", "import")) and not (tok == "." and language in ("csharp", "kotlin", "typescript", "java", "rust") and prev == "}"):
-                fail("an operand is missing before " + tok)
-            if state == MEMBER and not (python and tok == "."):
-                fail("a name is missing before " + tok)
-            state = EITHER if (python and tok == "." and prev in ("from", ".", "...")) or (lua and tok == "::") else MEMBER
-            if tok == "?." and language == "typescript":
-                state = EITHER
-        elif tok == ":":
-            if g.params_typed and stack and stack[-1][0] == "(" and not ternary and stack[-1][2] != "for" and language in ("java", "go"):
-                fail("unexpected :")
-            if language in ("java",) and prev == ")" and not ternary and not (stack and stack[-1][0] == "(") and first_word not in ("case", "assert"):
-                fail("unexpected :")
-            if state in (STATEMENT, OPERAND) and prev not in ("[", ":", ",", "lambda", "?", "=", "else", "default", "*", "&") and not (stack and stack[-1][0] == "["):
-                fail("an operand is missing before :")
-            if ternary:
-                ternary -= 1
-            if python and not stack:
-                colon = True
-            state, run = EITHER, 0
-            if lua:
-                state = MEMBER
-        elif tok == "?" or tok == "?:":
-            if state in (STATEMENT, OPERAND) and language not in ("rust", "kotlin", "java", "csharp", "typescript"):
-                fail("an operand is missing before ?")
-            if state == STATEMENT and prev != "{":
-                fail("an operand is missing before ?")
-            ternary += tok == "?" and language not in ("rust", "kotlin")
-            state, run = (EITHER if tok == "?" else OPERAND), 0
-        elif tok == "!" and state == AFTER and language in ("typescript", "kotlin", "csharp", "rust"):
-            pass
-        elif tok == "!!" and language == "kotlin" and state in (AFTER, EITHER, BLOCK_END):
-            state = AFTER
-        elif tok in ("++", "--") and state in (AFTER, EITHER, BLOCK_END) and not separated:
-            state = AFTER
-        elif tok in ("@", "#", "$"):
-            if tok == "#" and language not in ("rust", "lua") or tok == "$" or tok == "@" and language not in ("java", "csharp", "python", "rust"):
-                fail("no such operator: " + tok)
-            if state == MEMBER:
-                fail("a name is missing before " + tok)
-            state, run = (MEMBER if tok == "@" and language in ("java", "csharp") else OPERAND if tok == "#" and lua else OPERAND if python else EITHER), 0
-        elif tok in ("<", ">", ">>", ">>>"):
-            if state == MEMBER and not (tok == "<" and language in ("rust", "java")):
-                fail("a name is missing before " + tok)
-            if tok == "<":
-                if state in (STATEMENT, OPERAND) and (python or lua or go):
-                    fail("an operand is missing before <")
-                state = OPERAND
-            elif state in (STATEMENT, OPERAND) and prev not in ("<", ",", "*", "&", "?", "->", "..."):
-                fail("an operand is missing before " + tok)
-            else:
-                if prev in (">", ">>", ">>>") and language in ("python", "lua", "go"):
-                    fail("an operand is missing before " + tok)
-                state = OPERAND if python or lua else EITHER
-            run = 0
-        elif tok in ("->", "=>"):
-            if state in (STATEMENT, OPERAND, MEMBER) and not (language == "kotlin" and tok == "->") and not (language == "cpp" and prev == "]"):
-                fail("an operand is missing before " + tok)
-            state, run = EITHER, 0
-        else:  # every other sign
-            if state == MEMBER and not (language == "cpp" and tok in ("*", "~")) and not (python and tok == "*") and not (language == "kotlin") and not (language == "go" and tok == "("):
-                if not (language == "rust" and tok in ("*", "{")) and not (language == "java" and tok == "*") and not (language == "typescript" and tok == "*"):
-                    fail("a name is missing before " + tok)
-            if state in (STATEMENT, OPERAND):
-                closure = language == "rust" and tok in ("|", "||")
-                capture = language == "cpp" and prev == "[" and tok == "="
-                union = language == "typescript" and tok in ("|", "&") and prev in ("=", ":", "(", "<", ",")
-                if tok not in prefix_signs and not closure and not capture and not union and not (tok == "=" and language == "kotlin" and prev == "}") and not (tok == "/" and python and prev == ","):
-                    fail("an operand is missing before " + tok)
-                if tok in ("++", "--") and prev in ("++", "--"):
-                    fail("an operand is missing before " + tok)
-                state = EITHER if (tok in ("*", "&", "...", "..") or capture) else OPERAND
-                if python and tok in ("*", "**") and prev not in ("(", ","):
-                    state = OPERAND if tok == "**" else EITHER
-            else:
-                state = EITHER if (tok in ("*", "&", "&&", "..", "...") and pointers) or tok in ("..", "...") or (tok == "*" and language in ("java", "kotlin", "python") and prev in (".", "<", "import", ",")) else OPERAND
-                if state == EITHER and tok in ("*", "&", "&&") and prev_kind not in ("name", "mod") and prev not in (">", ")", "]", "*", "&", "const"):
-                    state = OPERAND
-            if lua and tok == "=":
-                fine = True
-            run = 0
-        if lua and prev in ("=",) and kind in ("name", "num", "str"):
-            fine = True
-        before, prev, newline = prev, tok, False
-        prev_kind = "name" if kind in ("name", "name2", "macro", "priv") else kind
-        if state == STATEMENT:
-            first_word = ""
-        elif first_word == "" and not python:
-            first_word = tok
-    at = n
-    if stack:
-        fail(f"{stack[-1][0].rstrip('?')!r} of line {text.count(chr(10), 0, stack[-1][1]) + 1} is never closed")
-    if state == MEMBER or (state == OPERAND and prev_kind == "op"):
-        fail("the text ends within an expression")
-    if python and (expect or (header and not colon) or (header and prev == ":")):
-        fail("a block is missing")
-    if lua and not fine and state == AFTER:
-        fail("the text ends within a statement")
-
-
 def parsed(sources: DataFrame, files: DataFrame) -> DataFrame:
     """(path, language, project_id, line, error) of each distinct path and non-blank body; line and error are null for
     a valid text. Bodies in languages without a grammar are left out."""
@@ -459,7 +275,7 @@ def parsed(sources: DataFrame, files: DataFrame) -> DataFrame:
         .join(facts, "path", "left")
         .join(named, "path", "left")
         .select("path", "body", lang.language(F.coalesce("language", "named"), F.col("path")).alias("language"), F.col("project_id").cast("long").alias("project_id"))
-        .filter(F.col("language").isin(list(GRAMMARS)))
+        .filter(F.col("language").isin(list(SPECS)))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
