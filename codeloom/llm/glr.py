@@ -306,5 +306,57 @@ class Parser:
                         work.append((edge[0], b))
         return list(shifted.values())
 
+    def run(self, tokens, mend: tuple = (), mends=None) -> tuple | None:
+        """Runs over (terminals, ...) tokens and the end. None if they are accepted, else the first token that no stack
+        survives (() for the end). Before a token that would be an error, and for which mends(token) holds, the
+        terminals `mend` are tried."""
+        known, moves_for, all_moves, expand, nothing = self.known, self.t.moves_for, self.t.moves, self.t._expand, ()
+        state, base, heads = self.t.start, [-1], None
+        for token in tokens:
+            terms, shifted = token[0], False
+            while heads is None:  # one stack, its topmost state apart
+                key = (base[0], state, terms)
+                moves = known.get(key, nothing)
+                if moves is nothing:
+                    moves = known[key] = moves_for(*key)
+                if moves is None or len(moves) > 1:
+                    break
+                via, n, x = moves[0]
+                if n == 0:
+                    base, state, shifted = [via, base], x, True
+                    break
+                if n == 2:
+                    if len(base) != 2:
+                        break
+                    below = base[1]
+                else:
+                    n -= 1
+                    below = base
+                    while n and len(below) == 2:
+                        below = below[1]
+                        n -= 1
+                    if n:
+                        break
+                m = all_moves[below[0]]
+                state, base = (m if m is not None else expand(below[0]))[x], below
+            if shifted:
+                continue
+            now = heads if heads is not None else [[state, base]]
+            after = self.step(now, terms)
+            if not after:
+                if mend and mends(token):
+                    now = self.step(now, mend)
+                    after = self.step(now, terms) if now else after
+                if not after:
+                    return token
+            if len(after) == 1 and len(after[0]) == 2:
+                (state, base), heads = after[0], None
+            else:
+                heads = after
+        now = heads if heads is not None else [[state, base]]
+        if state == self.t.start and base == [-1] or self.ends(now) or mend and self.ends(self.step(now, mend)):
+            return None
+        return ()
+
     def ends(self, heads: list) -> bool:
         return bool(heads) and bool(self.step(heads, (END,)))

@@ -178,7 +178,7 @@ creation: (prim '.')? 'new' targs? annot* cname targs? args body? | 'new' annot*
 
 KOTLIN = Spec(
     lexemes=r"(?P<skip>//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/|\A#![^\n]*)|(?P<bad>/\*)|(?P<STR>\"\"\".*?\"\"\"\"*|\"(?:[^\"\\\n$]|\\.|\$(?!\{)|\$\{(?:[^{}\"\n]|\"(?:[^\"\\\n]|\\.)*\"|\{[^{}]*\})*\})*\"|" + _CHR + rf")|(?P<RETAT>return@\w+)|(?P<JUMPAT>(?:break|continue)@\w+)|(?P<THISAT>(?:this|super)@\w+)|(?P<LABEL>[^\W\d]\w*@(?!\w))|(?P<NOTIN>!in\b|!is\b)|(?P<ASQ>as\?)|(?P<NUM>0[xX][\da-fA-F_]+[uUL]*|0[bB][01_]+[uUL]*|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?[fFuUL]*|\.\d+[fF]?)",
-    name=r"[^\W\d]\w*|`[^`\n]+`",
+    name=r"(?!as\?)[^\W\d]\w*|`[^`\n]+`",
     soft="public private protected internal open abstract final sealed data inner enum annotation companion lateinit override suspend inline noinline crossinline vararg tailrec operator infix external expect actual value const reified by catch constructor dynamic file finally get import init out set where",
     classes={"BIN": "/ % == != === !== <= >= && || ?: .. ..<", "ASG": "+= -= *= /= %="},
     layout="line", ends="ID NUM STR ) ] } ? > * ++ -- !! this super null true false break continue return RETAT JUMPAT THISAT", joins=". ?. :: ?: && || ) ] } , as ASQ : = -> { += -= *= /= == != by where",

@@ -34,7 +34,8 @@ from codeloom.llm.grammar import SPECS, Spec
 from codeloom.sources.tables import latest, table
 
 CLOSES = {")": "(", "]": "[", "}": "{"}
-BLANK = r"(?P<nl>\n)|(?P<ws>[ \t\f\v\r\x1a ﻿]+)|(?P<mark>(?:(?<=\n)|(?<=\A))(?:<{7}|>{7}|={7}|\|{7})(?=\s|\Z))|"
+BLANK = r"[ \t\f\v\r\x1a\xa0\ufeff]*"
+MARK = r"(?P<mark>(?:(?<=\n)|(?<=\A))(?:<{7}|>{7}|={7}|\|{7})(?=\s|\Z))|"
 _NAME = r"(?:[^\W\d]|\$)[\w$-]*"
 TAG = re.compile(rf"<\s*(?P<name>(?:{_NAME}(?:[.:]{_NAME})*)?)")
 TAG_PART = re.compile(rf"(?P<blank>(?:\s|//[^\n]*|/\*.*?\*/)+)|(?P<SELFCLOSE>/\s*>)|(?P<TAGEND>>)|(?P<open>\{{)|(?P<TAG><)|(?P<sign>=)|(?P<STR>\"[^\"]*\"|'[^']*')|(?P<ATTR>{_NAME}(?::{_NAME})?)", re.S)
@@ -62,7 +63,7 @@ class Language:
         self.extra = frozenset(g for g in re.findall(r"\(\?P<([A-Z]+)>", spec.lexemes))
         self.tables = Tables(spec.rules, "file", words - soft, self.extra | set(spec.classes) | set(spec.shapes) | {"ID"})
         self.parser = Parser(self.tables)
-        self.pattern = re.compile(BLANK + spec.lexemes + rf"|(?P<ID>{spec.name})|(?P<sign>{'|'.join(re.escape(x) for x in signs)})|(?P<bad>.)".replace("(?P<bad>.)", "(?P<junk>.)"), re.S)
+        self.pattern = re.compile(BLANK + rf"(?:(?P<nl>\n[ \t\n]*)|(?P<ID>{spec.name})(?![\w$\"'#@`])|" + MARK + spec.lexemes + rf"|(?P<word>{spec.name})|(?P<sign>{'|'.join(re.escape(x) for x in signs)})|(?P<junk>.))", re.S)
         name = lambda x: x if x.isupper() and len(x) > 1 else "'" + x
         self.ends, self.value = (frozenset(map(name, x.split())) for x in (spec.ends, spec.value))
         self.joins = frozenset(t for x in spec.joins.split() for t in self.terms.get(x, (x,)) if t != "ID")
@@ -72,7 +73,7 @@ class Language:
 
     def scan(self, text: str, markup: bool = False) -> Iterator[tuple]:
         """(terminals, position, whether a line ended before) of each token."""
-        match, terms, n, i = self.pattern.match, self.terms, len(text), 0
+        match, terms, shape, n, i = self.pattern.match, self.terms, self.shape, len(text), 0
         before: tuple = ()
         newline, fixed = False, {g: (g,) for g in self.extra | {"ID"}}
         modes: list[list] = []  # open elements of markup and braces within them
@@ -84,17 +85,19 @@ class Language:
                     before = token[0]
                 continue
             m = match(text, i)
-            at, kind, i = i, m.lastgroup, m.end()
-            if kind == "ws" or kind == "skip" or kind == "pp" or kind == "join":
-                newline = newline or (kind == "skip" and "\n" in m[0]) or kind == "pp"
-                continue
+            kind, i = m.lastgroup, m.end()
             if kind == "nl":
                 newline = True
                 continue
-            if kind == "ID":
-                t = terms.get(m[0]) or (fixed["ID"] if self.shape is None or (shaped := self.shape.fullmatch(m[0])) is None else ("ID", shaped.lastgroup))
+            at = m.start(kind)
+            if kind == "ID" or kind == "word":
+                s = m[kind]
+                t = terms.get(s) or (fixed["ID"] if shape is None or (shaped := shape.fullmatch(s)) is None else ("ID", shaped.lastgroup))
+            elif kind == "skip" or kind == "pp" or kind == "join":
+                newline = newline or (kind == "skip" and "\n" in m[kind]) or kind == "pp"
+                continue
             elif kind == "sign":
-                s = m[0]
+                s = m[kind]
                 t = terms[s]
                 if self.literal is not None and s[0] == "/" and not self.value.intersection(before):
                     if (r := self.literal.match(text, at)) is not None:
@@ -111,8 +114,10 @@ class Language:
                             modes.pop()
             elif kind == "mark":
                 raise Rejected(at, "a conflict mark")
+            elif kind == "junk" and not text[at:].strip():
+                break
             elif kind in ("bad", "junk"):
-                raise Rejected(at, "no token begins with " + repr(m[0][:12]))
+                raise Rejected(at, "no token begins with " + repr(m[kind][:12]))
             else:
                 t = fixed[kind]
             yield t, at, newline
@@ -220,22 +225,18 @@ class Language:
             yield ("DEDENT",), len(text), False
 
     def run(self, text: str, markup: bool = False) -> None:
-        p = self.parser
-        heads, step, offence = p.begin(), p.step, self.layout == "offence"
-        for t, at, newline in self.laid_out(text, markup):
-            nxt = step(heads, t)
-            if not nxt:
-                if offence and (newline or t[0] == "'}"):
-                    heads = step(heads, ("';",))
-                    nxt = step(heads, t) if heads else []
-                if not nxt:
-                    shown = text[at:].split(None, 1)
-                    raise Rejected(at, "unexpected " + (shown[0][:40] if shown and at < len(text) and t[0] not in ("NEWLINE", "INDENT", "DEDENT", "NL") else {"INDENT": "indentation", "DEDENT": "end of a block"}.get(t[0], "end of the line" if at < len(text) else "end of the text")))
-            heads = nxt
-        if heads[0][0] == self.tables.start:
-            return  # comments only: there is nothing to reject
-        if not p.ends(heads) and not (offence and p.ends(step(heads, ("';",)))):
+        tokens = self.laid_out(text, markup)
+        if self.layout == "offence":
+            bad = self.parser.run(tokens, ("';",), lambda token: token[2] or token[0][0] == "'}")
+        else:
+            bad = self.parser.run(tokens)
+        if bad is None:
+            return
+        t, at = bad[:2] if bad else ((), len(text))
+        shown = text[at:].split(None, 1)
+        if not shown:
             raise Rejected(len(text), "unexpected end of the text")
+        raise Rejected(at, "unexpected " + {"NEWLINE": "end of the line", "NL": "end of the line", "INDENT": "indentation", "DEDENT": "end of a block"}.get(t[0], shown[0][:40]))
 
 
 @functools.cache
