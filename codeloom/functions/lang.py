@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 # File extensions and aliases of the languages of the index.
 EXTENSIONS = {
-    "rs": "rust", "py": "python", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript",
+    "rs": "rust", "py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "js": "typescript", "jsx": "typescript",
     "java": "java", "kt": "kotlin", "kts": "kotlin", "go": "go", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp",
-    "h": "cpp", "cs": "csharp", "lua": "lua", "sql": "sql", "sh": "bash", "bash": "bash", "swift": "swift",
-    "hs": "haskell", "ex": "elixir", "exs": "elixir", "yaml": "yaml", "yml": "yaml", "toml": "toml", "tf": "hcl",
+    "h": "cpp", "hxx": "cpp", "cs": "csharp", "lua": "lua", "sql": "sql", "sh": "bash", "bash": "bash", "swift": "swift",
+    "hs": "haskell", "lhs": "haskell", "ex": "elixir", "exs": "elixir", "yaml": "yaml", "yml": "yaml", "toml": "toml", "tf": "hcl", "hcl": "hcl", "tfvars": "hcl",
 }
 ALIASES = {
     "rs": "rust", "py": "python", "ts": "typescript", "js": "typescript", "javascript": "typescript", "kt": "kotlin",
@@ -20,7 +20,7 @@ ALIASES = {
 KIND_CODES = {
     "function": "fn", "method": "met", "struct": "str", "class": "cls", "interface": "int", "trait": "trt",
     "enum": "enm", "constant": "cst", "variable": "val", "module": "mod", "import": "imp", "field": "fld",
-    "type_alias": "typ", "enum_variant": "evr",
+    "type_alias": "typ", "enum_variant": "var",
 }
 
 

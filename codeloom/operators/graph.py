@@ -14,10 +14,11 @@ from codeloom.plans.index import BSYM_CTE, EDGES_CTE, FUNCTION_KINDS, IMPORTS_CT
 from codeloom.sources.tables import latest, materialise, table
 
 EDGE = ["caller_name", "symbol_name", "referenced_in_file", "line", "column_num"]
-# Java types that stand for Kotlin types.
-KOTLIN_TO_JAVA = {"Int": "Integer", "Any": "Object", "Char": "Character", "MutableList": "List", "MutableMap": "Map", "MutableSet": "Set", "Unit": "void", "Nothing": "Void"}
+# Java types that stand for Kotlin types, and the Kotlin types that have none; any other has its own name.
+KOTLIN_TO_JAVA = {"Int": "Integer", "Long": "Long", "Short": "Short", "Byte": "Byte", "Float": "Float", "Double": "Double", "Boolean": "Boolean", "Char": "Character", "Any": "Object"}
+NO_JAVA_TYPE = ["Unit", "Nothing"]
 # Folder names that stand for a layer.
-LAYERS = ["api", "controllers", "controller", "services", "service", "domain", "models", "model", "repository", "repositories", "infrastructure", "handlers", "views", "core", "db", "cli"]
+LAYERS = ["api", "rest", "graphql", "grpc", "handlers", "controllers", "routes", "domain", "core", "models", "entities", "services", "infra", "infrastructure", "adapters", "repositories", "db", "database"]
 
 
 def callers(edges: DataFrame, name: str, depth: int = 1) -> DataFrame:
@@ -128,7 +129,7 @@ def tree_children(nodes: DataFrame) -> DataFrame:
 
 def node_type(nodes: DataFrame) -> DataFrame:
     p = F.lower("path")
-    return nodes.select("id", F.when(F.lower("name").isin(LAYERS), "layer").when(p.contains("src"), "module").when(p.contains("packages") | p.contains("crates"), "package").otherwise("directory").alias("inferred_type"))
+    return nodes.select("id", F.when(F.lower("name").isin(LAYERS), "layer").when(p.contains("src/") | p.startswith("src"), "module").when(p.contains("packages/") | p.contains("crates/"), "package").otherwise("directory").alias("inferred_type"))
 
 
 def module_of(path):
@@ -202,6 +203,6 @@ ORACLES = {
     "git_recency": "WITH l AS (SELECT path, max(last_modified) AS t FROM files WHERE path IS NOT NULL GROUP BY 1) SELECT path, round(power(0.5::DOUBLE, ((SELECT max(t) FROM l) - t) / 7776000.0::DOUBLE), 6) AS recency FROM l",
     "project_tree_roots": f"WITH {_NODES} SELECT id, name, path FROM n WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM n)",
     "project_tree_children": f"WITH {_NODES} SELECT parent_id, count(*) AS n_children, string_agg(id, '|' ORDER BY id) AS children FROM n WHERE parent_id IS NOT NULL GROUP BY 1",
-    "node_type_inference": f"WITH {_NODES} SELECT id, CASE WHEN lower(name) IN ('" + "','".join(LAYERS) + "') THEN 'layer' WHEN contains(lower(path), 'src') THEN 'module' WHEN contains(lower(path), 'packages') OR contains(lower(path), 'crates') THEN 'package' ELSE 'directory' END AS inferred_type FROM n",
+    "node_type_inference": f"WITH {_NODES} SELECT id, CASE WHEN lower(name) IN ('api', 'rest', 'graphql', 'grpc', 'handlers', 'controllers', 'routes', 'domain', 'core', 'models', 'entities', 'services', 'infra', 'infrastructure', 'adapters', 'repositories', 'db', 'database') THEN 'layer' WHEN contains(lower(path), 'src/') OR starts_with(lower(path), 'src') THEN 'module' WHEN contains(lower(path), 'packages/') OR contains(lower(path), 'crates/') THEN 'package' ELSE 'directory' END AS inferred_type FROM n",
     "module_dependents": f"WITH {IMPORTS_CTE} SELECT DISTINCT array_to_string(string_split(imported_path, '/')[1:2], '/') AS module, array_to_string(string_split(file_path, '/')[1:2], '/') AS dependent FROM imports",
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.plans.index import BSYM_CTE, IMPORTS_CTE, REFS_CTE, SYM, TAGS_ALL_CTE, TAGS_CTE, bound_symbols, file_tags, imports, refs, symbols
+from codeloom.plans.index import BSYM_CTE, IMPORTS_CTE, REFS_CTE, SYM, TAGS_CTE, bound_symbols, file_tags, imports, refs, symbols
 from codeloom.sources.store import KEYS, delete_files, upsert
 from codeloom.sources.tables import table
 
@@ -95,9 +95,9 @@ def _merge(s, d):
     return upsert(r.filter("rn = 1").drop("rn"), r.filter("rn > 1").drop("rn"), KEYS["symbols"], "indexed_at")
 
 
-def _cascade(s, d, every=False):
+def _cascade(s, d):
     gone = bound_symbols(s, d).filter(F.col("file_path").like("%brand_1_/m1.rs")).select(F.col("file_path").alias("path"))
-    t = delete_files({"symbols": bound_symbols(s, d), "refs": refs(s, d), "imports": imports(s, d), "file_tags": file_tags(s, d, every)}, gone)
+    t = delete_files({"symbols": bound_symbols(s, d), "refs": refs(s, d), "imports": imports(s, d), "file_tags": file_tags(s, d)}, gone)
     out = None
     for name, df in t.items():
         c = df.agg(F.count("*").alias("left")).select(F.lit(name).alias("name"), "left")
@@ -123,19 +123,17 @@ def _hunks(s, d):
 
 _ST = "(SELECT path, content_hash, last_size, last_mtime_ns FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY indexed_at DESC, last_mtime_ns DESC NULLS LAST, last_size DESC NULLS LAST, content_hash DESC NULLS LAST) AS rn FROM files WHERE indexed_at <= TIMESTAMP '{t}' AND (deleted_at IS NULL OR deleted_at > TIMESTAMP '{t}')) WHERE rn = 1)"
 _PRE = f"WITH c AS {_ST.format(t=T2)}, t AS {_ST.format(t=T1)}, p AS (SELECT coalesce(c.path, t.path) AS path, CASE WHEN c.path IS NULL THEN 'stale' WHEN t.path IS NULL THEN 'new' WHEN t.last_size = c.last_size AND t.last_mtime_ns = c.last_mtime_ns THEN 'unchanged' WHEN t.content_hash = c.content_hash THEN 'metadata_refresh' ELSE 'changed' END AS status FROM c FULL JOIN t ON c.path = t.path) "
-_CH = f"WITH {SYM}, pa AS (SELECT DISTINCT file_path, length(file_path) % 5 AS n FROM sym), ch AS (SELECT * FROM (SELECT file_path, CASE n WHEN 0 THEN concat('./', file_path) WHEN 1 THEN concat('root/', file_path) ELSE file_path END AS path, CASE n WHEN 2 THEN 'deleted' WHEN 3 THEN 'renamed' ELSE 'modified' END AS status FROM pa) WHERE length(path) % 3 < 2 AND status <> 'deleted') "
+_CH = f"WITH {SYM}, pa AS (SELECT DISTINCT file_path, length(file_path) % 5 AS n FROM sym), ch AS (SELECT * FROM (SELECT file_path, CASE n WHEN 0 THEN concat('./', file_path) WHEN 1 THEN concat('root/', file_path) ELSE file_path END AS path, CASE n WHEN 2 THEN 'deleted' WHEN 3 THEN 'renamed' ELSE 'modified' END AS status FROM pa) WHERE status <> 'deleted') "
 QUERIES = {
     "precheck_status": _pre,
     "precheck_summary": lambda s, d: _pre(s, d).groupBy("status").agg(F.count("*").alias("files")),
     "stale_files": lambda s, d: _pre(s, d).filter("status = 'stale'").select("path"),
     "merge_upsert": lambda s, d: _merge(s, d).select("id", "name", "indexed_at"),
     "cascade_delete": _cascade,
-    "cascade_delete_all": lambda s, d: _cascade(s, d, True),
     "overlay_versions": lambda s, d: _overlay(s, d).groupBy("doc").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("conflicts"), F.max("version").cast("long").alias("version")),
     "watch_debounce": lambda s, d: debounce(table(s, d, "events"), "user_id", "ts", "10 minutes"),
     "sessions_ttl": lambda s, d: sessions(table(s, d, "events"), "user_id", "ts", 3600),
-    "git_changed_symbols": lambda s, d: changed_symbols(_changes(s, d).filter(F.length("path") % 3 < 2), symbols(s, d, ["id", "name", "file_path"])).select("path", "status", "id"),  # the slice its SQL is fixed to
-    "git_changed_symbols_all": lambda s, d: changed_symbols(_changes(s, d), symbols(s, d, ["id", "name", "file_path"])).select("path", "status", "id"),
+    "git_changed_symbols": lambda s, d: changed_symbols(_changes(s, d), symbols(s, d, ["id", "name", "file_path"])).select("path", "status", "id"),
     "git_hunk_lines": lambda s, d: hunk_lines(_hunks(s, d), "o_orderkey", "header"),
     "git_status_decode": lambda s, d: table(s, d, "orders").select("o_orderkey", status_name(F.element_at(F.array(*[F.lit(x) for x in ("M ", " D", "??", "R100", "A", "!!")]), (F.col("o_orderkey") % 6 + 1).cast("int"))).alias("status")),
 }
@@ -152,5 +150,3 @@ ORACLES = {
     "git_hunk_lines": "SELECT o_orderkey, unnest(range(s, s + c))::INT AS line FROM (SELECT o_orderkey, (o_custkey % 90 + 1) AS s, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE o_orderkey % 7 END AS c FROM orders)",
     "git_status_decode": "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'modified' WHEN 1 THEN 'deleted' WHEN 2 THEN 'added' WHEN 3 THEN 'renamed' WHEN 4 THEN 'added' ELSE 'modified' END AS status FROM orders",
 }
-ORACLES["cascade_delete_all"] = ORACLES["cascade_delete"].replace(TAGS_CTE, TAGS_ALL_CTE)
-ORACLES["git_changed_symbols_all"] = ORACLES["git_changed_symbols"].replace("length(path) % 3 < 2 AND ", "")

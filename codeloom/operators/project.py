@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import lang
 from codeloom.functions.text import SHELLS, code_blocks
-from codeloom.operators.graph import KOTLIN_TO_JAVA
+from codeloom.operators.graph import KOTLIN_TO_JAVA, NO_JAVA_TYPE
 from codeloom.operators.stats import directory, directory_rollup, language_share
 from codeloom.plans.index import BSYM_CTE, FUNCTION_KINDS, IMPORTS_CTE, REFS_CTE, SYM, TYPE_KINDS, bound_symbols, imports, refs, symbols
 from codeloom.sources.extract import BUILTINS
@@ -22,7 +22,8 @@ SCOPE_KINDS = {"function": "function", "method": "function", "class": "class", "
 # Commands of build tools by manifest.
 TOOLS = {"cargo": ("cargo build", "cargo test", "cargo run"), "npm": ("npm run build", "npm test", "npm start"), "maven": ("mvn package", "mvn test", "mvn exec:java"), "gradle": ("gradle build", "gradle test", "gradle run")}
 PRIMARY = {"cargo": "rust", "npm": "typescript", "maven": "java", "gradle": "kotlin"}
-IMPORTANT = ["README.md", "CONTRIBUTING.md", "ARCHITECTURE.md", "CHANGELOG.md", "Cargo.toml", "package.json", "pyproject.toml", "go.mod", "Makefile", "Dockerfile", "pom.xml", "build.gradle", "build.gradle.kts", "tsconfig.json", "setup.py", "LICENSE"]
+# Files at a project's root that matter most, in order.
+IMPORTANT = ["README.md", "README", "CLAUDE.md", "AGENTS.md", "Cargo.toml", "package.json", "build.gradle.kts", "build.gradle", "pom.xml", "src/lib.rs", "src/main.rs", "src/index.ts", "tsconfig.json", ".env.example", "docker-compose.yml", "Dockerfile"]
 
 
 BUCKET = 64
@@ -78,9 +79,13 @@ def not_builtin(r: DataFrame, language: str) -> DataFrame:
 
 
 def java_equivalent(df: DataFrame) -> DataFrame:
-    """Kotlin's types in signatures with the Java types that stand for them."""
+    """(id, kotlin_type, java_type, java_id) of the types in Kotlin's return types: the Java type that stands for it and its
+    first definition in Java, null where there is none. Types without a Java type (Unit, Nothing) have no row."""
     w = F.explode(F.array_distinct(F.regexp_extract_all("return_type", F.lit(r"([A-Za-z]\w*)"), F.lit(1)))).alias("kotlin_type")
-    return df.filter(F.col("language") == "kotlin").select("id", w).select("id", "kotlin_type", F.coalesce(lang.lookup(KOTLIN_TO_JAVA, F.col("kotlin_type")), F.col("kotlin_type")).alias("java_type"))
+    k = df.filter(F.col("language") == "kotlin").select("id", w).filter(~F.col("kotlin_type").isin(NO_JAVA_TYPE))
+    k = k.select("id", "kotlin_type", F.coalesce(lang.lookup(KOTLIN_TO_JAVA, F.col("kotlin_type")), F.col("kotlin_type")).alias("java_type"))
+    first = df.filter((F.col("language") == "java") & ~F.col("kind").isin("import", "variable")).groupBy(F.col("name").alias("java_type")).agg(F.min(F.struct("file_path", "start_line", "id")).alias("f"))
+    return k.join(first, "java_type", "left").select("id", "kotlin_type", "java_type", F.col("f.id").alias("java_id"))
 
 
 def doc_type(path: Column) -> Column:
@@ -189,8 +194,10 @@ def coverage(df: DataFrame, r: DataFrame, i: DataFrame) -> DataFrame:
     return m.crossJoin(s).crossJoin(g).crossJoin(c).withColumn("complete", F.col("module_graph") & F.col("symbol_graph") & F.col("import_graph"))
 
 
-def important_files(files: DataFrame) -> DataFrame:
-    return files.filter(F.element_at(F.split("path", "/"), -1).isin(IMPORTANT)).select("path").distinct()
+def important_files(roots: DataFrame, files: DataFrame) -> DataFrame:
+    """(root, path) of the important files that exist; `roots` has a row for each project (root, no slash at its end)."""
+    wanted = roots.select("root").distinct().select("root", F.explode(F.array(*map(F.lit, IMPORTANT))).alias("name")).select("root", F.concat("root", F.lit("/"), "name").alias("path"))
+    return wanted.join(files.select("path").distinct(), "path", "left_semi").select("root", "path")
 
 
 def _made(s, d):
@@ -223,12 +230,11 @@ _CMD = " UNION ALL ".join(f"SELECT id, '{r}' AS role, CASE ecosystem {' '.join(f
 _LI = "d AS (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL), li AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1)::INT AS n FROM d)"
 QUERIES = {
     "scope_tree": lambda s, d: scopes(_sc(s, d)).select("id", "parent_scope", "scope_kind", "name", "file_path", "start_line", "end_line"),
-    "innermost_scope": lambda s, d: innermost(_points(s, d).filter("line % 7 = 3"), scopes(bound_symbols(s, d))),  # the slice its SQL is fixed to
-    "innermost_scope_all": lambda s, d: innermost(_points(s, d), scopes(bound_symbols(s, d))),
+    "innermost_scope": lambda s, d: innermost(_points(s, d), scopes(bound_symbols(s, d))),
     "visible_symbols": lambda s, d: visible(_sc(s, d), s.createDataFrame([("larch-marker/manifestkit-2/tests/token/span_frame.java", 30)], "file_path string, line int")).select("id", "name"),
     "resolve_qualified": lambda s, d: resolve(_sc(s, d), imports(s, d), "DigestShard::matchEdge"),
     "references_without_builtins": lambda s, d: not_builtin(refs(s, d), "rust").groupBy("reference_kind").agg(F.count("*").alias("n")),
-    "java_equivalents": lambda s, d: java_equivalent(symbols(s, d, ["id", "language", "return_type"])),
+    "java_equivalents": lambda s, d: java_equivalent(symbols(s, d, ["id", "name", "kind", "file_path", "start_line", "language", "return_type"])),
     "document_types": lambda s, d: table(s, d, "documents").filter("path is not null").select("doc_id", doc_type(F.col("path")).alias("doc_type")),
     "config_digests": lambda s, d: _flat(configs(_made(s, d))),
     "project_commands": lambda s, d: project_commands(table(s, d, "projects")),
@@ -236,16 +242,16 @@ QUERIES = {
     "project_compass": lambda s, d: compass(symbols(s, d, ["id", "kind", "file_path", "language", "visibility"]), table(s, d, "projects")),
     "expand_project_node": lambda s, d: expand_node(table(s, d, "project_nodes").groupBy("id").agg(F.max(F.struct("updated_at", "parent_id")).alias("v")).select("id", "v.parent_id"), symbols(s, d, ["id", "file_path"]), NODE),
     "context_coverage": lambda s, d: coverage(bound_symbols(s, d), refs(s, d), imports(s, d)),
-    "important_files": lambda s, d: important_files(table(s, d, "projects").select(F.col("manifest_path").alias("path"))),
+    "important_files": lambda s, d: important_files(table(s, d, "projects").select(F.regexp_extract("manifest_path", "^(.*)/[^/]*$", 1).alias("root")), table(s, d, "projects").select(F.col("manifest_path").alias("path")).union(table(s, d, "files").select("path"))),
     "doc_command_languages": lambda s, d: code_blocks(table(s, d, "documents"), "doc_id", "text").groupBy("language").agg(F.count("*").alias("blocks"), F.count_if(F.col("language").isin(SHELLS)).alias("commands")),
 }
 ORACLES = {
     "scope_tree": _W + f", s AS (SELECT *, {_SK} AS scope_kind, end_line - start_line AS width FROM sym WHERE {_SK} IS NOT NULL AND end_line >= start_line) SELECT id, (SELECT o.id FROM s o WHERE o.file_path = s.file_path AND o.start_line <= s.start_line AND o.end_line >= s.end_line AND o.width > s.width ORDER BY o.width, o.start_line DESC, o.id LIMIT 1) AS parent_scope, scope_kind, name, file_path, start_line, end_line FROM s",
-    "innermost_scope": f"WITH {REFS_CTE}, p AS (SELECT DISTINCT referenced_in_file AS file_path, line FROM refs WHERE line % 7 = 3) SELECT file_path, line, id AS scope_id FROM (SELECT p.file_path, p.line, b.id, row_number() OVER (PARTITION BY p.file_path, p.line ORDER BY b.end_line - b.start_line, b.start_line DESC, b.id) AS rn FROM p JOIN bsym b ON b.file_path = p.file_path AND p.line BETWEEN b.start_line AND b.end_line) WHERE rn = 1",
+    "innermost_scope": f"WITH {REFS_CTE}, p AS (SELECT DISTINCT referenced_in_file AS file_path, line FROM refs) SELECT file_path, line, id AS scope_id FROM (SELECT p.file_path, p.line, b.id, row_number() OVER (PARTITION BY p.file_path, p.line ORDER BY b.end_line - b.start_line, b.start_line DESC, b.id) AS rn FROM p JOIN bsym b ON b.file_path = p.file_path AND p.line BETWEEN b.start_line AND b.end_line) WHERE rn = 1",
     "visible_symbols": _W + "SELECT DISTINCT s.id, s.name FROM sym s LEFT JOIN sym o ON o.id = s.parent WHERE s.file_path = 'larch-marker/manifestkit-2/tests/token/span_frame.java' AND s.start_line <= 30 AND (o.id IS NULL OR o.file_path <> s.file_path OR 30 BETWEEN o.start_line AND o.end_line)",
     "resolve_qualified": _W + "SELECT id FROM sym WHERE name = 'matchEdge' AND kind NOT IN ('import','variable') AND parent IN (SELECT id FROM sym WHERE name = 'DigestShard' AND kind NOT IN ('import','variable'))",
-    "references_without_builtins": f"WITH {REFS_CTE} SELECT reference_kind, count(*) AS n FROM refs WHERE symbol_name NOT IN ('" + "','".join(BUILTINS["rust"].split()) + "') GROUP BY 1",
-    "java_equivalents": _W + f"SELECT id, k AS kotlin_type, CASE k {' '.join(f'WHEN {a!r} THEN {b!r}' for a, b in KOTLIN_TO_JAVA.items())} ELSE k END AS java_type FROM (SELECT id, unnest(list_distinct(regexp_extract_all(return_type, '([A-Za-z]\\w*)', 1))) AS k FROM sym WHERE language = 'kotlin')",
+    "references_without_builtins": f"WITH {REFS_CTE} SELECT reference_kind, count(*) AS n FROM refs WHERE symbol_name NOT IN ('i8', 'i16', 'i32', 'i64', 'i128', 'isize', 'u8', 'u16', 'u32', 'u64', 'u128', 'usize', 'f32', 'f64', 'bool', 'char', 'str', 'String', 'Self', 'self', 'Vec', 'Option', 'Result', 'Box', 'Rc', 'Arc', 'Cell', 'RefCell', 'Ok', 'Err', 'Some', 'None') GROUP BY 1",
+    "java_equivalents": _W + ", k AS (SELECT id, k AS kotlin_type, CASE k WHEN 'Int' THEN 'Integer' WHEN 'Char' THEN 'Character' WHEN 'Any' THEN 'Object' ELSE k END AS java_type FROM (SELECT id, unnest(list_distinct(regexp_extract_all(return_type, '([A-Za-z]\\w*)', 1))) AS k FROM sym WHERE language = 'kotlin') WHERE k NOT IN ('Unit', 'Nothing')), j AS (SELECT name, arg_min(id, (file_path, start_line, id)) AS java_id FROM sym WHERE language = 'java' AND kind NOT IN ('import', 'variable') GROUP BY 1) SELECT k.id, kotlin_type, java_type, java_id FROM k LEFT JOIN j ON j.name = k.java_type",
     "document_types": "SELECT doc_id, CASE WHEN n LIKE 'readme%' THEN 'readme' WHEN n LIKE 'contributing%' THEN 'contributing' WHEN n LIKE 'changelog%' THEN 'changelog' WHEN n LIKE 'license%' THEN 'license' WHEN n LIKE 'architecture%' THEN 'architecture' WHEN n LIKE '%.md' THEN 'other' END AS doc_type FROM (SELECT doc_id, lower(string_split(path, '/')[-1]) AS n FROM documents WHERE path IS NOT NULL)",
     "config_digests": "WITH p AS (SELECT DISTINCT id FROM projects) " + " UNION ALL ".join(f"SELECT concat('p', id, '/{n}') AS path, '{t}' AS config_type, {b} AS build_targets, {te} AS test_commands, {r} AS run_commands FROM p" for n, t, b, te, r in [("package.json", "npm", "'build'", "concat('npm run test:', id)", "concat('npm run dev,node m', id, '.js')"), ("Cargo.toml", "cargo", "'build'", "'cargo test'", "concat('cargo run,cargo run --bin b', id)"), ("Makefile", "make", "'all'", "concat('make test', id)", "'make run'"), ("go.mod", "go", "'go build'", "'go test ./...'", "'go run .'"), ("pyproject.toml", "python", "'python -m build'", "'pytest'", "''")]),
     "project_commands": f"SELECT DISTINCT id AS project_id, role, command FROM ({_CMD}) WHERE command IS NOT NULL",
@@ -253,7 +259,6 @@ ORACLES = {
     "project_compass": _W + f"SELECT 'language' AS section, language AS key, count(*) AS value FROM sym GROUP BY 2 UNION ALL (SELECT 'module', regexp_extract(file_path, '^(.*)/[^/]*$', 1), count(*) FROM sym WHERE kind IN ('function','method') OR kind IN {_T} GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 10) UNION ALL SELECT 'build_tool', ecosystem, count(*) FROM (SELECT DISTINCT * FROM projects) GROUP BY 2",
     "expand_project_node": _W + f", {_NODES} SELECT part, key, symbols FROM (SELECT 0 AS o, 'node' AS part, id AS key, NULL::BIGINT AS symbols FROM n WHERE parent_id = '{NODE}' UNION ALL SELECT 1, 'file', file_path, count(*) FROM sym WHERE concat('dir:', regexp_extract(file_path, '^(.*)/[^/]*$', 1)) = '{NODE}' GROUP BY file_path) ORDER BY o, key LIMIT 20",
     "context_coverage": f"WITH {REFS_CTE}, {IMPORTS_CTE} SELECT (SELECT coalesce(bool_or(kind = 'module'), FALSE) FROM bsym) AS module_graph, (SELECT count(*) > 0 FROM bsym) AS symbol_graph, (SELECT count(imported_path) > 0 FROM imports) AS import_graph, (SELECT count(*) FILTER (reference_kind = 'call') > 0 FROM refs) AS call_graph, (SELECT coalesce(bool_or(kind = 'module'), FALSE) AND count(*) > 0 FROM bsym) AND (SELECT count(imported_path) > 0 FROM imports) AS complete",
-    "important_files": "SELECT DISTINCT manifest_path AS path FROM projects WHERE string_split(manifest_path, '/')[-1] IN ('" + "','".join(IMPORTANT) + "')",
-    "doc_command_languages": f"WITH {_LI}, f AS (SELECT *, sum(CASE WHEN starts_with(ltrim(line, ' '), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS k, sum(CASE WHEN starts_with(ltrim(line, ' '), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS z FROM li), b AS (SELECT nullif(regexp_extract(ltrim(arg_min(line, n), ' '), '^`+\\s*(\\S*)', 1), '') AS language FROM f WHERE k % 2 = 1 AND k < z GROUP BY doc_id, k) SELECT language, count(*) AS blocks, count(*) FILTER (language IN ('" + "','".join(SHELLS) + "')) AS commands FROM b GROUP BY 1",
+    "important_files": "SELECT DISTINCT p.root, f.path FROM (SELECT regexp_extract(manifest_path, '^(.*)/[^/]*$', 1) AS root FROM projects) p JOIN (SELECT path FROM files UNION SELECT manifest_path FROM projects) f ON starts_with(f.path, concat(p.root, '/')) AND substr(f.path, length(p.root) + 2) IN ('README.md', 'README', 'CLAUDE.md', 'AGENTS.md', 'Cargo.toml', 'package.json', 'build.gradle.kts', 'build.gradle', 'pom.xml', 'src/lib.rs', 'src/main.rs', 'src/index.ts', 'tsconfig.json', '.env.example', 'docker-compose.yml', 'Dockerfile')",
+    "doc_command_languages": f"WITH {_LI}, f AS (SELECT *, sum(CASE WHEN starts_with(ltrim(line, ' '), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS k, sum(CASE WHEN starts_with(ltrim(line, ' '), '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS z FROM li), b AS (SELECT nullif(regexp_extract(ltrim(arg_min(line, n), ' '), '^`+\\s*(\\S*)', 1), '') AS language FROM f WHERE k % 2 = 1 AND k < z GROUP BY doc_id, k) SELECT language, count(*) AS blocks, count(*) FILTER (language IN ('bash', 'sh', 'shell', 'zsh', 'console', 'terminal', 'cmd', 'powershell', 'ps1')) AS commands FROM b GROUP BY 1",
 }
-ORACLES["innermost_scope_all"] = ORACLES["innermost_scope"].replace(" WHERE line % 7 = 3", "")

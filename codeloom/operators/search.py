@@ -8,6 +8,7 @@ results end in the id, and top-k is Spark's own (no full sort).
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -18,15 +19,30 @@ from pyspark.sql import functions as F
 from codeloom.operators.lookup import OUT
 from codeloom.operators.stats import directory
 from codeloom.operators.tags import files_with_tags, with_all_tags
-from codeloom.plans.index import BSYM_CTE, EDGES_CTE, FUNCTION_KINDS, SYM, TAGS_ALL_CTE, TAGS_CTE, TYPE_KINDS, bound_symbols, call_edges, file_tags, symbols
+from codeloom.plans.index import BSYM_CTE, EDGES_CTE, FUNCTION_KINDS, SYM, TAGS_CTE, TYPE_KINDS, bound_symbols, call_edges, file_tags, symbols
 from codeloom.sources.tables import table
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 # Weights of the ranking and of visibilities.
 WEIGHTS = {"name": 0.4, "visibility": 0.2, "pagerank": 0.2, "recency": 0.1, "locality": 0.1}
 VISIBILITY = {"public": 1.0, "internal": 0.7, "protected": 0.5, "private": 0.3}
-# Frameworks by a token that shows them.
-FRAMEWORKS = [("std", "hashmap"), ("deque", "deque"), ("promise", "promise"), ("actix", "actix"), ("axum", "axum"), ("django", "django"), ("flask", "flask"), ("react", "react"), ("spring", "springframework"), ("label", "label")]
+# Frameworks as (name, searched word, category, evidence).
+FRAMEWORKS = [
+    ("actix", "actix_web", "web", "import of actix_web"), ("axum", "axum", "web", "import of axum"), ("rocket", "rocket", "web", "import of rocket"), ("warp", "warp", "web", "import of warp"), ("tokio", "tokio", "async runtime", "import of tokio"),
+    ("clap", "clap", "cli", "import of clap"), ("serde", "serde", "serialization", "import of serde"), ("React", "React", "web", "import of React"), ("Vue", "Vue", "web", "import of Vue"), ("Angular", "angular", "web", "import of angular"),
+    ("Express", "express", "web", "import of express"), ("Next.js", "next", "web", "import of next"), ("Jest", "jest", "testing", "import of jest"), ("Mocha", "mocha", "testing", "import of mocha"), ("Django", "django", "web", "import of django"),
+    ("Flask", "flask", "web", "import of flask"), ("FastAPI", "fastapi", "web", "import of fastapi"), ("pytest", "pytest", "testing", "import of pytest"), ("Spring", "springframework", "web", "import of spring"),
+    ("Spring Boot", "SpringBootApplication", "web", "SpringBootApplication annotation"), ("JUnit", "junit", "testing", "import of junit"),
+]
+# Entry points as (type, priority, words of which one must be found, with the evidence of each, words of which the name must hold one, of which the path must hold one).
+ENTRIES = [
+    ("main", 0, [("main", "fn main() in main file")], [], ["main.", "/Main.java", "/Main.kt"]),
+    ("tokio_main", 0, [("tokio_main", "#[tokio::main] attribute")], [], []),
+    ("actix_main", 0, [("actix_web_main", "#[actix_web::main] attribute")], [], []),
+    ("server", 1, [("listen", "server.listen() call"), ("serve", "serve() call"), ("bind", "server.bind() call"), ("run_server", "run_server function"), ("start_server", "start_server function")], ["server", "listen"], []),
+    ("cli", 2, [("command", "CLI command handler"), ("subcommand", "CLI subcommand handler"), ("execute", "execute command"), ("run_cli", "CLI runner")], [], ["cli", "command", "cmd"]),
+    ("rest_endpoint", 3, [("get_", "GET endpoint"), ("post_", "POST endpoint"), ("put_", "PUT endpoint"), ("delete_", "DELETE endpoint"), ("patch_", "PATCH endpoint"), ("handler", "request handler")], [], ["api", "handler", "route", "controller"]),
+]
 
 
 def tokens(text: Column) -> Column:
@@ -165,22 +181,41 @@ def overlay_search(base: DataFrame, overlay: DataFrame, query: str, limit: int =
     return hit(overlay, 0).unionByName(hit(rest, 1)).orderBy("origin", F.desc("score"), "file_path", "start_line", "id").limit(limit)
 
 
+def found(t: Column, query: str) -> Column:
+    """Whether an array of tokens answers a query: it has all of its words, the last as a prefix."""
+    q = query_tokens(query)
+    hit = F.exists(t, lambda x: x.startswith(q[-1]))
+    for w in q[:-1]:
+        hit = F.array_contains(t, w) & hit
+    return hit
+
+
+def searched(df: DataFrame) -> DataFrame:
+    """Adds t: the tokens of name, signature and doc comment."""
+    return df.withColumn("t", F.concat(*[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in ("name", "signature", "doc_comment")]))
+
+
 def entry_points(df: DataFrame) -> DataFrame:
-    """(file, line) of likely entry points with the detector of the highest priority."""
-    f = F.col("kind").isin(FUNCTION_KINDS)
-    n, p = F.lower("name"), F.lower("file_path")
-    rule = F.when(f & (n == "main"), F.struct(F.lit(1).alias("priority"), F.lit("main").alias("entry_type")))
-    for i, (kind, test) in enumerate([("server", f & n.rlike("serve|listen")), ("cli", f & p.contains("/cli/") & (F.col("visibility") == "public")), ("rest", f & p.contains("/api/") & (F.col("visibility") == "public"))], 2):
-        rule = rule.when(test, F.struct(F.lit(i).alias("priority"), F.lit(kind).alias("entry_type")))
-    d = df.withColumn("e", rule).filter("e is not null").select("id", "name", "file_path", "start_line", "e.*")
+    """(id, name, file_path, start_line, priority, entry_type, evidence): functions that one of the detectors takes for an
+    entry point; of several in one line of a file, and of several detectors, the one of the highest priority."""
+    any_of = lambda c, words: F.lit(not words) if not words else functools.reduce(lambda a, b: a | b, [c.contains(w) for w in words])
+    d = searched(df.filter(F.col("kind") == "function"))
+    rule = None
+    for kind, priority, words, names, paths in ENTRIES:
+        test = any_of(F.col("name"), names) & any_of(F.col("file_path"), paths) & (F.col("name") == "main" if kind == "main" else F.lit(True))
+        for w, evidence in words:
+            hit, e = test & found(F.col("t"), w), F.struct(F.lit(priority).alias("priority"), F.lit(kind).alias("entry_type"), F.lit(evidence).alias("evidence"))
+            rule = F.when(hit, e) if rule is None else rule.when(hit, e)
+    d = d.withColumn("e", rule).filter("e is not null").select("id", "name", "file_path", "start_line", "e.*")
     return diversify(d, F.struct("file_path", "start_line"), 1, ["priority", "id"])
 
 
-def frameworks(sources: DataFrame) -> DataFrame:
-    """Frameworks whose token occurs in some text."""
-    known = sources.sparkSession.createDataFrame(FRAMEWORKS, "framework string, token string")
-    t = sources.filter("body is not null").select(F.explode(F.array_distinct(tokens(F.col("body")))).alias("token"))
-    return t.join(F.broadcast(known), "token").groupBy("framework").agg(F.count("*").alias("files"))
+def frameworks(df: DataFrame) -> DataFrame:
+    """(name, category, evidence) of the frameworks whose word some symbol's name, signature or comment has: one pass over
+    the symbols, in which each partition keeps one bit for each framework."""
+    t = searched(df).agg(*[F.coalesce(F.bool_or(found(F.col("t"), w)), F.lit(False)).alias(name.replace(".", "_")) for name, w, _, _ in FRAMEWORKS])
+    each = F.array(*[F.when(F.col(f"`{n.replace('.', '_')}`"), F.struct(F.lit(n).alias("name"), F.lit(c).alias("category"), F.lit(e).alias("evidence"))) for n, _, c, e in FRAMEWORKS])
+    return t.select(F.explode(F.array_compact(each)).alias("f")).select("f.*")
 
 
 def compass(df: DataFrame, nodes: DataFrame, documents: DataFrame, query: str) -> DataFrame:
@@ -215,13 +250,13 @@ def _overlay(s, d):
     return b.withColumn("start_line", F.col("start_line") + 1000).withColumn("end_line", F.col("end_line") + 1000).withColumn("id", F.concat(F.lit("o"), "id"))
 
 
-def _by_tag(s, d, every=False):
-    ok = with_all_tags(file_tags(s, d, every), [("domain", "auth"), (None, "service")])
+def _by_tag(s, d):
+    ok = with_all_tags(file_tags(s, d), [("domain", "auth"), (None, "service")])
     return bound_symbols(s, d).join(ok, "file_path", "left_semi").filter(F.lower("name").contains("ring")).orderBy("file_path", "start_line", "id").limit(50)
 
 
-def _with_meta(s, d, every=False):
-    return _by_tag(s, d, every).join(files_with_tags(file_tags(s, d, every)), "file_path", "left").select("id", "name", "file_path", "tags")
+def _with_meta(s, d):
+    return _by_tag(s, d).join(files_with_tags(file_tags(s, d)), "file_path", "left").select("id", "name", "file_path", "tags")
 
 
 _AFTER = (0.9, "enum", "src/brand_22/m1.rs", 1, "")
@@ -241,7 +276,29 @@ _VIS = "CASE visibility " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in VISIBILI
 _RING = BSYM_CTE + ", sc AS (SELECT *, CASE WHEN lower(name) = 'small_ring' THEN 1.0 WHEN starts_with(lower(name), 'small_ring') THEN 0.9 ELSE 0.7 END::DOUBLE AS score FROM bsym WHERE contains(lower(name), 'ring'))"
 _OV = BSYM_CTE + ", ov AS (SELECT concat('o', id) AS id, name, kind, file_path, start_line + 1000 AS start_line, end_line + 1000 AS end_line FROM bsym WHERE file_path LIKE '%brand_12/%')"
 _TAGGED = f"WITH {BSYM_CTE}, {TAGS_CTE}, ok AS (SELECT DISTINCT file_path FROM file_tags WHERE category = 'domain' AND tag = 'auth' AND file_path IN (SELECT file_path FROM file_tags WHERE tag = 'service')), hit AS (SELECT * FROM bsym WHERE file_path IN (SELECT file_path FROM ok) AND contains(lower(name), 'ring') ORDER BY file_path, start_line, id LIMIT 50)"
-_ENTRY = "CASE WHEN kind IN ('function','method') AND lower(name) = 'main' THEN 1 WHEN kind IN ('function','method') AND regexp_matches(lower(name), 'serve|listen') THEN 2 WHEN kind IN ('function','method') AND contains(lower(file_path), '/cli/') AND visibility = 'public' THEN 3 WHEN kind IN ('function','method') AND contains(lower(file_path), '/api/') AND visibility = 'public' THEN 4 END"
+_TOK = "list_filter(string_split_regex(lower(concat_ws(' ', name, signature, doc_comment)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+_HAS = lambda words: "(" + " OR ".join(f"len(list_filter(t, lambda x: starts_with(x, '{q[-1]}'))) > 0" + "".join(f" AND list_contains(t, '{w}')" for w in q[:-1]) for q in map(query_tokens, words)) + ")"
+_ENTRY = f"""CASE WHEN name = 'main' AND {_HAS(['main'])} AND (contains(file_path, 'main.') OR contains(file_path, '/Main.java') OR contains(file_path, '/Main.kt')) THEN 'main' WHEN {_HAS(['tokio_main'])} THEN 'tokio_main' WHEN {_HAS(['actix_web_main'])} THEN 'actix_main'
+ WHEN (contains(name, 'server') OR contains(name, 'listen')) AND {_HAS(['listen', 'serve', 'bind', 'run_server', 'start_server'])} THEN 'server'
+ WHEN regexp_matches(file_path, 'cli|command|cmd') AND {_HAS(['command', 'subcommand', 'execute', 'run_cli'])} THEN 'cli'
+ WHEN regexp_matches(file_path, 'api|handler|route|controller') AND {_HAS(['get_', 'post_', 'put_', 'delete_', 'patch_', 'handler'])} THEN 'rest_endpoint' END"""
+_EVIDENCE = f"""CASE entry_type WHEN 'main' THEN 'fn main() in main file' WHEN 'tokio_main' THEN '#[tokio::main] attribute' WHEN 'actix_main' THEN '#[actix_web::main] attribute'
+ WHEN 'server' THEN CASE WHEN {_HAS(['listen'])} THEN 'server.listen() call' WHEN {_HAS(['serve'])} THEN 'serve() call' WHEN {_HAS(['bind'])} THEN 'server.bind() call' WHEN {_HAS(['run_server'])} THEN 'run_server function' ELSE 'start_server function' END
+ WHEN 'cli' THEN CASE WHEN {_HAS(['command'])} THEN 'CLI command handler' WHEN {_HAS(['subcommand'])} THEN 'CLI subcommand handler' WHEN {_HAS(['execute'])} THEN 'execute command' ELSE 'CLI runner' END
+ ELSE CASE WHEN {_HAS(['get_'])} THEN 'GET endpoint' WHEN {_HAS(['post_'])} THEN 'POST endpoint' WHEN {_HAS(['put_'])} THEN 'PUT endpoint' WHEN {_HAS(['delete_'])} THEN 'DELETE endpoint' WHEN {_HAS(['patch_'])} THEN 'PATCH endpoint' ELSE 'request handler' END END"""
+_PLANT = """SELECT concat('e', cast(p_partkey AS varchar(20))) AS id, CASE p_partkey % 9 WHEN 0 THEN 'main' WHEN 1 THEN 'run_server' WHEN 2 THEN 'listener' WHEN 3 THEN 'execute_all' WHEN 4 THEN 'get_user' WHEN 5 THEN 'delete_user' WHEN 6 THEN 'tokio_main' WHEN 7 THEN 'bind_server' ELSE 'plain' END AS name,
+ CASE p_partkey % 10 WHEN 9 THEN 'method' ELSE 'function' END AS kind, concat(CASE p_partkey % 5 WHEN 0 THEN 'src/cli/' WHEN 1 THEN 'src/api/' WHEN 2 THEN 'src/' WHEN 3 THEN 'cmd/' ELSE 'lib/routes/' END, 'f', cast(p_partkey % 300 AS varchar(20)), '/', CASE p_partkey % 4 WHEN 0 THEN 'main.rs' WHEN 1 THEN 'Main.kt' ELSE 'other.py' END) AS file_path,
+ cast(p_partkey % 3 AS int) AS start_line, 0 AS end_line, CASE p_partkey % 6 WHEN 0 THEN 'use actix_web::HttpServer' WHEN 1 THEN 'fn x(a: ReactNode)' ELSE NULL END AS signature, CASE p_partkey % 7 WHEN 0 THEN 'A web of the actix kind; request handler, pytest-like. Next, start server.' ELSE NULL END AS doc_comment FROM {part}"""
+_PL = "WITH sym AS (" + _PLANT.format(part="part") + ")"
+_EP = f", a AS (SELECT *, {_ENTRY} AS entry_type FROM (SELECT id, name, file_path, start_line, {_TOK} AS t FROM sym WHERE kind = 'function')), b AS (SELECT *, CASE WHEN entry_type IN ('main', 'tokio_main', 'actix_main') THEN 0 WHEN entry_type = 'server' THEN 1 WHEN entry_type = 'cli' THEN 2 ELSE 3 END AS priority, {_EVIDENCE} AS evidence FROM a WHERE entry_type IS NOT NULL) SELECT id, name, file_path, start_line, priority, entry_type, evidence FROM (SELECT *, row_number() OVER (PARTITION BY file_path, start_line ORDER BY priority, id) AS rn FROM b) WHERE rn = 1"
+_FR = ", f(name, words, category, evidence) AS (VALUES ('actix', ['actix', 'web'], 'web', 'import of actix_web'), ('axum', ['axum'], 'web', 'import of axum'), ('rocket', ['rocket'], 'web', 'import of rocket'), ('warp', ['warp'], 'web', 'import of warp'), ('tokio', ['tokio'], 'async runtime', 'import of tokio'), ('clap', ['clap'], 'cli', 'import of clap'), ('serde', ['serde'], 'serialization', 'import of serde'), ('React', ['react'], 'web', 'import of React'), ('Vue', ['vue'], 'web', 'import of Vue'), ('Angular', ['angular'], 'web', 'import of angular'), ('Express', ['express'], 'web', 'import of express'), ('Next.js', ['next'], 'web', 'import of next'), ('Jest', ['jest'], 'testing', 'import of jest'), ('Mocha', ['mocha'], 'testing', 'import of mocha'), ('Django', ['django'], 'web', 'import of django'), ('Flask', ['flask'], 'web', 'import of flask'), ('FastAPI', ['fastapi'], 'web', 'import of fastapi'), ('pytest', ['pytest'], 'testing', 'import of pytest'), ('Spring', ['springframework'], 'web', 'import of spring'), ('Spring Boot', ['springbootapplication'], 'web', 'SpringBootApplication annotation'), ('JUnit', ['junit'], 'testing', 'import of junit'))" + f", d AS (SELECT {_TOK} AS t FROM sym) SELECT name, category, evidence FROM f WHERE EXISTS (SELECT 1 FROM d WHERE len(list_filter(t, lambda x: starts_with(x, f.words[-1]))) > 0 AND (len(f.words) = 1 OR list_contains(t, f.words[1])))"
+
+
+
+def _planted(s, d):
+    return s.sql(_PLANT, part=table(s, d, "part"))
+
+
 QUERIES = {
     "fts_bm25": lambda s, d: bm25(_s(s, d, "signature", "doc_comment"), "id", ["name", "signature", "doc_comment"], "lock snap"),
     "fts_prefix": lambda s, d: bm25(table(s, d, "documents"), "doc_id", ["text"], "depth*", 50),
@@ -256,8 +313,10 @@ QUERIES = {
     "overlay_search": lambda s, d: overlay_search(bound_symbols(s, d), _overlay(s, d), "small_ring"),
     "search_by_tag": lambda s, d: _by_tag(s, d).select("id", "name", "file_path"),
     "search_with_file_meta": _with_meta,
-    "entry_points": lambda s, d: entry_points(_s(s, d, "visibility")),
-    "framework_detection": lambda s, d: frameworks(table(s, d, "sources")),
+    "entry_points": lambda s, d: entry_points(_s(s, d, "signature", "doc_comment")),
+    "entry_points_planted": lambda s, d: entry_points(_planted(s, d)),
+    "framework_detection": lambda s, d: frameworks(_s(s, d, "signature", "doc_comment")),
+    "framework_detection_planted": lambda s, d: frameworks(_planted(s, d)),
     "compass_query": lambda s, d: compass(_s(s, d, "signature"), table(s, d, "project_nodes"), table(s, d, "documents"), "cursor"),
 }
 ORACLES = {
@@ -274,10 +333,9 @@ ORACLES = {
     "overlay_search": f"WITH {_OV}, a AS (SELECT *, 0 AS origin FROM ov UNION ALL SELECT {_O}, 1 FROM bsym WHERE file_path NOT IN (SELECT file_path FROM ov)) SELECT *, CASE WHEN lower(name) = 'small_ring' THEN 1.0 WHEN starts_with(lower(name), 'small_ring') THEN 0.9 ELSE 0.7 END::DOUBLE AS score FROM a WHERE contains(lower(name), 'small_ring') ORDER BY origin, score DESC, file_path, start_line, id LIMIT 20",
     "search_by_tag": _TAGGED + " SELECT id, name, file_path FROM hit",
     "search_with_file_meta": _TAGGED + " SELECT id, name, file_path, tags FROM hit LEFT JOIN (SELECT file_path, string_agg(DISTINCT concat(category, ':', tag), ',' ORDER BY concat(category, ':', tag)) AS tags FROM file_tags GROUP BY 1) t USING (file_path)",
-    "entry_points": _W + f"SELECT id, name, file_path, start_line, priority, CASE priority WHEN 1 THEN 'main' WHEN 2 THEN 'server' WHEN 3 THEN 'cli' ELSE 'rest' END AS entry_type FROM (SELECT *, row_number() OVER (PARTITION BY file_path, start_line ORDER BY priority, id) AS rn FROM (SELECT *, {_ENTRY} AS priority FROM sym) WHERE priority IS NOT NULL) WHERE rn = 1",
-    "framework_detection": "WITH f(framework, token) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in FRAMEWORKS) + ") SELECT framework, count(*) AS files FROM f JOIN (SELECT unnest(list_distinct(string_split_regex(lower(body), '[^\\p{L}\\p{N}]+'))) AS token FROM sources WHERE body IS NOT NULL) t USING (token) GROUP BY 1",
+    "entry_points": f"{_W} {_EP}",
+    "entry_points_planted": f"{_PL} {_EP}",
+    "framework_detection": f"{_W} {_FR}",
+    "framework_detection_planted": f"{_PL} {_FR}",
     "compass_query": _bm25_sql(_W, "id", "sym", ["name", "signature"], "cursor", 4) + "SELECT * FROM (SELECT 'symbol' AS result_type, id AS key, score FROM best UNION ALL (SELECT DISTINCT 'module', id, 0.8::DOUBLE FROM project_nodes WHERE contains(lower(name), 'cursor') ORDER BY id LIMIT 2) UNION ALL (SELECT 'doc', doc_id::VARCHAR, 0.7::DOUBLE FROM documents WHERE regexp_matches(lower(text), '(?m)^#{1,6}[ ].*cursor') ORDER BY doc_id LIMIT 1)) ORDER BY score DESC, result_type, key LIMIT 10",
 }
-# The same over the tags of every row.
-QUERIES |= {"search_by_tag_all": lambda s, d: _by_tag(s, d, True).select("id", "name", "file_path"), "search_with_file_meta_all": lambda s, d: _with_meta(s, d, True)}
-ORACLES |= {n: ORACLES[n.removesuffix("_all")].replace(TAGS_CTE, TAGS_ALL_CTE) for n in ("search_by_tag_all", "search_with_file_meta_all")}

@@ -12,9 +12,9 @@ from codeloom.plans.index import BSYM_CTE, FUNCTION_KINDS, REFS_CTE, SYM, TYPE_K
 
 
 # Names that are entry points or run by the runtime, and so are never dead.
-ALLOWED = ["main", "new", "default", "init", "setup", "teardown", "run", "start", "drop"]
-# Words in type names that stand for a pattern.
-PATTERNS = ["Repository", "Service", "Factory", "Builder", "Controller", "Handler", "Session", "Cursor"]
+ALLOWED = ["main", "__init__", "new", "default", "drop", "clone", "fmt", "from", "into"]
+# Words in type names that stand for a pattern, and the pattern's name.
+PATTERNS = {"Repository": "Repository Pattern", "Service": "Service Layer", "Factory": "Factory Pattern", "Builder": "Builder Pattern", "Controller": "MVC/Controller Pattern", "Handler": "Handler Pattern"}
 
 
 def counts(df: DataFrame, key: str) -> DataFrame:
@@ -64,8 +64,10 @@ def key_functions(df: DataFrame, n: int = 30) -> DataFrame:
 
 
 def pattern_flags(df: DataFrame) -> DataFrame:
+    """(pattern, found): one row for each known pattern."""
     d = df.filter(F.col("kind").isin(TYPE_KINDS))
-    return d.agg(*[F.coalesce(F.bool_or(F.col("name").contains(p)), F.lit(False)).alias(p.lower()) for p in PATTERNS])
+    flags = d.agg(*[F.coalesce(F.bool_or(F.col("name").contains(p)), F.lit(False)).alias(label) for p, label in PATTERNS.items()])
+    return flags.unpivot([], flags.columns, "pattern", "found")
 
 
 def module_stats(df: DataFrame, path: str) -> DataFrame:
@@ -174,9 +176,9 @@ ORACLES = {
     "top_modules": _W + f"SELECT {_DIR} AS directory, count(*) AS symbols FROM sym WHERE kind IN {_F} OR kind IN {_T} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15",
     "key_types": _W + f"SELECT id, name, is_key FROM (SELECT *, (name ILIKE '%session%' OR file_path ILIKE '%session%' OR name ILIKE '%index%' OR file_path ILIKE '%index%') AS is_key FROM sym WHERE kind IN {_T}) ORDER BY is_key DESC, file_path, start_line, id LIMIT 20",
     "key_functions": _W + f"SELECT id, name, is_key FROM (SELECT *, coalesce(visibility = 'public', FALSE) OR name IN ('main','new') OR name LIKE 'create%' OR name LIKE 'init%' AS is_key FROM sym WHERE kind IN {_F}) ORDER BY is_key DESC, file_path, start_line, id LIMIT 30",
-    "pattern_flags": _W + "SELECT " + ", ".join(f"coalesce(bool_or(contains(name, '{p}')), FALSE) AS {p.lower()}" for p in PATTERNS) + f" FROM sym WHERE kind IN {_T}",
+    "pattern_flags": _W + f"SELECT pattern, coalesce((SELECT bool_or(contains(name, w)) FROM sym WHERE kind IN {_T}), FALSE) AS found FROM (VALUES ('Repository', 'Repository Pattern'), ('Service', 'Service Layer'), ('Factory', 'Factory Pattern'), ('Builder', 'Builder Pattern'), ('Controller', 'MVC/Controller Pattern'), ('Handler', 'Handler Pattern')) p(w, pattern)",
     "module_stats": _W + f"SELECT count(*) FILTER (kind IN {_F}) AS functions, count(*) FILTER (kind IN {_T}) AS types FROM sym WHERE starts_with(file_path, 'larch-marker/')",
-    "dead_functions": f"WITH {REFS_CTE} SELECT id, name, file_path, start_line FROM bsym WHERE kind IN {_F} AND (visibility IS NULL OR visibility IN ('private','internal')) AND NOT name ILIKE 'test_%' AND name NOT IN ('" + "','".join(ALLOWED) + "') AND name NOT IN (SELECT symbol_name FROM refs WHERE reference_kind = 'call')",
+    "dead_functions": f"WITH {REFS_CTE} SELECT id, name, file_path, start_line FROM bsym WHERE kind IN {_F} AND (visibility IS NULL OR visibility IN ('private','internal')) AND NOT name ILIKE 'test_%' AND name NOT IN ('main', '__init__', 'new', 'default', 'drop', 'clone', 'fmt', 'from', 'into') AND name NOT IN (SELECT symbol_name FROM refs WHERE reference_kind = 'call')",
     "dead_types": f"WITH {REFS_CTE} SELECT id, name, file_path, start_line FROM bsym WHERE kind IN {_T} AND (visibility IS NULL OR visibility IN ('private','internal')) AND name NOT IN (SELECT symbol_name FROM refs WHERE reference_kind = 'type_use')",
     "parameter_count": f"WITH {BSYM_CTE} SELECT id, CASE WHEN signature LIKE '%()' THEN 0 WHEN signature LIKE '%(a: T)' THEN 1 WHEN signature LIKE '%b: U)' THEN 2 ELSE 3 END::INT AS parameters FROM bsym",
     "function_metrics": _W + f"SELECT id, greatest(end_line - start_line + 1, 0)::INT AS loc, {_PARAMS} AS parameters FROM sym WHERE kind IN {_F}",

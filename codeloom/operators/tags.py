@@ -11,10 +11,13 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.plans.index import SYM, TAGS_ALL_CTE, TAGS_CTE, file_tags, symbols
+from codeloom.plans.index import SYM, TAGS_CTE, file_tags, symbols
 
 # The seed dictionary (id, category, name, synonyms).
-DICTIONARY = [(1, "domain", "auth", ["authn", "login"]), (2, "domain", "payment", ["billing", "pay"]), (3, "layer", "api", ["endpoint"]), (4, "layer", "db", ["database", "storage"]), (5, "layer", "service", ["svc"]), (6, "layer", "ui", ["view", "frontend"])]
+DICTIONARY = [
+    (1, "domain", "auth", ["authn", "login", "sso"]), (2, "domain", "payments", ["billing", "checkout"]), (3, "layer", "api", ["rest", "handler", "controller"]), (4, "layer", "service", ["business", "usecase"]), (5, "layer", "repository", ["dao", "store"]),
+    (6, "layer", "model", ["entity", "dto"]), (7, "pattern", "idempotency", ["idempotent"]), (8, "pattern", "cache", ["memoize"]), (9, "pattern", "retry", ["backoff"]), (10, "infra", "test", ["spec", "fixture"]), (11, "infra", "config", ["settings", "env"]), (12, "infra", "cli", ["command", "args"]), (13, "infra", "mcp", ["tool", "server"]),
+]
 RULES = [("**/brand_1*/**", "domain:auth", 0.9), ("src/**/m1.rs", "layer:api", 0.7), ("**/m[23].rs", "layer:db", 0.8), ("src/brand_1?/*.rs", "layer:api", 0.7), ("**", "layer:ui", 0.0), ("[", "layer:db", 0.99)]
 
 
@@ -83,12 +86,12 @@ def files_with_tags(tags: DataFrame) -> DataFrame:
     return tags.groupBy("file_path").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "category", "tag"))), ",").alias("tags"), F.round(F.max("confidence"), 6).alias("best"))
 
 
-def _paths(s, d, every=False):
-    return file_tags(s, d, every).select("file_path").distinct()
+def _paths(s, d):
+    return file_tags(s, d).select("file_path").distinct()
 
 
 def _words(s, d):
-    return symbols(s, d, ["name"]).select(F.lower("name").alias("word")).distinct().unionByName(s.createDataFrame([("Login",), (" authn",), ("billing",), ("VIEW",), ("nothing",)], "word string"))
+    return symbols(s, d, ["name"]).select(F.lower("name").alias("word")).distinct().unionByName(s.createDataFrame([("Login",), (" authn",), ("billing",), ("REST",), ("nothing",)], "word string"))
 
 
 _W = f"WITH {TAGS_CTE} "
@@ -105,19 +108,10 @@ QUERIES = {
 }
 ORACLES = {
     "files_with_all_tags": _W + "SELECT DISTINCT file_path FROM file_tags WHERE category = 'domain' AND tag = 'auth' AND file_path IN (SELECT file_path FROM file_tags WHERE tag = 'service')",
-    "tag_synonym_resolve": f"WITH {SYM}, {_DICT}, w AS (SELECT DISTINCT lower(name) AS word FROM sym UNION ALL SELECT unnest(['Login', ' authn', 'billing', 'VIEW', 'nothing'])) SELECT word, category, name FROM (SELECT w.word, d.category, d.name, row_number() OVER (PARTITION BY w.word ORDER BY tag_id) AS rn FROM w JOIN dict d ON lower(trim(w.word)) = d.name OR list_contains(d.synonyms, lower(trim(w.word)))) WHERE rn = 1",
+    "tag_synonym_resolve": f"WITH {SYM}, {_DICT}, w AS (SELECT DISTINCT lower(name) AS word FROM sym UNION ALL SELECT unnest(['Login', ' authn', 'billing', 'REST', 'nothing'])) SELECT word, category, name FROM (SELECT w.word, d.category, d.name, row_number() OVER (PARTITION BY w.word ORDER BY tag_id) AS rn FROM w JOIN dict d ON lower(trim(w.word)) = d.name OR list_contains(d.synonyms, lower(trim(w.word)))) WHERE rn = 1",
     "apply_tag_rules": _W + _P + " SELECT file_path, tag, c AS confidence, gl AS pattern FROM (SELECT *, row_number() OVER (PARTITION BY file_path, tag ORDER BY c DESC, o) AS rn FROM p JOIN r ON regexp_matches(file_path, re) WHERE c > 0) WHERE rn = 1",
     "preview_tag_rules": _W + _P + " SELECT o AS rule, count(file_path) AS files FROM r LEFT JOIN p ON regexp_matches(file_path, re) GROUP BY 1",
     "tag_stats": _W + f", {_DICT} SELECT d.category, d.name, count(*) AS files FROM dict d JOIN file_tags t ON t.category = d.category AND t.tag = d.name GROUP BY 1, 2",
     "file_meta_with_tags": _W + "SELECT file_path, string_agg(DISTINCT concat(category, ':', tag), ',' ORDER BY concat(category, ':', tag)) AS tags, round(max(confidence), 6) AS best FROM file_tags GROUP BY 1",
     "glob_filter": f"WITH {SYM} SELECT DISTINCT file_path FROM sym WHERE regexp_matches(file_path, '^(?:.*/)?src/.*/[a-m].*_..*\\.rs$')",
 }
-# The same over the tags of every row.
-QUERIES |= {
-    "files_with_all_tags_all": lambda s, d: with_all_tags(file_tags(s, d, True), [("domain", "auth"), (None, "service")]),
-    "apply_tag_rules_all": lambda s, d: apply_rules(_paths(s, d, True), RULES),
-    "preview_tag_rules_all": lambda s, d: preview_rules(_paths(s, d, True), RULES),
-    "tag_stats_all": lambda s, d: tag_stats(file_tags(s, d, True), dictionary(s)),
-    "file_meta_with_tags_all": lambda s, d: files_with_tags(file_tags(s, d, True)),
-}
-ORACLES |= {n: ORACLES[n.removesuffix("_all")].replace(TAGS_CTE, TAGS_ALL_CTE) for n in ("files_with_all_tags_all", "apply_tag_rules_all", "preview_tag_rules_all", "tag_stats_all", "file_meta_with_tags_all")}

@@ -74,9 +74,7 @@ IMPORTS = """SELECT DISTINCT concat('mod', cast(o_custkey % 200 AS varchar(20)),
 FILE_TAGS = """SELECT file_path, category, tag, max(confidence) AS confidence FROM (
  SELECT concat('src/', lower(replace(p_brand, '#', '_')), '/m', cast(p_partkey % 5 AS varchar(20)), '.rs') AS file_path, CASE l_linenumber % 2 WHEN 0 THEN 'domain' ELSE 'layer' END AS category,
   CASE l_suppkey % 6 WHEN 0 THEN 'auth' WHEN 1 THEN 'payment' WHEN 2 THEN 'api' WHEN 3 THEN 'db' WHEN 4 THEN 'service' ELSE 'ui' END AS tag, l_discount AS confidence
- FROM {lineitem} JOIN {part} ON p_partkey = l_partkey WHERE l_linenumber <= 3 AND l_suppkey % 11 < 4 AND p_size < 26) t GROUP BY file_path, category, tag"""
-# The same tags bound to every row; FILE_TAGS takes 46,892 of 600,000 at sf0.1.
-FILE_TAGS_ALL = FILE_TAGS.replace(" WHERE l_linenumber <= 3 AND l_suppkey % 11 < 4 AND p_size < 26", "")
+ FROM {lineitem} JOIN {part} ON p_partkey = l_partkey) t GROUP BY file_path, category, tag"""
 
 
 def bound_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +94,8 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(IMPORTS, orders=table(spark, sf_dir, "orders"), part=table(spark, sf_dir, "part"))
 
 
-def file_tags(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    return spark.sql(FILE_TAGS_ALL if every else FILE_TAGS, lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"))
+def file_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(FILE_TAGS, lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"))
 
 
 _NAMES = {"part": "part", "lineitem": "lineitem", "orders": "orders", "bsym": "bsym", "refs": "refs"}
@@ -107,4 +105,3 @@ REFS_CTE = BSYM_CTE + ", refs AS (" + REFS.format(**_NAMES) + ")"
 EDGES_CTE = REFS_CTE + ", call_edges AS (" + CALL_EDGES.format(**_NAMES) + ")"
 IMPORTS_CTE = "imports AS (" + IMPORTS.format(**_NAMES) + ")"
 TAGS_CTE = "file_tags AS (" + FILE_TAGS.format(**_NAMES) + ")"
-TAGS_ALL_CTE = "file_tags AS (" + FILE_TAGS_ALL.format(**_NAMES) + ")"

@@ -24,10 +24,10 @@ ROW = "path string, language string, what string, name string, kind string, star
 _NAMES = [x.split()[0] for x in ROW.split(", ")]
 # Built-in types, never references.
 BUILTINS = {
-    "rust": "i8 i16 i32 i64 i128 u8 u16 u32 u64 u128 isize usize f32 f64 bool char str String Vec Option Result Box Self",
-    "java": "int long short byte char float double boolean void String Object Integer Long List Map Set",
-    "kotlin": "Int Long Short Byte Char Float Double Boolean String Unit Any Nothing List Map Set",
-    "typescript": "string number boolean any void never unknown object Promise Array Map Set",
+    "rust": "i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 usize f32 f64 bool char str String Self self Vec Option Result Box Rc Arc Cell RefCell Ok Err Some None",
+    "java": "int long short byte float double boolean char void Int Long Short Byte Float Double Boolean Char String Object Unit Any Nothing",
+    "kotlin": "int long short byte float double boolean char void Int Long Short Byte Float Double Boolean Char String Object Unit Any Nothing",
+    "typescript": "string number boolean void null undefined any unknown never object symbol bigint String Number Boolean Array Object Promise",
 }
 # Declarations by language: (kind, pattern with the name as its first group). `{` or an indented block follows.
 RULES: dict[str, list[tuple[str, str]]] = {
