@@ -1,16 +1,20 @@
 """Problem 2: functions paired with the comments that really document them.
 
-Comment spans and function spans are found independently; statements are a third kind of span. An as-of interval join
-over (holder, position) then gives each function the nearest comment before its header, or the nearest string below it
-where the language documents inside, and rejects the pair when a statement lies between. Pairs with a blank signature
-or a trivial comment are dropped.
-
-The join is one window over the union of the spans, ordered by position. Two callers feed it: whole source texts
-(holder: the path) and the symbol table, whose rows carry both spans already (holder: the symbol's id).
-
-Scale: the symbols' window reuses the partitioning of the aggregation that finds valid rows, so p2_found has one
-shuffle. Sources need one, by path. No holder is gathered; windows sort and spill. Everything about comments runs as
-Spark expressions; only the lexing of source texts is Python.
+Comment spans and function spans of whole source texts are found independently; statements are a third kind of span. An
+as-of interval join over (path, line) gives each function the nearest comment before its header, or the nearest string
+below it where the language documents inside, and rejects the pair when a statement or another function lies between.
+The join is one window over the union of the spans, ordered by position.
+
+A symbol of the index is anchored to the function of its path, line and name. Its own comment is a span of that text:
+the pair stands if the join attached this comment to this function. If the text has the comment, but the join attached
+another or none (a statement lies between), the pair is rejected. A symbol without a text (a dependency's, a null path), a
+span that is off, a text that no longer parses, or a comment that its text doesn't have, can only be judged by its row, in
+which the comment stands at its function. Pairs with a blank signature or a trivial comment are dropped.
+
+Scale: texts give few spans (statements in a row are one), and these are partitioned by path, whose size is that of one
+text; symbols, of which a path may have any number, are not in the window but join its result by (path, line, name).
+Comments are compared by a hash of their letters. No group is gathered; windows sort and spill. Everything about comments
+runs as Spark expressions; only the lexing of source texts is Python.
 
 Defined cases: null or blank signatures and comments make no pair; kinds are compared as spelled out; of copies and
 states of a symbol the latest counts; extra columns are ignored; empty tables give empty results.
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import lang
 from codeloom.llm.lexing import FAMILY, lex, real_language
-from codeloom.sources.tables import latest, table
+from codeloom.llm.parsing import parsed
+from codeloom.sources.tables import clean_path, latest, materialise, table
 
 # What makes a line of a comment trivial, by reason. Java's regex dialect, matched against a whole line.
 PLACEHOLDERS = r"(?:(?:todo|fixme|xxx|tbd|tba|hack|wip|pending)\b.*|n/?a|none|null|placeholder\W*|(?:add |insert |missing |your |write )?(?:a )?(?:description|documentation|docs?|doc ?string|comment|summary)(?: (?:goes|comes|to come|to be added|missing|pending|needed))?(?: here)?\W*|to be (?:done|written|documented|determined|added)\W*|(?:automatically|auto)[- ]?generated\b.*|undocumented\W*|not (?:yet )?documented\W*|no (?:description|documentation|comment)\b.*|lorem ipsum\b.*)"
@@ -74,35 +79,59 @@ def attach(spans: DataFrame) -> DataFrame:
     """As-of interval join of `spans` (holder, role, pos, end, name, kind, text).
 
     Roles: 'function' (text: the signature), 'comment' (documents what comes after it), 'inner' (documents the function
-    whose header comes before it), 'statement'. Gives (holder, pos, kind, name, signature, doc): each function with
-    the nearest comment that no statement and no other function parts from it. An inner comment goes before an outer.
+    whose header comes before it), 'statement'. Gives (holder, pos, kind, name, signature, doc, rejected): each function
+    with the nearest comment that no statement and no other function parts from it; an inner comment goes before an
+    outer. rejected: a comment of its kind was there since the function before, but a statement lies between.
     """
     w = Window.partitionBy("holder").orderBy("pos", "end", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     role = F.col("role")
-    block = F.when(role.isin("statement", "function"), F.col("end"))
     before = (
         spans.withColumn("c", F.last(F.when(role == "comment", F.struct("end", "text")), True).over(w))
-        .withColumn("s", F.max(block).over(w))
         .withColumn("f", F.last(F.when(role == "function", F.struct("pos", "end", "kind", "name", "text")), True).over(w))
         .withColumn("t", F.max(F.when(role == "statement", F.col("end"))).over(w))
         .filter(role.isin("function", "inner"))
     )
-    outer = before.filter(role == "function").select("holder", "pos", "kind", "name", F.col("text").alias("signature"), F.when(F.col("s").isNull() | (F.col("c.end") > F.col("s")), F.col("c.text")).alias("outer"), F.lit(None).cast("string").alias("inner"))
-    inner = before.filter((role == "inner") & F.col("f").isNotNull() & (F.col("t").isNull() | (F.col("t") <= F.col("f.end")))).select("holder", F.col("f.pos").alias("pos"), F.col("f.kind").alias("kind"), F.col("f.name").alias("name"), F.col("f.text").alias("signature"), F.lit(None).cast("string").alias("outer"), F.col("text").alias("inner"))
-    return outer.unionByName(inner).groupBy("holder", "pos").agg(*[F.max(c).alias(c) for c in ("kind", "name", "signature", "outer", "inner")]).select("holder", "pos", "kind", "name", "signature", F.coalesce("inner", "outer").alias("doc"))
+    none, at = F.lit(None).cast("string"), F.coalesce("c.end", F.lit(-1.0))
+    fresh, parted = F.col("c").isNotNull() & (at > F.coalesce("f.end", F.lit(-1.0))), at <= F.coalesce("t", F.lit(-1.0))
+    outer = before.filter(role == "function").select("holder", "pos", "kind", "name", F.col("text").alias("signature"), F.when(fresh & ~parted, F.col("c.text")).alias("outer"), none.alias("inner"), (fresh & parted).alias("rejected"))
+    below = F.coalesce("t", F.lit(-1.0)) > F.col("f.end")
+    inner = before.filter((role == "inner") & F.col("f").isNotNull()).select("holder", F.col("f.pos").alias("pos"), F.col("f.kind").alias("kind"), F.col("f.name").alias("name"), F.col("f.text").alias("signature"), none.alias("outer"), F.when(~below, F.col("text")).alias("inner"), below.alias("rejected"))
+    # Of several strings below a header the first counts: the others come after a statement, the first itself.
+    each = outer.unionByName(inner).groupBy("holder", "pos").agg(*[F.max(c).alias(c) for c in ("kind", "name", "signature", "outer", "inner", "rejected")])
+    doc = F.coalesce("inner", "outer")
+    return each.select("holder", "pos", "kind", "name", "signature", doc.alias("doc"), (F.col("rejected") & doc.isNull()).alias("rejected"))
 
 
 def documented(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce(F.trim("signature"), F.lit("")).rlike(r"\S") & F.col("doc").isNotNull() & ~is_trivial(F.col("doc"), F.col("name")))
 
 
-def symbol_pairs(symbols: DataFrame) -> DataFrame:
-    """Pairs of the valid symbols, whose rows hold a function span and a comment span each."""
-    v = latest(symbols, "id", "indexed_at", ["id", "indexed_at", "kind", "name", "signature", "doc_comment"])
+def letters(doc: Column) -> Column:
+    """A hash of a comment's letters and digits, without its markers and XML tags."""
+    return F.xxhash64(F.regexp_replace(F.lower(F.array_join(comment_lines(doc), " ")), r"[^\p{L}\p{N}]+", ""))
+
+
+def symbol_pairs(symbols: DataFrame, sources: DataFrame, files: DataFrame) -> DataFrame:
+    """(holder, kind, name, signature, doc) of the valid symbols' pairs; holder is the symbol's id."""
+    v = latest(symbols, "id", "indexed_at", ["id", "indexed_at", "kind", "name", "signature", "doc_comment", "file_path", "start_line"])
     v = v.withColumn("kind", lang.kind(F.col("kind"))).filter(F.col("kind").isin("function", "method") & F.col("signature").rlike(r"\S") & F.col("doc_comment").rlike(r"\S"))
-    span = lambda role, pos, text: F.struct(F.lit(role).alias("role"), F.lit(pos).alias("pos"), F.lit(pos).alias("end"), "name", "kind", F.col(text).alias("text"))
-    spans = v.select(F.col("id").alias("holder"), F.explode(F.array(span("comment", 0.0, "doc_comment"), span("function", 1.0, "signature"))).alias("x")).select("holder", "x.*")
-    return documented(attach(spans))
+    v = documented(v.select(F.col("id").alias("holder"), "kind", "name", "signature", F.col("doc_comment").alias("doc"), clean_path(F.col("file_path")).alias("path"), "start_line"))
+    spans = materialise(source_spans(sources, file_languages(files)).withColumn("text", F.when(F.col("role") != "function", F.hex(letters(F.col("text"))))))
+    joined = attach(spans).select(F.col("holder").alias("path"), F.col("pos").cast("int").alias("start_line"), "name", F.coalesce("doc", F.lit("")).alias("attached"))
+    # A symbol without a path or a name has no anchor; its hash spreads it.
+    key = F.coalesce("path", F.concat(F.lit("\0"), "holder"))
+    own = v.withColumn("path", key).withColumn("own", F.hex(letters(F.col("doc"))))
+    anchored = own.join(joined.groupBy("path", "start_line", "name").agg(F.max("attached").alias("attached")), ["path", "start_line", "name"], "left")
+    sure = F.col("attached").isNull() | (F.col("attached") == F.col("own"))
+    there = spans.filter(F.col("role").isin("comment", "inner")).select(F.col("holder").alias("path"), F.col("text").alias("own")).distinct()
+    loose = anchored.filter(~sure)
+    nowhere = loose.join(there, ["path", "own"], "left_anti")
+    # Few are left: those whose comment is elsewhere in their text. Where that doesn't parse, its spans place nothing.
+    parted = loose.join(there, ["path", "own"], "left_semi")
+    texts = sources.join(parted.select("path").distinct(), "path", "left_semi")
+    broken = parsed(texts, files).filter("error is not null").select("path").distinct()
+    out = ["holder", "kind", "name", "signature", "doc"]
+    return anchored.filter(sure).select(*out).unionByName(nowhere.select(*out)).unionByName(parted.join(broken, "path", "left_semi").select(*out))
 
 
 # Headers of functions, by language. Group "name" is the name.
@@ -127,21 +156,21 @@ def file_spans(body: str, language: str | None) -> list[tuple]:
     language = real_language(body, language)
     if language not in _COMPILED:
         return []
-    plain, found = list(body), []
+    found, plain, last = [], [], 0
     pieces = lex(body, FAMILY[language])
     line_starts = [0, *(m.end() for m in re.finditer("\n", body))]
     line = lambda at: bisect_right(line_starts, at)
     inner = []
-    for kind, start, end, _ in pieces:
-        if kind == "comment" or kind == "doc":
-            for i in range(start, end):
-                if plain[i] != "\n":
-                    plain[i] = " "
+    for kind, start, end, text in pieces:
+        if kind == "string":
+            continue
+        plain += [body[last:start], re.sub(r"[^\n]", " ", text)]
+        last = end
         if kind == "comment":
-            found.append([line(start), line(max(start, end - 1)), body[start:end], start])
-        elif kind == "doc":
-            inner.append(("inner", float(line(start)), float(line(max(start, end - 1))), None, None, body[start:end]))
-    code = "".join(plain)
+            found.append([line(start), line(max(start, end - 1)), text, start])
+        else:
+            inner.append(("inner", float(line(start)), float(line(max(start, end - 1))), None, None, text))
+    code = "".join([*plain, body[last:]])
     merged: list[list] = []
     for a, b, text, at in sorted(found):
         own_line = code[line_starts[a - 1] : at].strip() == ""
@@ -160,9 +189,17 @@ def file_spans(body: str, language: str | None) -> list[tuple]:
         method = m[0][:1] in " \t" or (language == "go" and re.match(r"func\s*\(", m[0])) or "." in name or ":" in name
         spans.append(("function", float(a), float(b), re.split(r"[.:]+", name)[-1], "method" if method else "function", signature))
         covered.update(range(a, b + 1))
+    # Statements in a row are one span; it ends where a comment or a header begins.
+    breaks = covered | {int(x[1]) for x in spans}
+    block: list[int] = []
     for i, text in enumerate(code.split("\n"), 1):
-        if text.strip() and i not in covered and not ANNOTATION.match(text) and text.strip() not in ("{", "}"):
-            spans.append(("statement", float(i), float(i), None, None, None))
+        if i in breaks and block:
+            spans.append(("statement", float(block[0]), float(block[1]), None, None, None))
+            block = []
+        if i not in covered and text.strip() not in ("", "{", "}") and not ANNOTATION.match(text):
+            block = [block[0] if block else i, i]
+    if block:
+        spans.append(("statement", float(block[0]), float(block[1]), None, None, None))
     return spans
 
 
@@ -186,22 +223,38 @@ def file_languages(files: DataFrame) -> DataFrame:
     return latest(files.filter(F.trim("language") != ""), "path", "indexed_at", ["path", "indexed_at", "language"]).select("path", "language")
 
 
+def _pairs(spark, sf_dir: str) -> DataFrame:
+    return symbol_pairs(*[table(spark, sf_dir, n) for n in ("symbols", "sources", "files")])
+
+
 def p2_found(spark, sf_dir: str) -> DataFrame:
-    return symbol_pairs(table(spark, sf_dir, "symbols")).select(F.col("holder").alias("symbol_id"))
+    return _pairs(spark, sf_dir).select(F.col("holder").alias("symbol_id"))
+
+
+def description(doc: Column) -> Column:
+    """The lines of a comment that say something, without markers."""
+    return F.trim(F.array_join(F.filter(comment_lines(doc), lambda x: ~x.rlike(TRIVIAL_LINE)), "\n"))
 
 
 def p2_pairs(spark, sf_dir: str) -> DataFrame:
-    """symbol_id, kind, signature and the description: the lines that say something, without markers."""
-    p = symbol_pairs(table(spark, sf_dir, "symbols"))
-    return p.select(F.col("holder").alias("symbol_id"), "kind", F.trim("signature").alias("signature"), F.trim(F.array_join(F.filter(comment_lines(F.col("doc")), lambda x: ~x.rlike(TRIVIAL_LINE)), "\n")).alias("description"))
+    """symbol_id, kind, signature and description."""
+    return _pairs(spark, sf_dir).select(F.col("holder").alias("symbol_id"), "kind", F.trim("signature").alias("signature"), description(F.col("doc")).alias("description"))
+
+
+def _spans(spark, sf_dir: str) -> DataFrame:
+    return source_spans(table(spark, sf_dir, "sources"), file_languages(table(spark, sf_dir, "files")))
 
 
 def p2_source_pairs(spark, sf_dir: str) -> DataFrame:
     """The same from whole source texts: path, line, kind, name, signature, description."""
-    spans = source_spans(table(spark, sf_dir, "sources"), file_languages(table(spark, sf_dir, "files")))
-    p = documented(attach(spans))
-    return p.select(F.col("holder").alias("path"), F.col("pos").cast("int").alias("line"), "kind", "name", "signature", F.trim(F.array_join(F.filter(comment_lines(F.col("doc")), lambda x: ~x.rlike(TRIVIAL_LINE)), "\n")).alias("description"))
+    p = documented(attach(_spans(spark, sf_dir)))
+    return p.select(F.col("holder").alias("path"), F.col("pos").cast("int").alias("line"), "kind", "name", "signature", description(F.col("doc")).alias("description"))
+
+
+def p2_rejected(spark, sf_dir: str) -> DataFrame:
+    """(path, line, name) of the functions whose comment the join rejected, as a statement lies between."""
+    return attach(_spans(spark, sf_dir)).filter("rejected").select(F.col("holder").alias("path"), F.col("pos").cast("int").alias("line"), "name")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p2_source_pairs": p2_source_pairs}
+QUERIES = {"p2_found": p2_found, "p2_pairs": p2_pairs, "p2_source_pairs": p2_source_pairs, "p2_rejected": p2_rejected}
 ORACLES: dict[str, str] = {}
