@@ -111,27 +111,32 @@ def letters(doc: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.lower(F.array_join(comment_lines(doc), " ")), r"[^\p{L}\p{N}]+", ""))
 
 
-def symbol_pairs(symbols: DataFrame, sources: DataFrame, files: DataFrame) -> DataFrame:
-    """(holder, kind, name, signature, doc) of the valid symbols' pairs; holder is the symbol's id."""
+def _documented_symbols(symbols: DataFrame) -> DataFrame:
     v = latest(symbols, "id", "indexed_at", ["id", "indexed_at", "kind", "name", "signature", "doc_comment", "file_path", "start_line"])
     v = v.withColumn("kind", lang.kind(F.col("kind"))).filter(F.col("kind").isin("function", "method") & F.col("signature").rlike(r"\S") & F.col("doc_comment").rlike(r"\S"))
-    v = documented(v.select(F.col("id").alias("holder"), "kind", "name", "signature", F.col("doc_comment").alias("doc"), clean_path(F.col("file_path")).alias("path"), "start_line"))
+    return documented(v.select(F.col("id").alias("holder"), "kind", "name", "signature", F.col("doc_comment").alias("doc"), clean_path(F.col("file_path")).alias("path"), "start_line"))
+
+
+def paired_symbols(symbols: DataFrame, sources: DataFrame, files: DataFrame) -> DataFrame:
+    """(holder) the ids of the valid symbols whose pair stands."""
     spans = materialise(source_spans(sources, file_languages(files)).withColumn("text", F.when(F.col("role") != "function", F.hex(letters(F.col("text"))))))
     joined = attach(spans).select(F.col("holder").alias("path"), F.col("pos").cast("int").alias("start_line"), "name", F.coalesce("doc", F.lit("")).alias("attached"))
-    # A symbol without a path or a name has no anchor; its hash spreads it.
-    key = F.coalesce("path", F.concat(F.lit("\0"), "holder"))
-    own = v.withColumn("path", key).withColumn("own", F.hex(letters(F.col("doc"))))
+    # A symbol without a path has no anchor; its id spreads it.
+    own = _documented_symbols(symbols).select("holder", F.coalesce("path", F.concat(F.lit("\0"), "holder")).alias("path"), "start_line", "name", F.hex(letters(F.col("doc"))).alias("own"))
     anchored = own.join(joined.groupBy("path", "start_line", "name").agg(F.max("attached").alias("attached")), ["path", "start_line", "name"], "left")
     sure = F.col("attached").isNull() | (F.col("attached") == F.col("own"))
+    anchored = materialise(anchored.select("holder", F.when(~sure, F.col("path")).alias("path"), F.when(~sure, F.col("own")).alias("own"), sure.alias("sure")))
     there = spans.filter(F.col("role").isin("comment", "inner")).select(F.col("holder").alias("path"), F.col("text").alias("own")).distinct()
-    loose = anchored.filter(~sure)
-    nowhere = loose.join(there, ["path", "own"], "left_anti")
+    parted = anchored.filter("not sure").join(there, ["path", "own"], "left_semi")
     # Few are left: those whose comment is elsewhere in their text. Where that doesn't parse, its spans place nothing.
-    parted = loose.join(there, ["path", "own"], "left_semi")
     texts = sources.join(parted.select("path").distinct(), "path", "left_semi")
-    broken = parsed(texts, files).filter("error is not null").select("path").distinct()
-    out = ["holder", "kind", "name", "signature", "doc"]
-    return anchored.filter(sure).select(*out).unionByName(nowhere.select(*out)).unionByName(parted.join(broken, "path", "left_semi").select(*out))
+    whole = parsed(texts, files).groupBy("path").agg(F.max("error").alias("error")).filter("error is null")
+    return anchored.select("holder").join(parted.join(whole, "path", "left_semi").select("holder"), "holder", "left_anti")
+
+
+def symbol_pairs(symbols: DataFrame, sources: DataFrame, files: DataFrame) -> DataFrame:
+    """(holder, kind, name, signature, doc) of these; holder is the symbol's id."""
+    return _documented_symbols(symbols).join(paired_symbols(symbols, sources, files), "holder", "left_semi").select("holder", "kind", "name", "signature", "doc")
 
 
 # Headers of functions, by language. Group "name" is the name.
@@ -228,7 +233,7 @@ def _pairs(spark, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select(F.col("holder").alias("symbol_id"))
+    return paired_symbols(*[table(spark, sf_dir, n) for n in ("symbols", "sources", "files")]).select(F.col("holder").alias("symbol_id"))
 
 
 def description(doc: Column) -> Column:
