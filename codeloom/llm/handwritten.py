@@ -2,18 +2,19 @@
 
 A random forest judges each text by what generators leave in it: compression ratio, token entropy, lengths of
 identifiers, comment density, and measures of repetition, lines and literals. It is trained anew on every corpus: labels
-are the notices in file headers ("code generated by ...", a library's banner) and the names by which minifiers mark
-their output, and these headers are cut off before the features are taken, so that the forest learns the text behind
-them. Texts without a notice are the other class; as some of them are generated as well, forests fitted on either half
-judge the other half first, and the final one is fitted without the texts they took for cases.
+are the notices in file headers ("code generated by ...", a library's banner), and these headers are cut off before the
+features are taken, so that the forest learns the text behind them. Texts without a notice are the other class; as some
+of them are generated as well, the forests are fitted twice, the second time without the unlabelled texts that the first
+took for cases. Every text is judged by a forest that was fitted on the other half of the corpus.
 
-A path is found if the forest says so, or if the evidence that labels (notice, path) is there, or if the text is, by
-five-word shingles, a library file of the reference items, whole or slightly changed.
+A path is found if the forest says so, or by evidence that no text behind a header can give: the notice itself, a path
+that belongs to third parties or generators, a text that is literals only, and a text that is, by five-word shingles, a
+library file of the reference items, whole or slightly changed. `p1_recall` reports what the forest finds of each.
 
-Scale: one Python pass gives features and shingle hashes of whole texts; the forest scores inside the JVM. It is fitted
-on a bounded sample of labelled rows (`train_rows`, by hash of the path, half of each class as far as there are that
-many). Shingles join the reference items' shingles; Spark broadcasts these if they are small by their measured size and
-shuffles otherwise, and only shingles that occur in a library file survive the join. Nothing is compared pair by pair.
+Scale: one Python pass gives everything about whole texts, with the tokens of a batch measured at once (numpy); the forest
+scores inside the JVM. It is fitted on a bounded sample of labelled rows (`train_rows`, by hash of the path, half of each
+class as far as there are that many). The reference items' shingles are sent to every executor after a check of their
+size (`library_bytes`). Nothing is compared pair by pair.
 
 Defined cases: null, empty and blank bodies are no cases by content but may be by path; null paths are dropped; copies
 give one row; where a corpus has no labelled text of one of the classes, no forest is fitted and the evidence decides
@@ -22,27 +23,28 @@ alone.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.sources.tables import materialise, table
 
-TRAIN_ROWS, SHINGLE, SIMILARITY, THRESHOLD = 20_000, 5, 0.8, 0.65
+TRAIN_ROWS, SHINGLE, SIMILARITY, THRESHOLD = 20_000, 5, 0.8, 0.5
+FIRST_TREES, TREES, LIBRARY_BYTES = 15, 30, 64_000_000
 # Folders that hold third parties' code or generators' output, as whole steps of a path.
 VENDOR_STEPS = "node_modules bower_components jspm_packages third_party thirdparty third-party 3rdparty 3rd_party 3rd-party vendor vendored external externals extern Godeps site-packages dist-packages Pods Carthage".split()
 GENERATED_STEPS = "generated __generated__ _generated gen autogen auto-generated generated-sources generated-src generated_sources target build dist out".split()
 # Names that generators and bundlers give to their files.
 FILE_NAMES = [r"[.-]min\.(?:js|css|mjs|cjs)", r"_pb2(?:_grpc)?\.pyi?", r"\.pb(?:\.\w+)?\.(?:go|cc|h|cpp|swift|rs)", r"\.g\.(?:cs|dart)", r"\.(?:gen|generated|designer|g4|freezed|autogen)\.\w+", r"(?:^|[_.-])(?:zz_)?generated\.\w+", r"(?:bundle|chunk|app|main|vendor|runtime|polyfills)[.-][0-9a-f]{6,}\.js", r"\.bundle\.js"]
 PATH = re.compile(rf"(?:^|/)(?:{'|'.join(map(re.escape, VENDOR_STEPS + GENERATED_STEPS))})/(?:.*/)?[^/]+$|(?:{'|'.join(FILE_NAMES)})$", re.I)
-MINIFIED_NAME = re.compile(rf"(?:{FILE_NAMES[0]}|{FILE_NAMES[6]})$", re.I)
 # What a header notice says, in the words of several tools and languages; a line of a comment must begin so.
 NOTICE = re.compile(
     r"""^(?:@generated\b|<auto-?generated|code\ generated\ by\b|generated\ (?:by|from|with|using|automatically)\b|auto-?generated\b(?!\ method\ stub)|automatically\ (?:generated|created|produced)\b
@@ -57,7 +59,8 @@ BANNER = re.compile(r"\A\s*/\*!\s*[\w.@/-]+\s+v?\d+\.\d[^\n]*?\*/|\A\s*/\*!?\s*[
 LINE_MARK = re.compile(r"^\s*#\s*(?:line\s+)?\d+\s+\"[^\"\n]+\.(?:y|l|yy|ll|g4|rl|re|pyx)\"", re.M)
 HEADER = re.compile(r"\A(?:\s*(?://[^\n]*|/\*.*?\*/|#(?!include|define|if|pragma|\[)[^\n]*|--\[\[.*?\]\]|--[^\n]*|<!--.*?-->)[ \t]*(?:\n|\Z|(?<=/)))+", re.S)
 COMMENTS = re.compile(r"//[^\n]*|/\*.*?\*/|(?<![\w\"'])#(?!include|\[)[^\n]*|--[^\n]*|\"\"\".*?\"\"\"", re.S)
-TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\w\s]")
+TOKEN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\w+|[^\w\s]")
+WORD, DIGITS, NAME = re.compile(r"\w+|[^\w\s]"), re.compile(r"\d+"), re.compile(r"[A-Za-z_]\w*")
 FEATURES = ["compression", "token_entropy", "identifier_mean", "identifier_std", "comment_density", "line_mean", "line_max", "digits", "blank", "one_letter", "literals", "shapes", "numbered", "neighbours", "chars", "distinct_identifiers"]
 
 
@@ -68,98 +71,147 @@ def header_of(text: str) -> tuple[str, str]:
 
 
 def has_notice(header: str, text: str) -> bool:
-    if BANNER.match(text) or LINE_MARK.search(text[: len(header) + 400]):
+    if BANNER.match(text) or LINE_MARK.search(text):
         return True
     return any(NOTICE.match(re.sub(r"^[\s/*#!<-]*(?=<auto|[^\s/*#!<-])|[\s*/>-]+$", "", line)) for line in header.split("\n"))
 
 
-def mere_data(tokens: list[str]) -> bool:
-    """Nearly all of the text is literals, their keys and the signs between them, and hardly any other word is left."""
-    chars = sum(map(len, tokens))
-    names = [t for t in tokens if t[0].isalpha() or t[0] == "_"]
-    literal = sum(len(t) for t in tokens if t[0] in "\"'" or t[0].isdigit())
-    return chars >= 300 and literal >= 0.6 * chars and len(names) <= max(10, 0.01 * len(tokens)) and sum(map(len, names)) <= 0.1 * chars
-
-
-def features(body: str) -> tuple[list[float], bool]:
-    """(features of the text without its header, whether it is mere data)."""
-    raw = body.encode("utf-8", "replace")
-    n = max(1, len(body))
-    code = COMMENTS.sub(" ", body)
-    tokens = TOKEN.findall(code)
-    counts = Counter(tokens)
-    total = max(1, len(tokens))
-    entropy = -sum(c / total * math.log2(c / total) for c in counts.values())
-    names = [t for t in tokens if t[0].isalpha() or t[0] == "_" or t[0] == "$"]
-    lengths = np.array([len(t) for t in names] or [0], dtype=float)
-    lines = [x for x in code.split("\n") if x.strip()]
-    sizes = np.array([len(x) for x in lines] or [0], dtype=float)
-    shapes = [re.sub(r"\d+", "0", x.strip()) for x in lines]
-    blurred = [re.sub(r"[A-Za-z_]\w*", "x", s) for s in shapes]
-    period = max((sum(a == b for a, b in zip(blurred, blurred[k:], strict=False)) / max(1, len(blurred) - k) for k in range(1, 8) if len(blurred) > k), default=0.0)
-    literal = sum(1 for t in tokens if t[0] in "\"'" or t[0].isdigit())
-    f = [
-        len(zlib.compress(raw, 6)) / max(1, len(raw)), entropy, lengths.mean(), lengths.std(), 1 - len(code.replace(" ", "")) / max(1, len(body.replace(" ", ""))), sizes.mean(), math.log1p(sizes.max()),
-        sum(map(str.isdigit, body)) / n, sum(map(str.isspace, body)) / n, float((lengths == 1).mean()), literal / total, len(set(shapes)) / max(1, len(shapes)),
-        sum(1 for t in set(names) if t[-1].isdigit() and len(t) > 3) / max(1, len(set(names))), period, math.log1p(len(body)), len(set(names)) / max(1, len(names)),
-    ]
-    return [float(x) for x in f], mere_data(tokens)
-
-
-def shingles(body: str) -> np.ndarray:
-    """Distinct hashes of five words in a row (words and signs; blanks and line ends don't count)."""
-    words = [zlib.crc32(w.encode("utf-8", "replace")) for w in re.findall(r"\w+|[^\w\s]", body)]
-    if not words:
-        return np.zeros(0, np.int64)
-    a = np.array(words + [0] * max(0, SHINGLE - len(words)), dtype=np.uint64)
-    h = np.zeros(len(a) - SHINGLE + 1, np.uint64)
+def _numbered(parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(text of each token, number of its word, the distinct words) of a batch of texts."""
+    numbers, words = pd.factorize(np.array(list(itertools.chain.from_iterable(parts)), dtype=object)) if any(parts) else (np.zeros(0, np.int64), np.zeros(0, object))
+    return np.repeat(np.arange(len(parts)), [len(x) for x in parts]), numbers, list(words)
+
+
+def features(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(FEATURES of each text without its header, whether it is mere data): the tokens of all texts are measured at once.
+
+    Mere data: nearly all of the text is literals, their keys and the signs between them, hardly any other word is left.
+    """
+    n = len(bodies)
+    codes = [COMMENTS.sub(" ", b) for b in bodies]
+    text, number, words = _numbered([TOKEN.findall(c) for c in codes])
+    size = np.array([len(w) for w in words] or [0], float)
+    is_name = np.array([w[0].isalpha() or w[0] == "_" for w in words] or [False])
+    is_literal = np.array([w[0] in "\"'" or w[0].isdigit() for w in words] or [False])
+    is_numbered = np.array([len(w) > 3 and w[-1].isdigit() for w in words] or [False]) & is_name
+
+    def per(weights: np.ndarray, where: np.ndarray = text) -> np.ndarray:
+        return np.bincount(where, weights, n)
+
+    total, names = per(np.ones(len(text))), per(is_name[number])
+    some, any_name = np.maximum(total, 1), np.maximum(names, 1)
+    length = size[number] * is_name[number]
+    mean = per(length) / any_name
+    deviation = np.sqrt(np.maximum(per(length * size[number]) / any_name - mean**2, 0))
+    pairs, count = np.unique(text * max(1, len(words)) + number, return_counts=True)
+    owner, word = np.divmod(pairs, max(1, len(words)))
+    share = count / some[owner]
+    entropy, distinct = per(-share * np.log2(np.maximum(share, 1e-300)), owner), per(is_name[word], owner)
+    chars, literal_chars, name_chars = per(size[number]), per(size[number] * is_literal[number]), per(length)
+    out = np.zeros((n, len(FEATURES)))
+    for k, (body, code) in enumerate(zip(bodies, codes, strict=True)):
+        raw = body.encode("utf-8", "replace")
+        room = max(1, len(raw))
+        lines = [x for x in map(str.strip, DIGITS.sub("0", code).split("\n")) if x]
+        sizes = np.array([len(x) for x in lines] or [0], float)
+        seen: dict[str, int] = {}
+        blurred = np.array([seen.setdefault(x, len(seen)) for x in NAME.sub("x", "\n".join(lines)).split("\n")])
+        period = max(((blurred[:-j] == blurred[j:]).mean() for j in range(1, 8) if len(blurred) > j), default=0.0)
+        out[k, [0, 4, 5, 6, 7, 8, 11, 13, 14]] = (
+            len(zlib.compress(raw, 1)) / room, 1 - (len(code) - code.count(" ")) / max(1, len(body) - body.count(" ")), sizes.mean(), math.log1p(sizes.max()),
+            (room - len(raw.translate(None, b"0123456789"))) / room, (room - len(raw.translate(None, b" \t\n\r\f\v"))) / room, len(set(lines)) / max(1, len(lines)), period, math.log1p(len(body)),
+        )
+    out[:, 1], out[:, 2], out[:, 3], out[:, 9] = entropy, mean, deviation, per((length == 1) & is_name[number]) / any_name
+    out[:, 10], out[:, 12], out[:, 15] = per(is_literal[number]) / some, per(is_numbered[word], owner) / np.maximum(distinct, 1), distinct / any_name
+    data = (literal_chars >= 0.6 * chars) & (names <= np.maximum(10, 0.01 * total)) & (name_chars <= 0.1 * chars) & (total > 0)
+    return out, data
+
+
+def shingles(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct runs of five words (signs count, blanks and line ends don't), sorted by both. A text
+    of fewer words has one run, filled up."""
+    parts = [w + [""] * (SHINGLE - len(w)) if w else w for w in map(WORD.findall, bodies)]
+    text, number, words = _numbered(parts)
+    if len(text) < SHINGLE:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a = np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in words], dtype=np.uint64)[number]
+    m = len(a) - SHINGLE + 1
+    h = np.zeros(m, np.uint64)
     for i in range(SHINGLE):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + a[i : len(a) - SHINGLE + 1 + i]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + a[i : m + i]
         h *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(h).view(np.int64)
-
-
-def described(sources: DataFrame) -> DataFrame:
-    """(path, body_id, notice, by_path, minified_name, data, feats, shingles) of each distinct path and body."""
+    own = text[:m] == text[SHINGLE - 1 :]
+    text, h = text[:m][own], h[own].view(np.int64)
+    order = np.lexsort((h, text))
+    text, h = text[order], h[order]
+    new = np.r_[True, (text[1:] != text[:-1]) | (h[1:] != h[:-1])]
+    return text[new], h[new]
+
+
+class Library:
+    """The shingles of the reference items, by hash; `likeness` compares a batch of texts with them."""
+
+    def __init__(self, items: list[str]):
+        text, h = shingles(items)
+        self.size = np.bincount(text, minlength=len(items))
+        order = np.argsort(h, kind="stable")
+        self.hash, self.item = h[order], text[order]
+
+    def likeness(self, bodies: list[str]) -> np.ndarray:
+        """The greatest Jaccard similarity of each text to an item; 0 below SIMILARITY, unless the text holds nearly all of
+        an item of about its size."""
+        best = np.zeros(len(bodies))
+        text, h = shingles(bodies)
+        if not len(text) or not len(self.hash):
+            return best
+        n = np.bincount(text, minlength=len(bodies))
+        lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
+        hit = np.flatnonzero(hi > lo)
+        times = hi[hit] - lo[hit]
+        at = np.repeat(lo[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        pair, both = np.unique(np.repeat(text[hit], times) * len(self.size) + self.item[at], return_counts=True)
+        t, i = np.divmod(pair, len(self.size))
+        jaccard, less, more = both / (n[t] + self.size[i] - both), np.minimum(n[t], self.size[i]), np.maximum(n[t], self.size[i])
+        alike = (jaccard >= SIMILARITY) | ((both >= 0.9 * less) & (less >= 0.7 * more))
+        np.maximum.at(best, t[alike], jaccard[alike])
+        return best
+
+
+def plain(body: str) -> str:
+    return re.sub(r"\r\n?", "\n", body.lstrip("\ufeff"))
+
+
+def described(sources: DataFrame, library: DataFrame, library_bytes: int = LIBRARY_BYTES) -> DataFrame:
+    """(path, body_id, notice, by_path, data, lib, feats) of each distinct path and body; lib is the similarity to a library
+    file, null if none is like it. The library goes to every executor, so its size is checked."""
     d = sources.filter("path is not null").select("path", F.coalesce("body", F.lit("")).alias("body")).distinct().withColumn("body_id", F.xxhash64("path", "body"))
-    names = ["path", "body_id", "notice", "by_path", "minified_name", "data", "feats", "shingles"]
-    types = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.float64()), pa.list_(pa.int64())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for path, body, i in zip(*(b.column(c).to_pylist() for c in ("path", "body", "body_id")), strict=True):
-                text = re.sub(r"\r\n?", "\n", body.lstrip("﻿"))
-                header, rest = header_of(text)
-                f, data = features(rest) if rest.strip() else (None, False)
-                rows.append((path, i, has_notice(header, text), bool(PATH.search(path)), bool(MINIFIED_NAME.search(path)), data, f, shingles(text)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
-
-    return d.select("path", "body", "body_id").mapInArrow(run, "path string, body_id long, notice boolean, by_path boolean, minified_name boolean, data boolean, feats array<double>, shingles array<long>")
-
-
-def library_copies(texts: DataFrame, library: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(path, body_id, lib, similarity): texts like a library file, by the Jaccard similarity of their shingles, or that
-    hold nearly all of one of about their size."""
+    names = ["path", "body_id", "notice", "by_path", "data", "lib", "feats"]
+    types = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.float64(), pa.list_(pa.float64())]
+    items = library.filter("body is not null and body <> ''").select("body").distinct()
+    if (items.agg(F.sum(F.octet_length("body"))).first()[0] or 0) > library_bytes:
+        raise ValueError(f"the library has more than {library_bytes} bytes: compare with parts of it one after the other")
+    shared = sources.sparkSession.sparkContext.broadcast(Library([plain(r.body) for r in items.collect()]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hashes = [shingles(re.sub(r"\r\n?", "\n", x.lstrip("﻿"))) for x in b.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("lib"), pa.array(hashes, pa.list_(pa.int64()))], names=["lib", "l"])
-
-    items = library.filter("body is not null and body <> ''").select(F.xxhash64("lib_name", "lib_version", "file_name", "body").alias("lib"), "body").distinct().mapInArrow(run, "lib long, l array<long>")
-    items = materialise(items.select("lib", F.size("l").alias("l_n"), F.explode("l").alias("h")))
-    mine = texts.select("path", "body_id", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
-    both = mine.join(items, "h").groupBy("path", "body_id", "lib").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("l_n").alias("l_n"))
-    jaccard = F.col("both") / (F.col("n") + F.col("l_n") - F.col("both"))
-    most = F.col("both") / F.least("n", "l_n")
-    return both.filter((jaccard >= similarity) | ((most >= 0.9) & (F.least("n", "l_n") >= 0.7 * F.greatest("n", "l_n")))).select("path", "body_id", "lib", jaccard.alias("similarity"))
-
-
-
-
-def fit(labelled: DataFrame, train_rows: int, seed: int = 7):
+        for whole in batches:
+            for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                texts = [plain(x) for x in b.column("body").to_pylist()]
+                heads = [header_of(t) for t in texts]
+                f, data = features([rest for _, rest in heads])
+                lib = shared.value.likeness(texts)
+                code = [bool(rest.strip()) for _, rest in heads]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("path"), b.column("body_id"), pa.array([has_notice(h, t) for (h, _), t in zip(heads, texts, strict=True)], types[2]), pa.array([bool(PATH.search(p)) for p in b.column("path").to_pylist()], types[3]),
+                        pa.array([bool(x) and c for x, c in zip(data, code, strict=True)], types[4]), pa.array([float(x) if x else None for x in lib], types[5]), pa.array([x if c else None for x, c in zip(f.tolist(), code, strict=True)], types[6]),
+                    ],
+                    names=names,
+                )
+
+    return d.select("path", "body", "body_id").mapInArrow(run, "path string, body_id long, notice boolean, by_path boolean, data boolean, lib double, feats array<double>")
+
+
+def fit(labelled: DataFrame, train_rows: int, trees: int, seed: int = 7):
     """A random forest over (x, label), from at most `train_rows` rows, half of each class as far as there are; None if
     one class is missing."""
     from pyspark.ml.classification import RandomForestClassifier
@@ -172,49 +224,64 @@ def fit(labelled: DataFrame, train_rows: int, seed: int = 7):
     part = F.pmod(F.xxhash64("body_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
     sample = labelled.filter(part < F.when(F.col("label") == 1, keep[1.0]).otherwise(keep[0.0]))
     weight = F.when(F.col("label") == 1, 1.0 / max(1, count[1.0] * keep[1.0])).otherwise(1.0 / max(1, count[0.0] * keep[0.0])) * F.lit(float(min(train_rows, sum(count.values()))) / 2)
-    return RandomForestClassifier(numTrees=40, maxDepth=7, minInstancesPerNode=3, seed=seed, labelCol="label", featuresCol="x", weightCol="w", featureSubsetStrategy="sqrt").fit(sample.select("x", "label", weight.alias("w")).coalesce(4))
-
-
-def judged(sources: DataFrame, library: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """(path, body_id, notice, by_path, data, lib, p): all evidence for each distinct path and body; p is the forest's
-    probability that the text isn't hand-written (null for a text without code)."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    t = materialise(described(sources))
-    copies = library_copies(t, library).groupBy("path", "body_id").agg(F.max("similarity").alias("lib"))
-    t = materialise(t.join(copies, ["path", "body_id"], "left").drop("shingles"))
-    x = t.filter("feats is not null").withColumn("x", array_to_vector("feats")).withColumn("sure", F.col("notice") | F.col("minified_name") | F.col("data"))
-    positive = x.filter("sure").select("body_id", "x", F.lit(1.0).alias("label"))
-    other = x.filter("not sure and not by_path and lib is null").select("body_id", "x", F.lit(0.0).alias("label"))
-    labelled = positive.unionByName(other).withColumn("fold", F.pmod(F.xxhash64("body_id", F.lit(11)), F.lit(2)))
-    folds = [fit(labelled.filter(f"fold = {k}"), train_rows // 2) for k in (0, 1)]
+    return RandomForestClassifier(numTrees=trees, maxDepth=7, minInstancesPerNode=3, seed=seed, labelCol="label", featuresCol="x", weightCol="w", featureSubsetStrategy="sqrt").fit(sample.select("x", "label", weight.alias("w")).coalesce(4))
+
+
+def _out_of_fold(labelled: DataFrame, rows: DataFrame, train_rows: int, trees: int) -> DataFrame | None:
+    """`rows` with p: each half judged by the forest that was fitted on the other half's labels; None if a half lacks a class."""
+    from pyspark.ml.functions import vector_to_array
+
+    folds = [fit(labelled.filter(f"fold = {k}"), train_rows // 2, trees) for k in (0, 1)]
     if None in folds:
-        model = fit(labelled, train_rows)
-        if model is None:
-            return t.select("path", "body_id", "notice", "by_path", "data", "lib", F.lit(None).cast("double").alias("p"))
-        scored = model.transform(labelled)
-    else:  # each half is judged by the forest of the other, which hasn't seen its labels
-        scored = folds[1].transform(labelled.filter("fold = 0")).unionByName(folds[0].transform(labelled.filter("fold = 1")))
-    score = vector_to_array("probability")[1]
+        model = fit(labelled, train_rows, trees)
+        folds = [model, model]
+    if None in folds:
+        return None
+    scored = folds[1].transform(rows.filter("fold = 0")).unionByName(folds[0].transform(rows.filter("fold = 1")))
+    return scored.withColumn("p", vector_to_array("probability")[1]).select(*rows.columns, "p")
+
+
+def judged(sources: DataFrame, library: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(path, body_id, notice, by_path, data, lib, p): all evidence for each distinct path and body; p is the probability
+    that the text isn't hand-written, by a forest that hasn't seen the text's label (null for a text without code)."""
+    from pyspark.ml.functions import array_to_vector
+
+    t = materialise(described(sources, library))
+    fold = F.pmod(F.xxhash64("body_id", F.lit(11)), F.lit(2)).alias("fold")
+    x = t.filter("feats is not null").select("path", "body_id", "notice", "by_path", "lib", array_to_vector("feats").alias("x"), fold)
+    labels = x.filter("notice or (not by_path and lib is null)").select("body_id", "x", "fold", F.col("notice").cast("double").alias("label"))
+    first = _out_of_fold(labels, labels, train_rows, FIRST_TREES)
+    if first is None:
+        return t.select("path", "body_id", "notice", "by_path", "data", "lib", F.lit(None).cast("double").alias("p"))
     # Once more, without the unlabelled texts that look like cases and without notices on what looks hand-written.
-    again = materialise(scored.filter(F.when(F.col("label") == 1, score >= 0.5).otherwise(score < 0.2)).select("body_id", "x", "label"))
-    model = fit(again, train_rows)
-    if model is None:
-        model = fit(labelled, train_rows)
-    p = model.transform(x.select("path", "body_id", "x")).select("path", "body_id", score.alias("p"))
-    return t.join(p, ["path", "body_id"], "left").select("path", "body_id", "notice", "by_path", "data", "lib", "p")
+    clean = materialise(first.filter(F.when(F.col("label") == 1, F.col("p") >= 0.5).otherwise(F.col("p") < 0.2)).drop("p"))
+    p = _out_of_fold(clean, x, train_rows, TREES)
+    p = _out_of_fold(labels, x, train_rows, TREES) if p is None else p
+    return t.drop("feats").join(p.select("path", "body_id", "p"), ["path", "body_id"], "left")
+
+
+def evidence(spark, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "sources"), table(spark, sf_dir, "library_files"))
+
+
+IS_CASE = f"p >= {THRESHOLD} or notice or by_path or data or lib is not null"
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
-    j = judged(table(spark, sf_dir, "sources"), table(spark, sf_dir, "library_files"))
-    return j.filter((F.col("p") >= THRESHOLD) | F.col("notice") | F.col("by_path") | F.col("data") | F.col("lib").isNotNull()).select("path").distinct()
+    return evidence(spark, sf_dir).filter(IS_CASE).select("path").distinct()
 
 
 def p1_evidence(spark, sf_dir: str) -> DataFrame:
     """What speaks for each path that was found."""
-    j = judged(table(spark, sf_dir, "sources"), table(spark, sf_dir, "library_files"))
-    return j.filter((F.col("p") >= THRESHOLD) | F.col("notice") | F.col("by_path") | F.col("data") | F.col("lib").isNotNull()).groupBy("path").agg(F.max("notice").alias("notice"), F.max("by_path").alias("by_path"), F.max("data").alias("data"), F.max("lib").alias("library_similarity"), F.max("p").alias("forest"))
+    return evidence(spark, sf_dir).filter(IS_CASE).groupBy("path").agg(F.max("notice").alias("notice"), F.max("by_path").alias("by_path"), F.max("data").alias("data"), F.max("lib").alias("library_similarity"), F.max("p").alias("forest"))
+
+
+def p1_recall(spark, sf_dir: str) -> DataFrame:
+    """(evidence, texts, by_forest): of the texts with each evidence, how many a forest that hasn't seen their labels finds."""
+    e = evidence(spark, sf_dir)
+    kinds = F.array(*[F.when(c, F.lit(n)) for n, c in (("notice", F.col("notice")), ("path", F.col("by_path")), ("data", F.col("data")), ("library", F.col("lib").isNotNull()), ("none", F.expr("not (notice or by_path or data or lib is not null)")))])
+    return e.select(F.explode(F.array_compact(kinds)).alias("evidence"), (F.coalesce("p", F.lit(0.0)) >= THRESHOLD).cast("long").alias("f")).groupBy("evidence").agg(F.count("*").alias("texts"), F.sum("f").alias("by_forest"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_evidence": p1_evidence}
+QUERIES = {"p1_found": p1_found, "p1_evidence": p1_evidence, "p1_recall": p1_recall}
 ORACLES: dict[str, str] = {}
