@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from codeloom.sources.tables import materialise, table
 
-TRAIN_ROWS, SHINGLE, SIMILARITY, THRESHOLD = 20_000, 5, 0.8, 0.5
-FIRST_TREES, TREES, LIBRARY_BYTES = 15, 30, 64_000_000
+TRAIN_ROWS, SHINGLE, SIMILARITY, THRESHOLD = 20_000, 5, 0.8, 0.7
+FIRST_TREES, TREES, LIKELY, UNLIKELY, LEAF_SHARE, LIBRARY_BYTES = 20, 30, 0.8, 0.5, 0.01, 64_000_000
 # Folders that hold third parties' code or generators' output, as whole steps of a path.
 VENDOR_STEPS = "node_modules bower_components jspm_packages third_party thirdparty third-party 3rdparty 3rd_party 3rd-party vendor vendored external externals extern Godeps site-packages dist-packages Pods Carthage".split()
 GENERATED_STEPS = "generated __generated__ _generated gen autogen auto-generated generated-sources generated-src generated_sources target build dist out".split()
@@ -58,7 +58,7 @@ NOTICE = re.compile(
 BANNER = re.compile(r"\A\s*/\*!\s*[\w.@/-]+\s+v?\d+\.\d[^\n]*?\*/|\A\s*/\*!?\s*[\w.@/-]+\s+v\d+\.\d[^\n]*?\*/")
 LINE_MARK = re.compile(r"^\s*#\s*(?:line\s+)?\d+\s+\"[^\"\n]+\.(?:y|l|yy|ll|g4|rl|re|pyx)\"", re.M)
 HEADER = re.compile(r"\A(?:\s*(?://[^\n]*|/\*.*?\*/|#(?!include|define|if|pragma|\[)[^\n]*|--\[\[.*?\]\]|--[^\n]*|<!--.*?-->)[ \t]*(?:\n|\Z|(?<=/)))+", re.S)
-COMMENTS = re.compile(r"//[^\n]*|/\*.*?\*/|(?<![\w\"'])#(?!include|\[)[^\n]*|--[^\n]*|\"\"\".*?\"\"\"", re.S)
+COMMENTS = re.compile(r"//[^\n]*|/\*.*?\*/|#(?<![\w\"']#)(?!include|\[)[^\n]*|--[^\n]*|\"\"\".*?\"\"\"", re.S)
 TOKEN = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\w+|[^\w\s]")
 WORD, DIGITS, NAME = re.compile(r"\w+|[^\w\s]"), re.compile(r"\d+"), re.compile(r"[A-Za-z_]\w*")
 FEATURES = ["compression", "token_entropy", "identifier_mean", "identifier_std", "comment_density", "line_mean", "line_max", "digits", "blank", "one_letter", "literals", "shapes", "numbered", "neighbours", "chars", "distinct_identifiers"]
@@ -127,9 +127,9 @@ def features(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, data
 
 
-def shingles(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of the distinct runs of five words (signs count, blanks and line ends don't), sorted by both. A text
-    of fewer words has one run, filled up."""
+def shingle_runs(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the runs of five words (signs count, blanks and line ends don't) in their order. A text of fewer
+    words has one run, filled up."""
     parts = [w + [""] * (SHINGLE - len(w)) if w else w for w in map(WORD.findall, bodies)]
     text, number, words = _numbered(parts)
     if len(text) < SHINGLE:
@@ -141,13 +141,21 @@ def shingles(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + a[i : m + i]
         h *= np.uint64(0xBF58476D1CE4E5B9)
     own = text[:m] == text[SHINGLE - 1 :]
-    text, h = text[:m][own], h[own].view(np.int64)
+    return text[:m][own], h[own].view(np.int64)
+
+
+def distinct(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same, sorted and each once."""
     order = np.lexsort((h, text))
     text, h = text[order], h[order]
-    new = np.r_[True, (text[1:] != text[:-1]) | (h[1:] != h[:-1])]
+    new = np.r_[True, (text[1:] != text[:-1]) | (h[1:] != h[:-1])] if len(text) else np.zeros(0, bool)
     return text[new], h[new]
 
 
+def shingles(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return distinct(*shingle_runs(bodies))
+
+
 class Library:
     """The shingles of the reference items, by hash; `likeness` compares a batch of texts with them."""
 
@@ -161,9 +169,13 @@ class Library:
         """The greatest Jaccard similarity of each text to an item; 0 below SIMILARITY, unless the text holds nearly all of
         an item of about its size."""
         best = np.zeros(len(bodies))
-        text, h = shingles(bodies)
+        text, h = shingle_runs(bodies)
         if not len(text) or not len(self.hash):
             return best
+        # A text like an item shares more than 0.6 of its runs with it; only texts that share so many at all are compared.
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        enough = np.bincount(text, self.hash[at] == h, len(bodies)) >= 0.6 * self.size.min()
+        text, h = distinct(text[enough[text]], h[enough[text]])
         n = np.bincount(text, minlength=len(bodies))
         lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
         hit = np.flatnonzero(hi > lo)
@@ -224,7 +236,7 @@ def fit(labelled: DataFrame, train_rows: int, trees: int, seed: int = 7):
     part = F.pmod(F.xxhash64("body_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
     sample = labelled.filter(part < F.when(F.col("label") == 1, keep[1.0]).otherwise(keep[0.0]))
     weight = F.when(F.col("label") == 1, 1.0 / max(1, count[1.0] * keep[1.0])).otherwise(1.0 / max(1, count[0.0] * keep[0.0])) * F.lit(float(min(train_rows, sum(count.values()))) / 2)
-    return RandomForestClassifier(numTrees=trees, maxDepth=7, minInstancesPerNode=3, seed=seed, labelCol="label", featuresCol="x", weightCol="w", featureSubsetStrategy="sqrt").fit(sample.select("x", "label", weight.alias("w")).coalesce(4))
+    return RandomForestClassifier(numTrees=trees, maxDepth=7, minInstancesPerNode=max(3, int(LEAF_SHARE * min(train_rows, sum(count.values())))), seed=seed, labelCol="label", featuresCol="x", weightCol="w", featureSubsetStrategy="sqrt").fit(sample.select("x", "label", weight.alias("w")).coalesce(4))
 
 
 def _out_of_fold(labelled: DataFrame, rows: DataFrame, train_rows: int, trees: int) -> DataFrame | None:
@@ -253,8 +265,10 @@ def judged(sources: DataFrame, library: DataFrame, train_rows: int = TRAIN_ROWS)
     first = _out_of_fold(labels, labels, train_rows, FIRST_TREES)
     if first is None:
         return t.select("path", "body_id", "notice", "by_path", "data", "lib", F.lit(None).cast("double").alias("p"))
-    # Once more, without the unlabelled texts that look like cases and without notices on what looks hand-written.
-    clean = materialise(first.filter(F.when(F.col("label") == 1, F.col("p") >= 0.5).otherwise(F.col("p") < 0.2)).drop("p"))
+    # Once more, without the unlabelled texts that look like cases and without notices on what looks hand-written. As the
+    # classes weigh the same, a text as common among labelled as among other texts has about a half. Half of the notices
+    # stand on texts that nothing else tells from hand-written ones; large leaves keep these below what is likely.
+    clean = materialise(first.filter(F.when(F.col("label") == 1, F.col("p") >= LIKELY).otherwise(F.col("p") < UNLIKELY)).drop("p"))
     p = _out_of_fold(clean, x, train_rows, TREES)
     p = _out_of_fold(labels, x, train_rows, TREES) if p is None else p
     return t.drop("feats").join(p.select("path", "body_id", "p"), ["path", "body_id"], "left")

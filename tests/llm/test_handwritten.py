@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm.handwritten import FEATURES, PATH, Library, described, features, has_notice, header_of, judged, shingles
+from codeloom.llm.handwritten import FEATURES, PATH, THRESHOLD, Library, described, features, has_notice, header_of, judged, shingles
 
 NOTICES = ["// Code generated by x 1.2. DO NOT EDIT.", "# @generated by y", "// <auto-generated>", "/*! lib v1.2 | X */", "// Diese Datei wurde automatisch erzeugt, bitte nicht ändern.", "// 此文件由工具自动生成。", "#line 3 \"a.y\"", "// Copied from lib 1.2.3, see upstream", "// lib 1.2.3 by the lib contributors, bundled with this project unchanged"]
 PLAIN = ["// Emits the banner that says \"Code generated by x, DO NOT EDIT\" into it.", "// Keys are generated by the allocator, so never edit their order.", "/// Auto-generated method stub", "// Copyright 2025 The Authors", "// Unlike the library of the same purpose, this one was written here from scratch."]
@@ -53,12 +53,12 @@ def machine(r, i):
 
 def test_forest_finds_what_the_notices_do_not_say(spark):
     r = random.Random(3)
-    rows = [(f"h{i}.ts", hand(r, i), False) for i in range(150)] + [(f"n{i}.ts", "// Code generated by x. DO NOT EDIT.\n" + machine(r, i), True) for i in range(40)] + [(f"m{i}.ts", machine(r, i), True) for i in range(20)]
+    rows = [(f"h{i}.ts", hand(r, i), False) for i in range(500)] + [(f"n{i}.ts", "// Code generated by x. DO NOT EDIT.\n" + machine(r, i), True) for i in range(160)] + [(f"m{i}.ts", machine(r, i), True) for i in range(80)]
     lib = spark.createDataFrame([(1, "l", "1", "l.ts", "typescript", hand(random.Random(99), 0))], "lib_file_id long, lib_name string, lib_version string, file_name string, language string, body string")
     s = spark.createDataFrame([(p, b) for p, b, _ in rows] + [("null.ts", None), ("empty.ts", ""), ("vendor/x.ts", None), (None, "x"), (rows[0][0], rows[0][1]), ("copy.ts", "﻿" + lib.first().body.replace("\n", "\r\n") + "\nexport const z = 1;")], "path string, body string").withColumn("notice", F.lit(1))
     j = {x.path: x for x in judged(s, lib).collect()}
     assert len(j) == len(rows) + 4
-    wrong = [p for p, _, want in rows if (j[p].p >= 0.5) != want]
+    wrong = [p for p, _, want in rows if (j[p].p >= THRESHOLD) != want]
     assert len(wrong) <= 2, wrong
     assert j["copy.ts"].lib > 0.9 and j["h1.ts"].lib is None and j["vendor/x.ts"].by_path and j["null.ts"].p is None
     assert judged(s.limit(0), lib).count() == 0
