@@ -112,15 +112,25 @@ def features(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for k, (body, code) in enumerate(zip(bodies, codes, strict=True)):
         raw = body.encode("utf-8", "replace")
         room = max(1, len(raw))
-        lines = [x for x in map(str.strip, DIGITS.sub("0", code).split("\n")) if x]
-        sizes = np.array([len(x) for x in lines] or [0], float)
-        seen: dict[str, int] = {}
-        blurred = np.array([seen.setdefault(x, len(seen)) for x in NAME.sub("x", "\n".join(lines)).split("\n")])
-        period = max(((blurred[:-j] == blurred[j:]).mean() for j in range(1, 8) if len(blurred) > j), default=0.0)
-        out[k, [0, 4, 5, 6, 7, 8, 11, 13, 14]] = (
-            len(zlib.compress(raw, 1)) / room, 1 - (len(code) - code.count(" ")) / max(1, len(body) - body.count(" ")), sizes.mean(), math.log1p(sizes.max()),
-            (room - len(raw.translate(None, b"0123456789"))) / room, (room - len(raw.translate(None, b" \t\n\r\f\v"))) / room, len(set(lines)) / max(1, len(lines)), period, math.log1p(len(body)),
+        out[k, [0, 4, 7, 8, 14]] = (
+            len(zlib.compress(raw, 1)) / room, 1 - (len(code) - code.count(" ")) / max(1, len(body) - body.count(" ")),
+            (room - len(raw.translate(None, b"0123456789"))) / room, (room - len(raw.translate(None, b" \t\n\r\f\v"))) / room, math.log1p(len(body)),
         )
+    parts = [[x for x in map(str.strip, DIGITS.sub("0", c).split("\n")) if x] for c in codes]
+    holder, line, lines = _numbered(parts)
+    wide = np.array([len(x) for x in lines] or [0], float)
+    count_ = np.maximum(per(np.ones(len(holder)), holder), 1)
+    longest = np.zeros(n)
+    np.maximum.at(longest, holder, wide[line])
+    kinds = np.unique(holder * max(1, len(lines)) + line)
+    blurred = pd.factorize(np.array(NAME.sub("x", "\n".join(lines)).split("\n"), dtype=object))[0][line] if lines else line
+    period = np.zeros(n)
+    for j in range(1, 8):  # how often a line is as the one j lines before it
+        same = (holder[j:] == holder[:-j]) if len(holder) > j else np.zeros(0, bool)
+        if same.any():
+            alike = per((blurred[j:] == blurred[:-j])[same], holder[j:][same])
+            period = np.maximum(period, alike / np.maximum(count_ - j, 1))
+    out[:, 5], out[:, 6], out[:, 11], out[:, 13] = per(wide[line], holder) / count_, np.log1p(longest), per(np.ones(len(kinds)), kinds // max(1, len(lines))) / count_, period
     out[:, 1], out[:, 2], out[:, 3], out[:, 9] = entropy, mean, deviation, per((length == 1) & is_name[number]) / any_name
     out[:, 10], out[:, 12], out[:, 15] = per(is_literal[number]) / some, per(is_numbered[word], owner) / np.maximum(distinct, 1), distinct / any_name
     data = (literal_chars >= 0.6 * chars) & (names <= np.maximum(10, 0.01 * total)) & (name_chars <= 0.1 * chars) & (total > 0)

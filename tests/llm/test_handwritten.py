@@ -59,7 +59,7 @@ def test_forest_finds_what_the_notices_do_not_say(spark):
     j = {x.path: x for x in judged(s, lib).collect()}
     assert len(j) == len(rows) + 4
     wrong = [p for p, _, want in rows if (j[p].p >= THRESHOLD) != want]
-    assert len(wrong) <= 2, wrong
+    assert len(wrong) <= 0.02 * len(rows), wrong
     assert j["copy.ts"].lib > 0.9 and j["h1.ts"].lib is None and j["vendor/x.ts"].by_path and j["null.ts"].p is None
     assert judged(s.limit(0), lib).count() == 0
     assert judged(s.filter("path like 'h%'"), lib.limit(0)).filter("p is not null").count() == 0
