@@ -1,22 +1,24 @@
 """References to records that do not exist at the time of the reference.
 
-Keys are partitioned into ranges of their 64-bit hash. The parents of a range are stored once, as arrays sorted by
-(hash, start); batches of references are probed against them by vectorised binary search, and the misses come out.
+Keys are partitioned into ranges: cuts are taken from a sample of the parents' keys, in their order. The parents of a
+range are stored once, as arrays sorted by (key, start); batches of references are probed against them by vectorised
+binary search, and the misses come out.
 
-Scale: hashed ranges are even whatever the keys look like, and their number follows the number of parent intervals.
+Scale: the number of ranges follows the number of parent intervals, up to MAX_RANGES cuts that are sent to every executor.
 A key that many references share (a third of all rows) makes one range hot on the reference side only, so the ranges
 are split by salt in proportion to their references and the range's arrays are copied to each salt. No range is ever
-gathered beyond `parents_per_range` intervals plus those of one key, and these are merged beforehand.
+gathered beyond some `parents_per_range` intervals plus those of one key, and these are merged beforehand.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.sources.tables import clean_path, latest, micros, table
+from codeloom.sources.tables import clean_path, latest, materialise, micros, table
 
 OPEN_END = (1 << 63) - 1
 
@@ -44,59 +46,72 @@ def existence(df: DataFrame, key: Column, start: Column, end: Column) -> DataFra
     )
 
 
-def probe(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, h: np.ndarray, k: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """True where no interval of the key holds the time. Arrays are sorted by (hash, key, start).
-
-    `known` is False where the time is null: then nothing existed.
-    """
-    lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-    first, last = lo.copy(), hi.copy()
-    # The last interval of the hash with start <= at: a binary search in all references' ranges at once.
+def probe(parents: np.ndarray, starts: np.ndarray, ends: np.ndarray, refs: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """True where no interval of the key holds the time. `parents` (keys), `starts` and `ends` are sorted by (key, start),
+    and the intervals of a key are disjoint. `known` is False where the time is null: then nothing existed."""
+    if not len(parents):
+        return np.ones(len(refs), bool)
+    distinct, first = np.unique(parents, return_index=True)
+    last = np.append(first[1:], len(parents))
+    code, asked = pd.factorize(refs)
+    place = np.minimum(np.searchsorted(distinct, asked), len(distinct) - 1)
+    there = (distinct[place] == asked)[code]
+    begin, stop = first[place][code], last[place][code]
+    lo, hi = begin.copy(), stop.copy()
+    # The key's last interval with start <= at: a binary search in all references' intervals at once.
     while (open_ := lo < hi).any():
         mid = (lo + hi) >> 1
         right = open_ & (starts[np.minimum(mid, len(starts) - 1)] <= at)
         lo, hi = np.where(right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
-    i = lo - 1
-    safe = np.maximum(i, 0)
-    found = known & (i >= first) & (ends[safe] > at) & (keys[safe] == k) if len(starts) else np.zeros(len(h), bool)
-    # Two keys of one hash: their intervals interleave, so the few references that miss there are searched key by key.
-    for j in np.flatnonzero(~found & known & (last - first > 1)):
-        own = slice(first[j], last[j])
-        if (keys[own] != k[j]).any():
-            found[j] = bool(((keys[own] == k[j]) & (starts[own] <= at[j]) & (ends[own] > at[j])).any())
-    return ~found
-
-
-def missing(references: DataFrame, parents: DataFrame, parents_per_range: int = 20_000, references_per_probe: int = 200_000) -> DataFrame:
+    i = np.maximum(lo - 1, 0)
+    return ~(there & known & (lo > begin) & (ends[i] > at))
+
+
+MAX_RANGES, SAMPLED = 100_000, 16
+
+
+def cuts_of(parents: DataFrame, ranges: int, n: int) -> np.ndarray:
+    """At most ranges - 1 keys that cut the parents' keys, in their order, into ranges of about one size. Taken from a
+    sample by hash, some SAMPLED keys for each range; they decide only how even the ranges are."""
+    if ranges < 2:
+        return np.zeros(0, object)
+    share = min(1.0, ranges * SAMPLED / n)
+    keys = sorted(r.k for r in parents.filter(F.pmod(F.xxhash64("k", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000).select("k").distinct().collect())
+    return np.array(keys[:: max(1, len(keys) // ranges)][1:], dtype=object)
+
+
+def missing(references: DataFrame, parents: DataFrame, parents_per_range: int = 5_000, references_per_probe: int = 20_000) -> DataFrame:
     """Rows of `references` (ref_field, key, symbol_id, at) whose key has no interval in `parents` (ref_field, key,
     start, end) that holds `at` (microseconds). Null keys are no references; a null time is never held.
 
     Returns references' rows as they are, one for each row.
     """
-    h = F.xxhash64("ref_field", "key")
-    n_parents = parents.count()  # a number; decides only how finely the ranges are cut
-    ranges = max(1, -(-n_parents // parents_per_range))
-    cut = lambda c: F.pmod(F.shiftright(c, 20), F.lit(ranges)).cast("int")
-    refs = references.filter(F.col("key").isNotNull()).withColumn("h", h).withColumn("part", cut(F.col("h")))
-    # A row per range: as many as there are ranges, so its size is proven by `ranges`.
-    salts = refs.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / references_per_probe)).cast("int").alias("salts"))
-    salts = F.broadcast(salts) if ranges <= 100_000 else salts
+    parents = materialise(parents.select(F.concat_ws("\0", "ref_field", "key").alias("k"), "start", "end"))
+    n = parents.count()  # a number; decides only how finely the ranges are cut
+    cuts = cuts_of(parents, min(MAX_RANGES, -(-n // parents_per_range)), n)
+
+    @F.pandas_udf("int")
+    def part_of(k: pd.Series) -> pd.Series:
+        code, distinct = pd.factorize(k)
+        return pd.Series(np.searchsorted(cuts, np.asarray(distinct, dtype=object), "right")[code])
+
+    part = part_of("k") if len(cuts) else F.lit(0)
+    refs = references.filter(F.col("key").isNotNull()).withColumn("k", F.concat_ws("\0", "ref_field", "key")).withColumn("part", part)
+    # A row per range: as many as there are ranges, so its size is proven by MAX_RANGES.
+    salts = F.broadcast(refs.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / references_per_probe)).cast("int").alias("salts")))
     refs = refs.join(salts, "part").withColumn("salt", F.pmod(F.xxhash64("symbol_id", "at"), F.col("salts")).cast("int")).drop("salts")
     arrays = (
-        parents.withColumn("h", h)
-        .groupBy(cut(F.col("h")).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("h", "start", "end", "key"))).alias("a"))
+        parents.withColumn("part", part)
+        .groupBy("part")
+        .agg(F.array_sort(F.collect_list(F.struct("k", "start", "end"))).alias("a"))
         .join(salts, "part")
-        .select("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(f"a.{c}").alias(f"p_{c}") for c in ("h", "start", "end", "key")])
+        .select("part", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(f"a.{c}").alias(f"p_{c}") for c in ("k", "start", "end")])
     )
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        flat = {c: right.column(f"p_{c}").combine_chunks().flatten() if right.num_rows else pa.array([], pa.string() if c == "key" else pa.int64()) for c in ("h", "start", "end", "key")}
+        own = {c: right.column(f"p_{c}").combine_chunks().flatten().to_numpy(zero_copy_only=False) if right.num_rows else np.zeros(0, object if c == "k" else np.int64) for c in ("k", "start", "end")}
         at = left.column("at").combine_chunks()
-        miss = probe(
-            flat["h"].to_numpy(zero_copy_only=False), flat["start"].to_numpy(zero_copy_only=False), flat["end"].to_numpy(zero_copy_only=False), flat["key"].to_numpy(zero_copy_only=False).astype(object),
-            left.column("h").to_numpy(), left.column("key").to_numpy().astype(object), at.fill_null(0).to_numpy(zero_copy_only=False), ~at.is_null().to_numpy(zero_copy_only=False),
-        )
+        miss = probe(own["k"].astype(object), own["start"], own["end"], left.column("k").to_numpy().astype(object), at.fill_null(0).to_numpy(zero_copy_only=False), ~at.is_null().to_numpy(zero_copy_only=False))
         return left.select(["ref_field", "key", "symbol_id", "at"]).filter(pa.array(miss))
 
     schema = references.select("ref_field", "key", "symbol_id", "at").schema
