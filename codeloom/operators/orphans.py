@@ -46,14 +46,20 @@ def existence(df: DataFrame, key: Column, start: Column, end: Column) -> DataFra
     )
 
 
-def probe(parents: np.ndarray, starts: np.ndarray, ends: np.ndarray, refs: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
+def coded(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each key, the distinct keys)."""
+    d = keys.dictionary_encode()
+    return d.indices.to_numpy(zero_copy_only=False), d.dictionary.to_numpy(zero_copy_only=False).astype(object)
+
+
+def probe(parents: np.ndarray, starts: np.ndarray, ends: np.ndarray, refs: pa.Array, at: np.ndarray, known: np.ndarray) -> np.ndarray:
     """True where no interval of the key holds the time. `parents` (keys), `starts` and `ends` are sorted by (key, start),
     and the intervals of a key are disjoint. `known` is False where the time is null: then nothing existed."""
     if not len(parents):
         return np.ones(len(refs), bool)
     distinct, first = np.unique(parents, return_index=True)
     last = np.append(first[1:], len(parents))
-    code, asked = pd.factorize(refs)
+    code, asked = coded(refs)
     place = np.minimum(np.searchsorted(distinct, asked), len(distinct) - 1)
     there = (distinct[place] == asked)[code]
     begin, stop = first[place][code], last[place][code]
@@ -92,8 +98,8 @@ def missing(references: DataFrame, parents: DataFrame, parents_per_range: int =
 
     @F.pandas_udf("int")
     def part_of(k: pd.Series) -> pd.Series:
-        code, distinct = pd.factorize(k)
-        return pd.Series(np.searchsorted(cuts, np.asarray(distinct, dtype=object), "right")[code])
+        code, distinct = coded(pa.array(k, pa.string()))
+        return pd.Series(np.searchsorted(cuts, distinct, "right")[code])
 
     part = part_of("k") if len(cuts) else F.lit(0)
     refs = references.filter(F.col("key").isNotNull()).withColumn("k", F.concat_ws("\0", "ref_field", "key")).withColumn("part", part)
@@ -111,7 +117,7 @@ def missing(references: DataFrame, parents: DataFrame, parents_per_range: int =
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         own = {c: right.column(f"p_{c}").combine_chunks().flatten().to_numpy(zero_copy_only=False) if right.num_rows else np.zeros(0, object if c == "k" else np.int64) for c in ("k", "start", "end")}
         at = left.column("at").combine_chunks()
-        miss = probe(own["k"].astype(object), own["start"], own["end"], left.column("k").to_numpy().astype(object), at.fill_null(0).to_numpy(zero_copy_only=False), ~at.is_null().to_numpy(zero_copy_only=False))
+        miss = probe(own["k"].astype(object), own["start"], own["end"], left.column("k").combine_chunks(), at.fill_null(0).to_numpy(zero_copy_only=False), ~at.is_null().to_numpy(zero_copy_only=False))
         return left.select(["ref_field", "key", "symbol_id", "at"]).filter(pa.array(miss))
 
     schema = references.select("ref_field", "key", "symbol_id", "at").schema
