@@ -21,13 +21,22 @@ def test_permute_is_a_permutation_that_depends_on_the_key():
 def test_plan_hits_the_shares_within_the_caps():
     p = plan_sizes([("a", 0.5, 1, 51_200, 100), ("b", 0.25, 4, 5_120, 10), ("c", 0.25, 9, 0, 0), ("d", 0.0, 1, 9, 1)])
     assert [(s, n, k) for s, _, n, k in p] == [("a", 100, 80), ("b", 10, 40)]
-    dealt = deal(p, shard_blocks=17)
-    total = collections.Counter()
-    for _, s, _, first, k in dealt:
-        assert first == total[s]
-        total[s] += k
-    assert total == {"a": 80, "b": 40}
-    assert plan_sizes([]) == [] and deal([]) == []
+    assert plan_sizes([]) == []
+
+
+def test_shards_are_drawn_alike_from_any_range():
+    totals, per = np.array([8_000, 3_210, 0, 17]), 100
+    shards = -(-int(totals.sum()) // per)
+    whole = deal(totals, shards, per, range(shards))
+    first, count = whole[:, 0], whole[:, 1]
+    assert (count.sum(0) == totals).all() and (count >= 0).all()
+    assert (count[:-1].sum(1) == per).all() and count[-1].sum() == totals.sum() - per * (shards - 1)
+    assert (first == np.cumsum(count, 0) - count).all()
+    for part in (range(0, 1), range(3, 50), range(shards - 1, shards)):
+        assert (deal(totals, shards, per, part) == whole[part.start : part.stop]).all()
+    # The counts of the shards vary as draws do, about their shares.
+    spread = count[:-1, 0].std() / np.sqrt(per * 0.71 * 0.29)
+    assert 0.7 < spread < 1.3 and abs(count[:-1, 0].mean() - per * 8_000 / totals.sum()) < 1
 
 
 @pytest.fixture(scope="module")
@@ -50,12 +59,21 @@ def test_blocks_hold_every_token_once(tables):
             want = collections.Counter(x for _, text, q in rows if q == s and text for x in enc.encode([text])[1].tolist())
             assert collections.Counter(x for r in own for x in r.ids) == want
             assert all(r.n_tokens == len(r.ids) <= 16 for r in own)
+            texts = {i: text for i, text, _ in rows if i != 3}
+            for r in own[:40]:  # each piece is where its document has it
+                at = 0
+                for x in r.pieces:
+                    if x.doc_id in texts:
+                        assert r.ids[at : at + x.n] == enc.encode([texts[x.doc_id]])[1].tolist()[x.at : x.at + x.n]
+                    at += x.n
+                assert at == r.n_tokens
 
 
 def test_mixture_and_shares(tables):
     d, t, _ = tables
     m, sources = mix(d, t, 16, shard_blocks=40)
     got = m.collect()
+    assert len({r.shard for r in got}) > 3
     blocks = {s[0]: s[4] for s in sources}
     uses = collections.Counter((r.source, r.idx) for r in got)
     assert max(v for (s, _), v in uses.items() if s == "big") == 1
