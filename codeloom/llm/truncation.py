@@ -1,7 +1,9 @@
 """Problem 9: texts that lost their end, and the rate of each source.
 
-A stack automaton reads every text to its end and reports what is still open: fenced code, inline code, a bracket, a
-quotation, an entity, a broken multibyte character. Then the end itself is judged: closed by a terminator of any
+A stack automaton reads every text to its end and reports what is still open: fenced code, inline code, a bracket or
+brace, a quotation of any kind, an element of markup. What was opened in the last paragraph makes a text truncated
+whatever its last line says; what was opened before does so unless the source's other texts leave the same open as well
+(`OPEN_SHARE`). Then the end itself is judged: a broken entity, escape or multibyte character, a terminator of any
 script, a mark that stands for a lost rest, an ending that is whole without a terminator (a list item, a link, a
 trailer, a title, a greeting), or neither.
 
@@ -57,47 +59,77 @@ BROKEN = re.compile(r"(?:�+|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|%[0-9A-Fa-f
 CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힯]$")
 
 WHOLE, CUT, DOUBTFUL = "whole", "cut", "doubtful"
-WORD_SHARE = 0.0001
+WORD_SHARE, OPEN_SHARE = 0.0001, 0.02
 
 
-def structure(lines: list[str]) -> str | None:
-    """The fence that is still open at the end, if one is. A fence closes by its own letter, at least as many of them
-    and nothing behind; anything else within is content."""
-    open_: str | None = None
+# Elements that have no end tag.
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+SIGNS = re.compile(r"[()\[\]{}“”«»「」『』（）\"]|(?<![\w:])<[a-z][a-z0-9-]*(?:\s[^<>]*)?>|</[a-z][a-z0-9-]*\s*>")
+OPENS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»", "「": "」", "『": "』", "（": "）"}
+CLOSES = {v: k for k, v in OPENS.items()}
+
+
+def structure(lines: list[str]) -> tuple[str | None, list[tuple[str, int]]]:
+    """What is open at the end: (fence, stack of (sign, its line)), by an automaton over the whole text.
+
+    A fence closes by its own letter, at least as many of them and nothing behind; anything else within is content. Outside
+    of fences, inline code (within its paragraph), brackets, quotations, straight quotes and elements of markup go on the
+    stack. A closing sign takes what lies above its opener with it; one without an opener (a smiley, a list's "a)") is none.
+    """
+    fence: str | None = None
+    stack: list[tuple[str, int]] = []
+    code: str | None = None  # the backticks of inline code that is open
     for k, line in enumerate(lines):
-        if (m := FENCE.match(line)) is None:
+        if (m := FENCE.match(line)) is not None:
+            mark, info = m[1], m[2]
+            if fence is None:
+                if not (mark[0] == "`" and "`" in info):
+                    fence, code = mark, None
+                    continue
+            else:
+                if mark[0] == fence[0] and len(mark) >= len(fence) and (not info.strip() or k == len(lines) - 1 and info[0] == " "):
+                    fence = None  # behind the very last fence a remark may follow
+                continue
+        if fence is not None:
             continue
-        mark, info = m[1], m[2]
-        if open_ is None:
-            if not (mark[0] == "`" and "`" in info):
-                open_ = mark
-        elif mark[0] == open_[0] and len(mark) >= len(open_) and (not info.strip() or k == len(lines) - 1 and info[0] == " "):
-            open_ = None  # behind the very last fence a remark may follow
-    return open_
-
-
-def open_spans(prose: str) -> bool:
-    """Whether inline code, a bracket or a double quotation is open at the end of a paragraph: a stack over its signs."""
-    stack: list[str] = []
-    i, n = 0, len(prose)
-    pairs = {"(": ")", "[": "]", "“": "”", "«": "»", "「": "」", "『": "』", "（": "）"}
-    while i < n:
-        c = prose[i]
-        if c == "`":
-            j = i
-            while j < n and prose[j] == "`":
-                j += 1
-            end = prose.find(prose[i:j], j)
-            if end < 0:
-                return True
-            i = end + (j - i)
+        if not line.strip():
+            code = None
             continue
-        if c in pairs:
-            stack.append(pairs[c])
-        elif stack and c == stack[-1]:
-            stack.pop()
-        i += 1
-    return bool(stack)
+        if code is not None or "`" in line:
+            kept = []
+            for piece in re.split(r"(`+)", line):
+                if code is not None:
+                    code = None if piece == code else code
+                elif piece[:1] == "`":
+                    code = piece
+                else:
+                    kept.append(piece)
+            line = " ".join(kept)
+        for m in SIGNS.finditer(line):
+            c = m[0]
+            if c in OPENS:
+                stack.append((c, k))
+                continue
+            if c == '"':
+                opener = c if any(x == c for x, _ in stack) else None
+                if opener is None:
+                    stack.append((c, k))
+            elif c in CLOSES:
+                opener = CLOSES[c]
+            else:
+                name = re.match(r"</?([a-z0-9-]+)", c)[1]
+                opener = "<" + name
+                if name in VOID or c.endswith("/>"):
+                    continue
+                if c[1] != "/":
+                    stack.append((opener, k))
+                    continue
+            if opener is not None and any(x == opener for x, _ in stack):
+                while stack.pop()[0] != opener:
+                    pass
+    if code is not None:
+        stack.append(("`", len(lines) - 1))
+    return fence, stack
 
 
 def judge(text: str) -> tuple[str, str | None, str | None]:
@@ -106,8 +138,22 @@ def judge(text: str) -> tuple[str, str | None, str | None]:
     if not body:
         return WHOLE, None, None
     lines = LINES.split(body)
-    if structure(lines) is not None:
+    fence, stack = structure(lines)
+    if fence is not None:
         return CUT, None, None
+    verdict = ending(lines)
+    if verdict[0] == CUT or not stack:
+        return verdict
+    start = len(lines) - 1
+    while start and lines[start - 1].strip() and not FENCE.match(lines[start - 1]) and not ITEM.match(lines[start]):
+        start -= 1
+    if stack[-1][1] >= start:  # opened in the last paragraph
+        return CUT, None, None
+    return DOUBTFUL, "!" + "".join(sorted({x[0] for x, _ in stack})), "…"
+
+
+def ending(lines: list[str]) -> tuple[str, str | None, str | None]:
+    """What the last line says, whatever is open."""
     last = lines[-1].strip()
     if FENCE.match(last):
         return WHOLE, None, None
@@ -124,9 +170,6 @@ def judge(text: str) -> tuple[str, str | None, str | None]:
     start = len(lines) - 1
     while start and lines[start - 1].strip() and not FENCE.match(lines[start - 1]) and not ITEM.match(lines[start]):
         start -= 1
-    if "`" in last or "(" in last or "[" in last or any(q in last for q in "“«「『（"):
-        if open_spans("\n".join(lines[start:])):
-            return CUT, None, None
     core = last.rstrip(CLOSERS)
     if last[-1] in TERMINATORS or (core and core[-1] in TERMINATORS) or EMOJI.search(last):
         # A terminator only in form: the point of "5.903", the dot of a name within code.
@@ -183,6 +226,7 @@ def truncated(documents: DataFrame, share: float = 0.0008, least: int = 4, word_
     """(doc_id, source) of texts that stop before their end.
 
     Texts are counted without their copies, and the text in question is left out.
+    OPEN_SHARE: the part of a source's other texts that must leave the same signs open for this to be usual there.
     share and least: a doubtful last line is whole where at least so large a part, and so many, of its source's texts
     end in it; the same holds for a last word among all texts. word_docs and word_share: a doubtful last word is also
     whole if so many, and so large a part, of the texts have it at the end of a line or sentence before their own end.
@@ -195,11 +239,11 @@ def truncated(documents: DataFrame, share: float = 0.0008, least: int = 4, word_
     others = F.col("n") - 1
     usual = (
         doubt.groupBy("source", "shape").agg(F.count_distinct("key").alias("n")).join(per_source, "source")
-        .filter((others >= least) & (others >= share * F.col("of"))).select("source", "shape", F.lit(True).alias("usual"))
+        .filter((others >= least) & (others >= F.when(F.col("shape").startswith("!"), OPEN_SHARE).otherwise(share) * F.col("of"))).select("source", "shape", F.lit(True).alias("usual"))
     )
     asked = doubt.filter("word is not null and word not in ('', '…')").groupBy("word").agg(F.count_distinct("key").alias("finals"))
     # Only words that some doubtful text ends with are counted, and never the end of the text itself.
-    closing = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)[`\"')\]]*(?:[.!?]|\r?\n|\r)(?=\s*\S)"), F.lit(1))
+    closing = F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\p{L})(\p{L}+)[`\"')\]]*(?:[.!?]|\r?\n|\r)(?=\s*\S)"), F.lit(1))
     inside = documents.filter("text is not null").select(key(), F.explode(F.array_distinct(closing)).alias("word")).join(asked, "word", "left_semi").groupBy("word").agg(F.count_distinct("key").alias("docs"))
     known = asked.join(inside, "word", "left").select("word", F.coalesce("docs", F.lit(0)).alias("docs"), (F.col("finals") - 1).alias("finals"))
     judged = doubt.join(usual, ["source", "shape"], "left").join(known, "word", "left").withColumn("form", F.substring("shape", 1, 1))

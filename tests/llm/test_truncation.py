@@ -26,3 +26,20 @@ def test_found_with_baseline_nulls_ties_and_clashing_columns(spark, tmp_path):
     d.write.parquet(f"{tmp_path}/documents.parquet")
     rates = {r.source: (r.documents, r.texts, r.truncated) for r in p9_rates(spark, str(tmp_path)).collect()}
     assert rates == {"wiki": (11, 10, 1), None: (3, 3, 2), "mail": (1, 1, 1)}
+
+
+OPEN = ["He wrote (see the\n\nNext para ends fine.", "<div><p>Hello there.", 'A json {"a": 1.', 'He said "we go. Now.', "It reads `walk now.", "« Il dit. Et puis.", "[a](b and so on.\n\n- x"]
+SHUT = ["He wrote (see it) :) there.", "a) first, b) second.", "<br>Hello <b>there</b>.", 'He said "we go". Now.', "```\nif (x {\n```\nDone.", "Use `f(` with care.", "It is `Vec::<T>` or a::<t>() here.", "5 < 6 and 7 > 2.", "It ends ) here."]
+
+
+@pytest.mark.parametrize(("text", "want"), [(t, True) for t in OPEN] + [(t, False) for t in SHUT])
+def test_what_is_open_at_the_end(spark, text, want):
+    others = [(i, f"Whole text number {i}.", "wiki") for i in range(30)]
+    d = spark.createDataFrame([*others, (99, text, "wiki")], "doc_id long, text string, source string")
+    assert [r.doc_id for r in truncated(d).collect()] == ([99] if want else [])
+
+
+def test_signs_that_a_source_leaves_open_are_usual_there(spark):
+    rows = [(i, f"Smile ( {i}\n\nIt ends here {i}.", "chat") for i in range(30)] + [(100, "Smile ( x\n\nIt ends here.", "mail")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [r.doc_id for r in truncated(d).collect()] == [100]
