@@ -194,9 +194,12 @@ def ending(lines: list[str]) -> tuple[str, str | None, str | None]:
     return CUT, None, None
 
 
-def closes(text: str, word: str) -> bool:
-    """Whether a word stands at the end of a line or sentence before the text's own end."""
-    return re.search(rf"(?<![^\W\d_]){re.escape(word)}[`\"')\]]*(?:[.!?]|\r?\n|\r)(?=\s*\S)", text.lower()) is not None
+CLOSING = re.compile(r"(?<![^\W\d_])([^\W\d_]+)[`\"')\]]*(?:[.!?]|\r?\n|\r)(?=\s*\S)")
+
+
+def closing(text: str) -> list[str]:
+    """The words that stand at the end of a line or sentence before the text's own end, each once."""
+    return list(set(CLOSING.findall(text.lower())))
 
 
 def key() -> Column:
@@ -206,17 +209,16 @@ def key() -> Column:
 
 
 def ends(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, key, chars, verdict, shape, word, own) of every text that isn't null. key: as `key`;
-    own: whether the text itself has the word at another line's or sentence's end."""
-    schema = "doc_id long, source string, key long, chars long, bytes long, verdict string, shape string, word string, own int"
+    """(doc_id, source, key, verdict, shape, word, closing) of every text that isn't null. key: as `key`; closing: as
+    `closing`."""
+    schema = "doc_id long, source string, key long, verdict string, shape string, word string, closing array<string>"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
             v = [judge(t) for t in texts]
-            own = pa.array([int(bool(w) and w != "…" and closes(t, w)) for t, (_, _, w) in zip(texts, v, strict=True)], pa.int32())
-            out = [b.column("doc_id"), b.column("source"), b.column("key"), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t.encode("utf-8", "replace")) for t in texts], pa.int64()), *[pa.array(list(x) if v else [], pa.string()) for x in (zip(*v, strict=True) if v else ([], [], []))], own]
+            out = [b.column("doc_id"), b.column("source"), b.column("key"), *[pa.array(list(x) if v else [], pa.string()) for x in (zip(*v, strict=True) if v else ([], [], []))], pa.array([closing(t) for t in texts], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     return documents.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), key()).mapInArrow(run, schema)
@@ -243,11 +245,10 @@ def truncated(documents: DataFrame, share: float = 0.0008, least: int = 4, word_
     )
     asked = doubt.filter("word is not null and word not in ('', '…')").groupBy("word").agg(F.count_distinct("key").alias("finals"))
     # Only words that some doubtful text ends with are counted, and never the end of the text itself.
-    closing = F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\p{L})(\p{L}+)[`\"')\]]*(?:[.!?]|\r?\n|\r)(?=\s*\S)"), F.lit(1))
-    inside = documents.filter("text is not null").select(key(), F.explode(F.array_distinct(closing)).alias("word")).join(asked, "word", "left_semi").groupBy("word").agg(F.count_distinct("key").alias("docs"))
+    inside = e.select("key", F.explode("closing").alias("word")).join(asked, "word", "left_semi").groupBy("word").agg(F.count_distinct("key").alias("docs"))
     known = asked.join(inside, "word", "left").select("word", F.coalesce("docs", F.lit(0)).alias("docs"), (F.col("finals") - 1).alias("finals"))
     judged = doubt.join(usual, ["source", "shape"], "left").join(known, "word", "left").withColumn("form", F.substring("shape", 1, 1))
-    vouched = F.col("docs") - F.col("own")
+    vouched = F.col("docs") - F.array_contains("closing", F.col("word")).cast("int")
     is_known = ((vouched >= word_docs) & (vouched >= word_share * total)) | ((F.col("finals") >= least) & (F.col("finals") >= share / 2 * total))
     no_form, has_word = ~F.col("form").isin("~", "="), ~F.col("word").isin("", "…")
     judged = judged.withColumn("bad", ~F.coalesce("usual", F.lit(False)) & (no_form | (has_word & ~F.coalesce(is_known, F.lit(False)))))
