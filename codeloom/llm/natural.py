@@ -4,11 +4,13 @@ Comments and strings are cut out by the regular expressions of the language's de
 is really in another language than its path says uses that one's. Adjacent comment lines are merged, then split into
 sentences. A sentence counts from four words in a row (eight signs where words aren't spaced) and is classified by the
 distance of its n-grams to the ranked n-gram profiles of the languages; a sentence too far from every profile (names,
-keys, code), or as near to two, is rejected.
+keys, code), as near to two, or nearest to another language, is rejected.
 
-Distance: the mean, over the n-grams (1 to 4 signs, words padded) of a sentence, of the rank in the language's profile,
-`PROFILE` for those outside of it. In a sentence nearly all n-grams occur once, so their own ranks tie and are taken as
-zero. All sentences of a batch are measured at once (numpy). Profiles are trained at first use from `language_samples`.
+Distance: the mean, over the n-grams (1 to 4 signs, words padded; 1 and 2 where words aren't spaced) of a sentence, of the
+rank in the language's profile, `PROFILE` for those outside of it. In a sentence nearly all n-grams occur once, so their
+own ranks tie and are taken as zero. A sentence is compared with the profiles of its script: those of the ten languages,
+and those of other languages, which aren't reported: a sentence nearest to one of these is rejected as well. All sentences
+of a batch are measured at once (numpy). Profiles are trained at first use from `language_samples`.
 
 Scale: narrow Python passes over sources and over the valid symbols' comments, without a shuffle but the one that finds
 valid rows and languages. Sentences are remembered by their words (numbers aside) up to a bound; that changes speed only.
@@ -31,12 +33,15 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import lang
 from codeloom.llm.docpairs import file_languages
-from codeloom.llm.language_samples import SAMPLES
+from codeloom.llm.language_samples import RIVALS, SAMPLES
 from codeloom.llm.lexing import FAMILY, lex, real_language
 from codeloom.sources.tables import latest, table
 
 PROFILE, REJECT, MARGIN, REMEMBER = 1500, 0.72, 0.012, 200_000
-LATIN = [k for k in SAMPLES if k != "ru"]
+# The languages of each script, those that are reported first, and the n-grams that are counted.
+SCRIPTS = {"latin": ["en", "de", "fr", "es", "pt", "it", "nl", "sv", "da", "no", "pl", "cs", "hr", "ro", "ca", "tr", "fi", "hu"], "cyrillic": ["ru", "uk", "bg", "sr"], "unspaced": ["ja", "zh"]}
+NGRAMS = {"latin": (1, 2, 3, 4), "cyrillic": (1, 2, 3, 4), "unspaced": (1, 2)}
+REJECTS = {"latin": REJECT, "cyrillic": REJECT, "unspaced": 0.97}
 MARKER = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*+(?!/)|//[/!]*|--\[=*\[|-{2,3}(?!-)|#+!?|\"\"\"|''')?[ \t]?|[ \t]*(?:\*+/|\]=*\]|\"\"\"|''')[ \t]*$", re.M)
 TAG_LINE = re.compile(r"^\s*(?:[@\\]\w+\b|:\w+[^:]*:)(?:\s*\{[^}]*\})?(?:\s+\w+$)?", re.M)
 NOISE = re.compile(r"`[^`\n]*`|</?[A-Za-z][^<>]*>|\{@[^}]*\}|(?:https?://|www\.)\S+|\b[\w$]*(?:[_$/\\=<>{}\[\]()|#@+*%]|\.(?=\w)|::|(?<=[a-z])(?=[A-Z]))[\w$./\\:()-]*|\b\w*\d\w*[A-Za-z]\w*\b")
@@ -64,14 +69,15 @@ def _codes(text: str) -> np.ndarray:
     return np.minimum(np.frombuffer(words.encode("utf-32-le"), np.uint32), 0xFFFF).astype(np.uint64)
 
 
-@functools.lru_cache(maxsize=1)
-def profiles() -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(sorted n-grams, their rank in each language's profile, languages)."""
-    ranks, names = {}, LATIN
+@functools.lru_cache(maxsize=4)
+def profiles(script: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(sorted n-grams, their rank in each language's profile, languages) of the languages of a script."""
+    names = SCRIPTS[script]
+    ranks: dict[int, list[int]] = {}
     for j, name in enumerate(names):
-        codes = _codes(SAMPLES[name])
+        codes = _codes(SAMPLES.get(name) or RIVALS[name])
         count: Counter[int] = Counter()
-        for n in (1, 2, 3, 4):
+        for n in NGRAMS[script]:
             g = _grams(codes, n)
             count.update(dict(zip(*[x.tolist() for x in np.unique(g, return_counts=True)], strict=True)))
         for r, (gram, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:PROFILE]):
@@ -80,22 +86,22 @@ def profiles() -> tuple[np.ndarray, np.ndarray, list[str]]:
     return keys, np.array([ranks[int(k)] for k in keys], dtype=np.float32), names
 
 
-@functools.lru_cache(maxsize=16)
+@functools.lru_cache(maxsize=64)
 def common_words(name: str) -> frozenset[str]:
     """Words that a sentence of the language, however short, has at least one of: those its sample repeats."""
-    n = Counter(re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", SAMPLES[name].lower()))
+    n = Counter(re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", (SAMPLES.get(name) or RIVALS[name]).lower()))
     return frozenset(w for w, k in n.items() if k >= 2)
 
 
-def distances(sentences: list[str]) -> np.ndarray:
-    """Mean out-of-place distance, from 0 to 1, of each sentence to each Latin profile."""
-    keys, ranks, names = profiles()
+def distances(sentences: list[str], script: str) -> np.ndarray:
+    """Mean out-of-place distance, from 0 to 1, of each sentence to each profile of its script."""
+    keys, ranks, names = profiles(script)
     total = np.zeros((len(sentences), len(names)), np.float64)
     count = np.zeros(len(sentences))
     parts = [_codes(s) for s in sentences]
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    for n in (1, 2, 3, 4):
+    for n in NGRAMS[script]:
         g = _grams(flat, n)
         who = owner[: len(g)]
         inside = who == owner[n - 1 : n - 1 + len(g)]
@@ -118,26 +124,20 @@ class Classifier:
         if len(self.known) > REMEMBER:
             self.known.clear()
         new = list(dict.fromkeys(k for k in keys if k not in self.known))
-        latin = []
+        parts: dict[str, list[str]] = {}
         for k in new:
             cyrillic = len(re.findall(r"[Ѐ-ӿ]", k))
-            if KANA.search(k):
-                self.known[k] = "ja"
-            elif HAN.search(k):
-                self.known[k] = "zh"
-            elif cyrillic * 2 > len(re.findall(r"[^\W\d_]", k)):
-                self.known[k] = "ru"
-            else:
-                latin.append(k)
-        for start in range(0, len(latin), 2000):
-            part = latin[start : start + 2000]
-            d = distances(part)
-            names, order = profiles()[2], np.argsort(d, axis=1, kind="stable")
-            for i, k in enumerate(part):
-                first, second, name = d[i, order[i, 0]], d[i, order[i, 1]], names[order[i, 0]]
-                words = k.lower().replace("’", "'").split()
-                common = len(words) >= 6 or not common_words(name).isdisjoint(w.strip(",;:()") for w in words)
-                self.known[k] = name if first <= REJECT and second - first >= MARGIN and common else None
+            parts.setdefault("unspaced" if HAN.search(k) else "cyrillic" if cyrillic * 2 > len(re.findall(r"[^\W\d_]", k)) else "latin", []).append(k)
+        for script, all_ in parts.items():
+            names = profiles(script)[2]
+            for part in (all_[i : i + 2000] for i in range(0, len(all_), 2000)):
+                d = distances(part, script)
+                order = np.argsort(d, axis=1, kind="stable")
+                for i, k in enumerate(part):
+                    first, second, name = d[i, order[i, 0]], d[i, order[i, 1]], names[order[i, 0]]
+                    words = k.lower().replace("’", "'").split()
+                    common = script == "unspaced" or len(words) >= 6 or not common_words(name).isdisjoint(w.strip(",;:()") for w in words)
+                    self.known[k] = name if name in SAMPLES and first <= REJECTS[script] and second - first >= MARGIN and common else None
         return [self.known[k] for k in keys]
 
 
@@ -193,7 +193,7 @@ def merged(pieces: list[tuple[str, int, int, str]], body: str) -> list[tuple[boo
 
 def texts_of(body: str, language: str | None) -> list[tuple[bool, str]]:
     body = re.sub(r"\r\n?", "\n", body.lstrip("﻿"))
-    if body.startswith("--- ") and "\n@@ " in body[:400]:  # a patch: the lines of the file are behind its signs
+    if body.startswith("--- ") and "\n@@ " in body:  # a patch: the lines of the file are behind its signs
         body = "\n".join(x[1:] for x in body.split("\n") if x[:1] in " +-" and not x.startswith(("--- ", "+++ ")))
         head = re.match(r"(?:\s*\*(?!/)[^\n]*\n)+", body)
         body = "/*" + body if head else body
@@ -222,8 +222,9 @@ def _rows(df: DataFrame, key: str, text: str, extract, remember: bool = False) -
         classify, seen = Classifier(), {}
         for b in batches:
             ids, texts, names = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            # Texts that differ in numbers only have the same languages and, up to the numbers, the same lengths.
+            # Texts that differ in numbers only have the same languages; a number counts as one sign in all of them.
             keys = [re.sub(r"\d+", "0", t) if remember else None for t in texts]
+            texts = [t if k is None else k for t, k in zip(texts, keys, strict=True)]
             if len(seen) > REMEMBER:
                 seen.clear()
             new = [i for i, k in enumerate(keys) if k is None or k not in seen]
@@ -246,7 +247,7 @@ def in_files(sources: DataFrame, files: DataFrame) -> DataFrame:
 
 def in_symbols(symbols: DataFrame) -> DataFrame:
     """(symbol_id, nl_lang, chars): the largest language of a valid symbol's doc comment."""
-    v = latest(symbols, "id", "indexed_at", ["id", "indexed_at", "doc_comment"]).filter(F.length("doc_comment") >= 8)
+    v = latest(symbols, "id", "indexed_at", ["id", "indexed_at", "doc_comment"]).filter(F.length("doc_comment") > 0)
     r = _rows(v.withColumn("language", F.lit(None).cast("string")), "id", "doc_comment", lambda t, _: [(True, re.sub(r"\r\n?", "\n", t))], remember=True)
     return r.groupBy(F.col("key").alias("symbol_id")).agg(F.max_by(F.struct("nl_lang", "chars"), F.struct("chars", F.hex("nl_lang"))).alias("x")).select("symbol_id", "x.nl_lang", "x.chars")
 

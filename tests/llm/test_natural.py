@@ -23,6 +23,24 @@ def test_no_language(text):
     assert [x for x in Classifier()(runs_of(text, True)) if x] == []
 
 
+OTHERS = [
+    "Vi måste ladda tabellen två gånger eftersom storleken var okänd", "Servern svarar inte och därför försöker vi igen efter en stund", "Musimy wczytać tabelę dwa razy, ponieważ rozmiar był nieznany", "Serwer nie odpowiada, dlatego próbujemy ponownie po chwili",
+    "Moramo dvaput učitati tablicu jer veličina nije bila poznata", "Poslužitelj ne odgovara pa pokušavamo ponovno nakon nekog vremena", "Ми мусимо двічі завантажити таблицю, бо розмір був невідомий", "Сервер не відповідає, тому ми спробуємо ще раз трохи згодом",
+    "Трябва да заредим таблицата два пъти, защото размерът беше неизвестен", "Сървърът не отговаря и затова опитваме отново след малко", "Musíme načíst tabulku dvakrát, protože velikost nebyla známá", "Trebuie să încărcăm tabelul de două ori pentru că mărimea era necunoscută",
+]
+KNOWN = {"ru": "Сервер не отвечает, поэтому мы попробуем ещё раз немного позже", "zh": "服务器没有回答所以我们稍后再试一次", "ja": "サーバーが応答しないので少し後でもう一度試します", "en": "The server does not answer, so we try again after a while", "de": "Der Server antwortet nicht, darum versuchen wir es später noch einmal", "nl": "De server antwoordt niet en daarom proberen we het later opnieuw", "es": "El servidor no responde y por eso lo intentamos otra vez más tarde"}
+
+
+@pytest.mark.parametrize("text", OTHERS)
+def test_other_languages_are_rejected(text):
+    assert Classifier()(runs_of(f"// {text}.", True)) in ([None], [])
+
+
+@pytest.mark.parametrize("want", KNOWN)
+def test_known_languages_are_kept(want):
+    assert Classifier()(runs_of(f"// {KNOWN[want]}.", True)) == [want]
+
+
 def test_comments_merge_and_strings_count():
     body = 'fn a() {\n    // This sentence is so long that it goes on\n    // in the line after it.\n    print("Nothing is left to do here.");\n    print("index/rebuild");\n}\n'
     runs = [r for c, t in texts_of(body, "rust") for r in runs_of(t, c)]
