@@ -34,14 +34,14 @@ def options(df: DataFrame, kinds: list[str] | None = None, languages: list[str]
     return df.filter(F.col("name").ilike(glob_like(name))) if name else df
 
 
-def definitions(df: DataFrame, name: str, parent_name: str | None = None, language: str | None = None, limit: int = 1000) -> DataFrame:
-    """Symbols of exactly this name that define something, by file and line."""
+def definitions(df: DataFrame, name: str, parent_name: str | None = None, language: str | None = None, limit: int | None = None) -> DataFrame:
+    """Symbols of exactly this name that define something, by file and line; all of them unless a limit is given."""
     d = df.filter((F.col("name") == name) & ~F.col("kind").isin(NO_DEFINITION))
     if language:
         d = d.filter(F.col("language") == language)
     if parent_name is not None:
         d = d.join(df.filter(F.col("name") == parent_name).select(F.col("id").alias("parent")), "parent", "left_semi")
-    return d.orderBy("file_path", "start_line", "id").limit(limit)
+    return d.orderBy("file_path", "start_line", "id").limit(limit) if limit is not None else d
 
 
 def listing(df: DataFrame, limit: int = 1000) -> DataFrame:

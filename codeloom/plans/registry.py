@@ -13,4 +13,6 @@ MODULES = [
     "codeloom.streaming.watch",
     "codeloom.sources.extract",
     "codeloom.operators.project",
+    "codeloom.operators.access",
+    "codeloom.sources.sinks",
 ]

@@ -7,12 +7,18 @@ snapshot and a job that dies halfway changes nothing. The revision is the pointe
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Keys of the index's tables, and the columns by which a removed file takes rows along.
-KEYS = {"symbols": ["id"], "refs": ["symbol_name", "referenced_in_file", "line", "column_num"], "imports": ["file_path", "imported_path", "imported_symbol"], "files": ["path"], "file_tags": ["file_path", "category", "tag"]}
+KEYS = {
+    "symbols": ["id"], "refs": ["symbol_name", "referenced_in_file", "line", "column_num"], "imports": ["file_path", "imported_path", "imported_symbol"], "files": ["path"], "file_tags": ["file_path", "category", "tag"],
+    "scopes": ["id"], "call_edges": ["caller_id", "symbol_name", "referenced_in_file", "line", "column_num"], "metrics": ["symbol_id"], "projects": ["manifest_path"], "dependencies": ["project_id", "name", "version"],
+    "doc_digests": ["file_path"], "config_digests": ["file_path"], "profiles": ["project_path"], "nodes": ["id"], "entry_points": ["file_path", "line"], "file_meta": ["file_path"], "tag_dictionary": ["canonical_name"],
+}
 FILE_COLUMN = {"symbols": "file_path", "refs": "referenced_in_file", "imports": "file_path", "files": "path", "file_tags": "file_path", "call_edges": "referenced_in_file"}
 
 
@@ -50,12 +56,17 @@ class SnapshotStore:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _pointer(self) -> dict:
-        p = f"{self.root}/current.json"
-        if not self._fs.exists(self._path(p)):
+        """The pointer of the highest number. Each commit writes one of its own, which appears whole by a rename, so there is
+        no moment without a pointer."""
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))] if self._fs.exists(self._path(self.root)) else []
+        numbers = [int(m[1]) for n in names if (m := re.fullmatch(r"current-(\d+)\.json", n))]
+        if not numbers:
             return {"schema": SCHEMA_VERSION, "revision": 0, "tables": {}}
-        found = json.loads(self.spark.read.text(p, wholetext=True).first()[0])
-        if found.get("schema") != SCHEMA_VERSION:
-            raise ValueError(f"the index has schema {found.get('schema')}, this engine reads {SCHEMA_VERSION}")
+        found = json.loads(self.spark.read.text(f"{self.root}/current-{max(numbers)}.json", wholetext=True).first()[0])
+        have = found.get("schema", 0)
+        if have != SCHEMA_VERSION:
+            what = "is newer than this engine's" if have > SCHEMA_VERSION else "must be migrated to"
+            raise ValueError(f"the index has schema {have}, which {what} {SCHEMA_VERSION}")
         return found
 
     @property
@@ -68,34 +79,41 @@ class SnapshotStore:
     def tables(self) -> dict[str, DataFrame]:
         return {n: self.spark.read.parquet(p) for n, p in self._pointer()["tables"].items()}
 
-    def commit(self, changed: dict[str, DataFrame]) -> int:
-        """Writes the changed tables as a new revision; the others are carried over without a copy."""
+    def commit(self, changed: dict[str, DataFrame], batch: str | None = None) -> int:
+        """Writes the changed tables as a new revision; the others are carried over without a copy.
+
+        batch: names what is written; a batch that was committed last is not committed again. Two writers that commit the
+        same revision at once: the second one's rename fails, and nothing of it is seen.
+        """
         now = self._pointer()
+        if batch is not None and now.get("batch") == batch:
+            return now["revision"]
         rev = now["revision"] + 1
+        attempt = uuid.uuid4().hex[:8]
         for name, df in changed.items():
-            out = f"{self.root}/r{rev}/{name}"
+            out = f"{self.root}/r{rev}-{attempt}/{name}"
             df.write.mode("overwrite").parquet(out)
             now["tables"][name] = out
-        now["revision"] = rev
-        tmp = self._path(f"{self.root}/.next-{rev}")
+        now["revision"], now["batch"] = rev, batch
+        tmp = self._path(f"{self.root}/.next-{rev}-{attempt}")
         stream = self._fs.create(tmp, True)
         stream.write(bytearray(json.dumps(now).encode()))
         stream.close()
-        target = self._path(f"{self.root}/current.json")
-        self._fs.delete(target, False)
-        if not self._fs.rename(tmp, target):
-            raise OSError(f"the pointer of {self.root} could not be moved")
+        target = self._path(f"{self.root}/current-{rev}.json")
+        if self._fs.exists(target) or not self._fs.rename(tmp, target):
+            self._fs.delete(tmp, False)
+            raise OSError(f"revision {rev} of {self.root} was written by another writer")
         return rev
 
     def clear(self) -> int:
         """An empty index as a new revision; every table keeps its columns."""
         return self.commit({n: t.limit(0) for n, t in self.tables().items()})
 
-    def merge(self, updates: dict[str, DataFrame], removed: DataFrame | None = None, order: str | None = None) -> int:
+    def merge(self, updates: dict[str, DataFrame], removed: DataFrame | None = None, order: str | None = None, batch: str | None = None) -> int:
         """Removes the files (column path), then upserts the updates; nothing to do leaves the revision as it is."""
         old = self.tables()
         changed = delete_files(old, removed) if removed is not None else {}
         for name, u in updates.items():
             base = changed.get(name, old.get(name))
             changed[name] = upsert(base, u, KEYS[name], order) if base is not None else upsert(u.limit(0), u, KEYS[name], order)
-        return self.commit(changed) if changed else self.revision
+        return self.commit(changed, batch) if changed else self.revision

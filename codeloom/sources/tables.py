@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -36,34 +37,50 @@ def clean_path(path: Column) -> Column:
     return F.regexp_replace(p, r"^(?:\./)+", "")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through files all executors share.
-
-    Where the session has spark.checkpoint.dir, that folder is used; only where it is unset (tests, local mode) one
-    is made here.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        base = sc.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"codeloom-{uuid.uuid4().hex}")
-        sc.setCheckpointDir(base)
-    return df.checkpoint(eager=True)
-
-
 def micros(ts: Column) -> Column:
     """Timestamp (with or without zone) as epoch microseconds."""
     return F.unix_micros(ts.cast("timestamp"))
 
 
+_written: list = []  # (hadoop file system, path) of what this process has written and may delete at its end
+
+
+def _delete_written() -> None:
+    for fs, path in _written:
+        try:
+            fs.delete(path, True)
+        except Exception:  # noqa: BLE001  the session may be gone; whoever owns the folder clears it
+            return
+
+
+atexit.register(_delete_written)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share, deleted when this process ends.
+
+    The folder is spark.checkpoint.dir. Only a local session without one (tests) gets a folder of its machine; on a cluster
+    intermediate tables would be lost there, so it is an error.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and (d := sc._jsc.sc().getCheckpointDir()).isDefined():
+        base = d.get()
+    if base is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "codeloom-checkpoints")
+    out = f"{base}/codeloom-{uuid.uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(out)
+    _written.append((path.getFileSystem(sc._jsc.hadoopConfiguration()), path))
+    return out
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes a table into the shared folder of spark.checkpoint.dir and reads it back: a compressed checkpoint.
+    """Writes a table into the shared folder and reads it back: a compressed checkpoint.
 
     The files outlive the loss of any executor; the plan behind them is cut off.
     """
-    sc = df.sparkSession.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if base is None:  # unset, as in tests
-        checkpoint_dir = sc._jsc.sc().getCheckpointDir()
-        base = checkpoint_dir.get() if checkpoint_dir.isDefined() else os.path.join(tempfile.gettempdir(), "codeloom-checkpoints")
-    out = f"{base}/codeloom-{uuid.uuid4().hex}"
+    out = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(out)
     return df.sparkSession.read.schema(df.schema).parquet(out)

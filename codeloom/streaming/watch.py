@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codeloom.sources.store import SnapshotStore
+from codeloom.sources.tables import scratch
 
 
 def events_stream(spark: SparkSession, path: str, max_files: int = 256) -> DataFrame:
@@ -54,9 +55,9 @@ def apply_changes(changes: DataFrame, store: SnapshotStore, extract, checkpoint:
     """Change events (path, deleted, body) become merges: changed files are removed and what `extract` finds in their
     bodies is put in. Of several events of a file in a batch the last counts."""
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         last = batch.groupBy("path").agg(F.max(F.struct("at", "deleted", "body")).alias("v")).select("path", "v.deleted", "v.body")
-        store.merge(extract(last.filter("not deleted and body is not null")), last.select("path"))
+        store.merge(extract(last.filter("not deleted and body is not null")), last.select("path"), batch=f"{checkpoint}#{number}")
 
     q = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (q.trigger(availableNow=True) if once else q).start()
@@ -88,15 +89,24 @@ class Progress(StreamingQueryListener):
         return {"rows": self.rows, "batches": self.batches, "percent": done, "eta_seconds": left, "failed": self.failed}
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over all that is there into a table in memory; for tests and small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over all that is there into Parquet files of the shared folder, and reads them: in complete mode those
+    of the last batch, else those of all. A batch that is run again overwrites its own files only."""
+    out = scratch(stream.sparkSession)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}-state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    d = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    if mode == "complete":
+        d = d.filter(F.col("batch") == d.agg(F.max("batch")).first()[0])
+    return d.drop("batch")
 
 
 def _debounce_stream(s: SparkSession, d: str) -> DataFrame:
-    return run_to_table(debounced(events_stream(s, f"{d}/events.parquet"), "user_id", "ts", "10 minutes"), "debounced_events", "complete")
+    return run_to_table(debounced(events_stream(s, f"{d}/events.parquet"), "user_id", "ts", "10 minutes"), "complete")
 
 
 QUERIES = {"stream_watch_debounce": _debounce_stream}

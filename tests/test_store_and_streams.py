@@ -26,8 +26,7 @@ def test_cascade_and_revisions(spark, tmp_path):
     assert delete_files({"other": sym}, gone)["other"].count() == 2
     assert SnapshotStore(spark, f"file://{tmp_path}/store").revision == 2 and s.merge({}) == 2
     assert s.clear() == 3 and s.read("symbols").count() == 0
-    (tmp_path / "store" / "current.json").write_text('{"schema": 99, "revision": 1, "tables": {}}')
-    (tmp_path / "store" / ".current.json.crc").unlink(missing_ok=True)
+    (tmp_path / "store" / "current-99.json").write_text('{"schema": 99, "revision": 1, "tables": {}}')
     with pytest.raises(ValueError, match="schema 99"):
         s.revision  # noqa: B018
 
@@ -54,10 +53,10 @@ def test_debounce_and_versions(spark, tmp_path):
     t = datetime(2025, 1, 1)
     e = spark.createDataFrame([(1, t, 1, 5), (1, t + timedelta(milliseconds=300), 2, 4), (1, t + timedelta(seconds=5), 3, 6), (2, t, 4, 1)], "user_id long, ts timestamp, event_id long, v long")
     e.coalesce(1).write.parquet(f"{tmp_path}/e")
-    got = run_to_table(debounced(events_stream(spark, f"{tmp_path}/e"), "user_id", "ts"), "t_debounced", "complete").collect()
+    got = run_to_table(debounced(events_stream(spark, f"{tmp_path}/e"), "user_id", "ts"), "complete").collect()
     assert sorted((r.user_id, r.events, r.last_event) for r in got) == [(1, 1, 3), (1, 2, 2), (2, 1, 4)]
     s = events_stream(spark, f"{tmp_path}/e").select(F.col("user_id").alias("doc"), F.col("v").alias("version"), F.col("event_id").alias("arrival"))
-    got = run_to_table(accepted(s, "doc", "version"), "t_accepted", "append").collect()
+    got = run_to_table(accepted(s, "doc", "version"), "append").collect()
     assert sorted((r.doc, r.version, r.accepted) for r in got) == [(1, 4, False), (1, 5, True), (1, 6, True), (2, 1, True)]
 
 
@@ -66,3 +65,33 @@ def test_progress_counts():
     event = type("E", (), {"progress": type("P", (), {"numInputRows": 4, "batchDuration": 2000})})
     p.onQueryProgress(event)
     assert p.state() == {"rows": 4, "batches": 1, "percent": 40.0, "eta_seconds": 3.0, "failed": 0}
+
+
+def test_commits_are_whole_and_a_batch_counts_once(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    d = spark.createDataFrame([("a", 1)], "id string, x int")
+    assert store.revision == 0 and store.commit({"symbols": d}, "b1") == 1
+    assert store.commit({"symbols": d.limit(0)}, "b1") == 1 and store.read("symbols").count() == 1
+    assert store.commit({"symbols": d.union(d)}, "b2") == 2
+    (tmp_path / "s" / ".next-3-x").write_text("{")  # a commit that died before its rename is not seen
+    assert store.revision == 2 and store.read("symbols").count() == 2
+    (tmp_path / "s" / "current-3.json").write_text('{"schema": 1, "revision": 3, "tables": {}}')
+    store._pointer = lambda: {"schema": 1, "revision": 2, "tables": {}}  # a writer that has not seen revision 3
+    with pytest.raises(OSError, match="another writer"):
+        store.commit({"symbols": d})
+
+
+def test_sinks(spark):
+    from codeloom.sources import sinks
+
+    old = {"symbols": spark.createDataFrame([("a",)], "id string"), "files": spark.createDataFrame([("p",)], "path string")}
+    new, v = sinks.migrate(old)
+    assert v == sinks.version_of(new) == 9 and sinks.version_of(old) == 0 and new["symbols"].first().source_type == "project"
+    assert sinks.version_of(sinks.migrate(old, 4)[0]) == 4 and sinks.migrate(new)[0]["symbols"].columns == new["symbols"].columns
+    with pytest.raises(ValueError, match="newer"):
+        sinks.migrate(old, 99)
+    edges = spark.createDataFrame([("x", "a", "f2", 1, 1, None), ("b", "x", "f2", 1, 1, "a"), ("b", "y", "f2", 2, 1, None)], "caller_id string, symbol_name string, referenced_in_file string, line int, column_num int, callee_id string")
+    t = {"symbols": spark.createDataFrame([("a", "f1"), ("b", "f2")], "id string, file_path string"), "refs": spark.createDataFrame([("a", "n", "f2"), (None, "n", "f1"), (None, "n", "f2")], "symbol_id string, symbol_name string, referenced_in_file string"), "call_edges": edges, "metrics": spark.createDataFrame([("a", 1), ("b", 2)], "symbol_id string, n int")}
+    left = {k: v.count() for k, v in sinks.cascade(t, spark.createDataFrame([("f1",), ("f1",)], "path string")).items()}
+    assert left == {"symbols": 1, "refs": 1, "call_edges": 2, "metrics": 1}
+    assert {k: v.count() for k, v in sinks.cascade(t, spark.createDataFrame([], "path string")).items()} == {k: v.count() for k, v in t.items()}
