@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.plans.index import SYM, symbols
-from codeloom.sources.tables import table
+from codeloom.sources.tables import materialise, table
 
 # Patterns of secrets, replaced one after the other. All are readable by RE2 and by Java.
 SECRETS = [
@@ -150,7 +150,12 @@ def go_receiver(signature: Column) -> Column:
 def dictionary_encode(df: DataFrame, column: str, order: str) -> DataFrame:
     """(value, code): dense codes from 0 in the order of first appearance; only distinct values are numbered."""
     first = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.min(order).alias("first"))
-    return first.withColumn("code", (F.row_number().over(Window.orderBy("first", "value")) - 1).cast("int")).select("value", "code")
+    # Ranges in order of appearance, numbered within and shifted by the sizes of those before: no task sees all values.
+    ranged = materialise(first.repartitionByRange("first", "value").withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))  # a row per partition
+    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy("range").orderBy("first", "value")) - 1
+    return ranged.withColumn("number", number).join(F.broadcast(before), "range").select("value", (F.col("number") + F.col("before")).cast("int").alias("code"))
 
 
 def dictionary_decode(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:

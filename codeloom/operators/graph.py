@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.plans.index import BSYM_CTE, EDGES_CTE, FUNCTION_KINDS, IMPORTS_CTE, REFS_CTE, SYM, TYPE_KINDS, bound_symbols, call_edges, imports, refs, symbols
+from codeloom.plans.index import BSYM_CTE, EDGES_CTE, FUNCTION_KINDS, IMPORTS_CTE, REFS_CTE, SYM, TYPE_KINDS, bound_symbols, call_edges, imports, inside, refs, symbols
 from codeloom.sources.tables import latest, materialise, table
 
 EDGE = ["caller_name", "symbol_name", "referenced_in_file", "line", "column_num"]
@@ -72,7 +72,7 @@ def implementations(r: DataFrame, df: DataFrame) -> DataFrame:
     t = df.filter(F.col("kind").isin("struct", "class", "enum")).select("id", F.col("name").alias("type_name"), F.col("file_path").alias("referenced_in_file"), "start_line", "end_line")
     traits = df.filter("kind = 'trait'").select(F.col("name").alias("symbol_name")).distinct()
     e = r.filter("reference_kind = 'extend'").join(traits, "symbol_name", "left_semi").select("symbol_name", "referenced_in_file", "line")
-    return e.join(t, "referenced_in_file").filter(F.col("line").between(F.col("start_line"), F.col("end_line"))).select(F.col("symbol_name").alias("trait_name"), "id", "type_name").distinct()
+    return inside(e.distinct(), t, "referenced_in_file").select(F.col("symbol_name").alias("trait_name"), "id", "type_name").distinct()
 
 
 def cross_language(df: DataFrame) -> DataFrame:

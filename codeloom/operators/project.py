@@ -14,7 +14,7 @@ from codeloom.functions import lang
 from codeloom.functions.text import SHELLS, code_blocks
 from codeloom.operators.graph import KOTLIN_TO_JAVA, NO_JAVA_TYPE
 from codeloom.operators.stats import directory, directory_rollup, language_share
-from codeloom.plans.index import BSYM_CTE, FUNCTION_KINDS, IMPORTS_CTE, REFS_CTE, SYM, TYPE_KINDS, bound_symbols, imports, refs, symbols
+from codeloom.plans.index import BSYM_CTE, BUCKET, FUNCTION_KINDS, IMPORTS_CTE, REFS_CTE, SYM, TYPE_KINDS, bound_symbols, covered, imports, inside, refs, symbols
 from codeloom.sources.extract import BUILTINS
 from codeloom.sources.tables import table
 
@@ -26,14 +26,6 @@ PRIMARY = {"cargo": "rust", "npm": "typescript", "maven": "java", "gradle": "kot
 IMPORTANT = ["README.md", "README", "CLAUDE.md", "AGENTS.md", "Cargo.toml", "package.json", "build.gradle.kts", "build.gradle", "pom.xml", "src/lib.rs", "src/main.rs", "src/index.ts", "tsconfig.json", ".env.example", "docker-compose.yml", "Dockerfile"]
 
 
-BUCKET = 64
-
-
-def covered(start: str, end: str) -> Column:
-    """The buckets of lines that a span covers, one row for each."""
-    return F.explode(F.sequence(F.floor(F.col(start) / BUCKET), F.floor(F.col(end) / BUCKET))).alias("bucket")
-
-
 def scopes(df: DataFrame) -> DataFrame:
     """(id, parent_scope, kind, name, file_path, start_line, end_line, width): symbols that open a scope, each with the
     least scope around it in its file. A range join in buckets of lines: a scope is compared only with those that cover
@@ -47,8 +39,7 @@ def scopes(df: DataFrame) -> DataFrame:
 
 def innermost(points: DataFrame, s: DataFrame) -> DataFrame:
     """The least scope around each (file_path, line)."""
-    o = s.select("id", "file_path", "start_line", "end_line", "width", covered("start_line", "end_line"))
-    j = points.withColumn("bucket", F.floor(F.col("line") / BUCKET)).join(o, ["file_path", "bucket"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    j = inside(points, s.select("id", "file_path", "start_line", "end_line", "width"), "file_path")
     return j.groupBy("file_path", "line").agg(F.min(F.struct("width", F.col("start_line") * -1, "id")).alias("b")).select("file_path", "line", F.col("b.id").alias("scope_id"))
 
 

@@ -6,11 +6,13 @@ that Spark and the oracle both read, so that every operator over them can be com
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import lang
-from codeloom.sources.tables import clean_path, latest, table
+from codeloom.sources.tables import clean_path, latest, materialise, table
 
 COLUMNS = ["id", "indexed_at", "name", "kind", "file_path", "start_line", "start_column", "end_line", "end_column", "language", "visibility", "signature", "doc_comment", "parent", "return_type", "source_type", "dependency_id"]
 # Kinds that are types, and kinds that are no definitions.
@@ -19,9 +21,32 @@ FUNCTION_KINDS = ["function", "method"]
 NO_DEFINITION = ["import", "variable"]
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], keys: list[str]) -> DataFrame:
+    """A table of the index, built when it is first asked for in a session and kept in the shared folder, in ranges of `keys`
+    and sorted by them, so that lookups by key read few row groups. It is built of files that don't change; `forget` drops
+    what is kept after they did."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = materialise(build().repartitionByRange(*keys).sortWithinPartitions(*keys))
+    return _STORED[key]
+
+
+def forget() -> None:
+    _STORED.clear()
+
+
 def symbols(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """Valid symbols with kind, language and path cleaned."""
     columns = columns or COLUMNS
+    if set(columns) <= set(COLUMNS):
+        return stored(spark, sf_dir, "symbols", lambda: _valid(spark, sf_dir, COLUMNS), ["name"]).select(*columns)
+    return _valid(spark, sf_dir, columns)
+
+
+def _valid(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
     need = list(dict.fromkeys(["id", "indexed_at", *columns, *(["file_path"] if "language" in columns else [])]))
     v = latest(table(spark, sf_dir, "symbols"), "id", "indexed_at", need)
     if "kind" in columns:
@@ -82,12 +107,35 @@ def bound_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(REFS, lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"), bsym=bound_symbols(spark, sf_dir))
+    return stored(spark, sf_dir, "refs", lambda: spark.sql(REFS, lineitem=table(spark, sf_dir, "lineitem"), part=table(spark, sf_dir, "part"), bsym=bound_symbols(spark, sf_dir)), ["symbol_name"])
+
+
+BUCKET = 64
+
+
+def covered(start: str, end: str) -> Column:
+    """The buckets of lines that a span covers, one row for each."""
+    return F.explode(F.sequence(F.floor(F.col(start) / BUCKET), F.floor(F.col(end) / BUCKET))).alias("bucket")
+
+
+def inside(points: DataFrame, spans: DataFrame, file: str) -> DataFrame:
+    """Points (file, line, ...) joined with every span (file, start_line, end_line, ...) around them: a range join in buckets
+    of lines, in which a point meets only the spans that cover its bucket, however many its file has."""
+    s = spans.filter("end_line >= start_line").select("*", covered("start_line", "end_line"))
+    return points.withColumn("bucket", F.floor(F.col("line") / BUCKET)).join(s, [file, "bucket"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line"))).drop("bucket")
+
+
+def edges_of(r: DataFrame, functions: DataFrame) -> DataFrame:
+    """Each call with the innermost function around it: least span, then the later start, then the id."""
+    calls = r.filter("reference_kind = 'call'").select("symbol_name", "referenced_in_file", "line", "column_num")
+    f = functions.filter(F.col("kind").isin(FUNCTION_KINDS)).select("id", "name", F.col("file_path").alias("referenced_in_file"), "start_line", "end_line")
+    keys = ["symbol_name", "referenced_in_file", "line", "column_num"]
+    best = inside(calls, f, "referenced_in_file").groupBy(*keys).agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("w"), (-F.col("start_line")).alias("s"), "id", "name")).alias("b"))
+    return best.select(F.col("b.id").alias("caller_id"), F.col("b.name").alias("caller_name"), *keys)
 
 
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each call with the innermost function around it: an equi join on the file, then the least span."""
-    return spark.sql(CALL_EDGES, refs=refs(spark, sf_dir), bsym=bound_symbols(spark, sf_dir))
+    return stored(spark, sf_dir, "call_edges", lambda: edges_of(refs(spark, sf_dir), bound_symbols(spark, sf_dir)), ["symbol_name"])
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,7 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}-state").outputMode(mode).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", scratch(stream.sparkSession)).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     d = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).parquet(out)
     if mode == "complete":
