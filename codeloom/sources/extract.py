@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import lang
+from codeloom.sources.signatures import with_parts
 from codeloom.sources.tables import latest, table
 
-ROW = "path string, language string, what string, name string, kind string, start_line int, end_line int, visibility string, signature string, parent string"
+ROW = "path string, language string, what string, name string, kind string, start_line int, end_line int, visibility string, signature string, parent string, doc_comment string"
 _NAMES = [x.split()[0] for x in ROW.split(", ")]
 # Built-in types, never references.
 BUILTINS = {
@@ -48,6 +49,8 @@ RULES: dict[str, list[tuple[str, str]]] = {
     "yaml": [("field", r"(?m)^([\w.-]+)\s*:")],
     "toml": [("module", r"(?m)^\[+([\w.-]+)\]+"), ("field", r"(?m)^([\w-]+)\s*=")],
 }
+# Words that open and close blocks, where no braces do.
+WORD_BLOCKS = {"lua": r"\b(?:(?P<open>function|if|do|repeat)|(?P<close>end|until))\b"}
 IMPORTS = {
     "rust": r"\buse\s+([\w:]+(?:::\{[^}]*\}|::\*)?)", "java": r"\bimport\s+(?:static\s+)?([\w.*]+);", "kotlin": r"(?m)^import\s+([\w.*]+)", "typescript": r"\bimport\b[^;\n]*?from\s*[\"']([^\"']+)[\"']", "go": r"\bimport\s+(?:\w+\s+)?\"([^\"]+)\"",
     "cpp": r"(?m)^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]", "csharp": r"(?m)^using\s+([\w.]+);", "lua": r"\brequire\s*\(?\s*[\"']([^\"']+)[\"']", "swift": r"(?m)^import\s+(\w+)", "bash": r"(?m)^\s*(?:source|\.)\s+(\S+)", "haskell": r"(?m)^import\s+(?:qualified\s+)?([\w.]+)", "elixir": r"(?m)^\s*(?:import|alias|use)\s+([\w.]+)",
@@ -75,6 +78,53 @@ def visibility(language: str, line: str, name: str) -> str | None:
     return "public" if language == "kotlin" or head.startswith("export") else None
 
 
+def _header(lines: list[str], node: ast.AST) -> str:
+    """The whole header of a Python definition, on however many lines, in one line and without its colon."""
+    first = node.body[0]
+    stop = min(first.lineno, *[d.lineno for d in getattr(first, "decorator_list", [])] or [first.lineno])
+    text = lines[node.lineno - 1 : stop - 1] if stop > node.lineno else [lines[node.lineno - 1].encode()[: first.col_offset].decode("utf-8", "ignore")]
+    text = [re.sub(r"\s#.*$", "", x) for x in text]
+    return re.sub(r"\s+", " ", " ".join(text)).strip().rstrip(":").strip()
+
+
+def _documentation(lines: list[str], at: int) -> str | None:
+    """The documenting comment right above a line: '///' or '//!' lines, or a block from '/**'; attributes may lie between."""
+    i = at - 2
+    while i >= 0 and lines[i].strip().startswith(("@", "#[", "[")):
+        i -= 1
+    if i < 0:
+        return None
+    end = i
+    if lines[i].strip().startswith(("///", "//!")):
+        while i > 0 and lines[i - 1].strip().startswith(("///", "//!")):
+            i -= 1
+    elif lines[i].strip().endswith("*/"):
+        while i >= 0 and "/*" not in lines[i]:
+            i -= 1
+        if i < 0 or not lines[i].strip().startswith("/**"):
+            return None
+    else:
+        return None
+    return "\n".join(x.strip() for x in lines[i : end + 1])
+
+
+def _header_end(code: str, at: int) -> int:
+    """Where a header ends that has its name before `at`: at the block, the semicolon, or the line end outside of brackets
+    unless the next line goes on with it."""
+    depth = 0
+    for i in range(at, len(code)):
+        c = code[i]
+        if c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif depth <= 0 and (c in "{;" or (c == "=" and code[i + 1 : i + 2] not in ("=", ">"))):
+            return i
+        elif c == "\n" and depth <= 0 and not re.search(r"(?:,|\bwhere)[ \t]*$", code[max(0, i - 40) : i]) and not re.match(r"\s*(?:[{:]|->|where\b|throws\b|const\b|noexcept\b|override\b)", code[i:]):
+            return i
+    return len(code)
+
+
 def _python(body: str) -> Iterator[tuple]:
     try:
         tree = ast.parse(body)
@@ -87,11 +137,10 @@ def _python(body: str) -> Iterator[tuple]:
         for child in ast.iter_child_nodes(node):
             inside, owner = False, parent
             if isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
-                head = lines[child.lineno - 1].strip().rstrip(":") if child.lineno <= len(lines) else child.name
-                yield "symbol", child.name, "method" if in_class else "function", child.lineno, child.end_lineno, visibility("python", "", child.name), head, parent
+                yield "symbol", child.name, "method" if in_class else "function", child.lineno, child.end_lineno, visibility("python", "", child.name), _header(lines, child), parent, ast.get_docstring(child, clean=False)
                 owner = child.name
             elif isinstance(child, ast.ClassDef):
-                yield "symbol", child.name, "class", child.lineno, child.end_lineno, visibility("python", "", child.name), lines[child.lineno - 1].strip().rstrip(":"), parent
+                yield "symbol", child.name, "class", child.lineno, child.end_lineno, visibility("python", "", child.name), _header(lines, child), parent, ast.get_docstring(child, clean=False)
                 for b in child.bases:
                     if (n := getattr(b, "id", getattr(b, "attr", None))) is not None:
                         yield "reference", n, "extend", b.lineno, b.lineno, None, None, child.name
@@ -122,18 +171,36 @@ def _rules(body: str, language: str) -> Iterator[tuple]:
             opened.append(m.start())
         elif opened:
             ends[opened.pop()] = m.start()
+    if language in WORD_BLOCKS:  # blocks between words
+        opened = []
+        for m in re.finditer(WORD_BLOCKS[language], code):
+            if m.lastgroup == "open":
+                opened.append(m.start())
+            elif opened:
+                ends[opened.pop()] = m.start()
     spans: list[tuple[int, int, str, str]] = []
+    found: list[tuple] = []
+    lines = body.split("\n")
     source = body if language == "hcl" else code
     for kind, pattern in RULES[language]:
         for m in re.finditer(pattern, source):
             end_of_line = code.find("\n", m.start(1))
             brace = code.find("{", m.start(1))
             stop = min((x for x in (code.find(";", m.start(1)),) if x >= 0), default=len(code))
+            if language in WORD_BLOCKS and kind == "function":
+                brace, stop = m.start(), len(code) + 1
             block = brace if kind not in ("variable", "constant", "type_alias", "field") and 0 <= brace < stop else None
             a, b = line(m.start(1)), line(ends.get(block, end_of_line if end_of_line >= 0 else len(code))) if block is not None else line(m.start(1))
             text = body[starts[a - 1] : starts[a] if a < len(starts) else len(body)]
+            head = body[starts[a - 1] : _header_end(code, m.end(1))] if kind in ("function", "method") else text.split("{")[0]
             spans.append((a, b, m[1], kind))
-            yield "symbol", re.split(r"[.:]+", m[1])[-1] if language == "lua" else m[1], kind, a, b, visibility(language, text, m[1]), re.sub(r"\s+", " ", text.split("{")[0]).strip()[:500] or None, None
+            found.append(("symbol", re.split(r"[.:]+", m[1])[-1] if language == "lua" else m[1], kind, a, b, visibility(language, text, m[1]), re.sub(r"\s+", " ", head).strip() or None, None, _documentation(lines, a)))
+    # A function inside a type, or a block that implements one, is a method.
+    blocks = [(a, b) for a, b, _, k in spans if k in ("class", "struct", "trait", "interface", "enum") and b > a] + [(line(m.start()), line(ends[m.end() - 1])) for m in re.finditer(r"(?m)^[ \t]*(?:unsafe[ \t]+)?impl\b[^{};]*\{", code) if language == "rust" and m.end() - 1 in ends]
+    found = [(*x[:2], "method", *x[3:]) if x[2] == "function" and any(a < x[3] <= b or a <= x[3] < b for a, b in blocks) else x for x in found]
+    # A type of the same name and span goes before its alias.
+    concrete = {x[1:2] + x[3:5] for x in found if x[2] != "type_alias"}
+    yield from (x for x in found if x[2] != "type_alias" or x[1:2] + x[3:5] not in concrete)
     owners = sorted(((b - a, a, b, n) for a, b, n, k in spans if k in ("function", "method", "class", "struct", "trait", "interface")))
     inside = lambda at: next((n for _, a, b, n in owners if a <= at <= b), None)
     if language in IMPORTS:
@@ -151,7 +218,7 @@ def _rules(body: str, language: str) -> Iterator[tuple]:
 
 
 def extract(body: str, language: str | None) -> list[tuple]:
-    """(what, name, kind, start, end, visibility, signature, parent) of a text; nothing for an unknown language."""
+    """(what, name, kind, start, end, visibility, signature, parent, and for symbols doc_comment) of a text; nothing for an unknown language."""
     text = re.sub(r"\r\n?", "\n", body.lstrip("﻿"))
     if language == "python":
         return list(_python(text))
@@ -163,7 +230,7 @@ def extract_all(sources: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, lg, *r) for p, t, lg in zip(*(b.column(c).to_pylist() for c in ("path", "body", "language")), strict=True) for r in extract(t, lg)]
+            rows = [(p, lg, *r, *[None] * (len(_NAMES) - 2 - len(r))) for p, t, lg in zip(*(b.column(c).to_pylist() for c in ("path", "body", "language")), strict=True) for r in extract(t, lg)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_NAMES)
             types = [pa.int32() if n.endswith("_line") else pa.string() for n in _NAMES]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=_NAMES)
@@ -264,7 +331,28 @@ def _projects(s, d):
     return dep.groupBy("project_id").agg(line(False).alias("a"), line(True).alias("b")).select(F.concat(F.lit("p"), "project_id", F.lit("/package.json")).alias("path"), F.concat(F.lit('{"name": "p'), "project_id", F.lit('", "dependencies": '), "a", F.lit(', "devDependencies": '), "b", F.lit("}")).alias("body"))
 
 
+def with_signatures(rows: DataFrame) -> DataFrame:
+    """Extracted functions and methods with the parts of their headers."""
+    f = rows.filter("what = 'symbol' and kind in ('function', 'method')").withColumn("key", F.concat_ws("\1", "path", "start_line", "name"))
+    return f.join(with_parts(f, "key").dropDuplicates(["key"]), "key", "left").drop("key", "what")
+
+
+def agreement(s, d) -> DataFrame:
+    """(language, symbols, found, same_kind, same_span, same_params, same_return): the valid symbols of the index that are
+    functions or methods of a text, and how the functions extracted from that text agree with them, by path, name and line."""
+    from codeloom.plans.index import symbols
+
+    mine = with_signatures(_all(s, d)).groupBy("path", "name", "start_line").agg(F.max("kind").alias("k"), F.max("end_line").alias("e"), F.max(F.transform("params", lambda x: x["name"])).alias("p"), F.max("return_type").alias("r"))
+    v = symbols(s, d, ["id", "file_path", "name", "kind", "language", "start_line", "end_line", "return_type"]).filter("kind in ('function', 'method')").withColumnRenamed("file_path", "path")
+    v = v.join(latest(table(s, d, "symbols"), "id", "indexed_at", ["id", "indexed_at", "params"]).select("id", F.transform("params", lambda x: x["name"]).alias("want")), "id")
+    j = v.join(table(s, d, "sources").filter("body <> ''").select("path").distinct(), "path", "left_semi").join(mine, ["path", "name", "start_line"], "left")
+    n = lambda c, name: F.count_if(c).alias(name)
+    return j.groupBy("language").agg(F.count("*").alias("symbols"), n(F.col("k").isNotNull(), "found"), n(F.col("k") == F.col("kind"), "same_kind"), n(F.col("e") == F.col("end_line"), "same_span"), n(F.col("p") == F.col("want"), "same_params"), n(F.col("r").eqNullSafe(F.col("return_type")) & F.col("k").isNotNull(), "same_return"))
+
+
 QUERIES = {
+    "extract_signatures": lambda s, d: with_signatures(_all(s, d)).select("path", "name", "kind", "start_line", "signature", F.array_join(F.transform("params", lambda x: F.concat_ws(":", x["name"], x["type_annotation"])), ", ").alias("params"), "return_type", F.size("generic_params").alias("generics")),
+    "extract_agreement": agreement,
     "extract_symbols": lambda s, d: _all(s, d).filter("what = 'symbol'").drop("what"),
     "extract_references": lambda s, d: _all(s, d).filter("what = 'reference'").select("path", "name", "kind", F.col("start_line").alias("line"), "parent"),
     "extract_imports": lambda s, d: _all(s, d).filter("what = 'import'").select("path", "name", "kind", F.col("start_line").alias("line")),
