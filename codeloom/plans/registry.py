@@ -14,5 +14,6 @@ MODULES = [
     "codeloom.sources.extract",
     "codeloom.operators.project",
     "codeloom.operators.access",
+    "codeloom.operators.context",
     "codeloom.sources.sinks",
 ]

@@ -128,7 +128,7 @@ PY = "import os\nfrom a import b\nclass Repo(Base):\n    def find(self, i):\n
 def test_extraction(spark):
     r = extract(RUST, "rust")
     got = {(x[0], x[1], x[2]) for x in r}
-    assert {("symbol", "Repo", "struct"), ("symbol", "find", "function"), ("symbol", "helper", "function"), ("reference", "helper", "call"), ("import", "std::io", "module")} <= got
+    assert {("symbol", "Repo", "struct"), ("symbol", "find", "method"), ("symbol", "helper", "function"), ("reference", "helper", "call"), ("import", "std::io", "module")} <= got
     assert ("reference", "call", "call") not in got and next(x for x in r if x[1] == "find")[3:5] == (4, 7)
     p = {(x[0], x[1], x[2], x[7]) for x in extract(PY, "python")}
     assert {("symbol", "find", "method", "Repo"), ("symbol", "_hidden", "function", None), ("symbol", "LIMIT", "constant", None), ("reference", "Base", "extend", "Repo"), ("reference", "helper", "call", "find"), ("import", "a.b", "symbol", None)} <= p
