@@ -16,4 +16,5 @@ MODULES = [
     "codeloom.operators.access",
     "codeloom.operators.context",
     "codeloom.sources.sinks",
+    "codeloom.sources.workspaces",
 ]
