@@ -1,8 +1,8 @@
 """Call graphs, callers and callees, confidence, implementations, cross-language links, PageRank and project trees.
 
 Edges come from one range join (an equi join on the file, then the innermost function around the line). Traversals are
-frontier loops over DataFrames: a level joins the frontier's names with the edges and drops what was seen; each level
-is cut off from its lineage by a checkpoint, so the plan doesn't grow with the depth.
+frontier loops over DataFrames: a level joins the frontier's names with the edges and drops what was seen; each frontier
+is written and read back, so the plan doesn't grow with the depth. Every level reads the edges: they should be a stored table.
 """
 
 from __future__ import annotations
@@ -23,12 +23,11 @@ LAYERS = ["api", "rest", "graphql", "grpc", "handlers", "controllers", "routes",
 
 def callers(edges: DataFrame, name: str, depth: int = 1) -> DataFrame:
     """Calls that reach `name` through at most `depth` calls, with the level at which each was first reached."""
-    edges = materialise(edges) if depth > 1 else edges  # every level reads them
     frontier = edges.sparkSession.createDataFrame([(name,)], "symbol_name string")
     seen = frontier.select(F.col("symbol_name").alias("name"))
     out = None
     for level in range(1, max(1, depth) + 1):
-        hits = materialise(edges.join(frontier, "symbol_name", "left_semi").withColumn("depth", F.lit(level)))
+        hits = edges.join(F.broadcast(frontier) if level == 1 else frontier, "symbol_name", "left_semi").withColumn("depth", F.lit(level))
         out = hits if out is None else out.unionByName(hits)
         if level < depth:
             frontier = materialise(hits.select(F.col("caller_name").alias("symbol_name")).distinct().join(seen.withColumnRenamed("name", "symbol_name"), "symbol_name", "left_anti"))

@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators.graph import git_recency
 from codeloom.operators.lookup import OUT
 from codeloom.operators.stats import directory
 from codeloom.operators.tags import files_with_tags, with_all_tags
-from codeloom.plans.index import BSYM_CTE, EDGES_CTE, FUNCTION_KINDS, SYM, TAGS_CTE, TYPE_KINDS, bound_symbols, call_edges, file_tags, symbols
+from codeloom.plans.index import BSYM_CTE, EDGES_CTE, FUNCTION_KINDS, SYM, TAGS_CTE, TYPE_KINDS, bound_symbols, call_edges, file_tags, stored, symbols
 from codeloom.sources.tables import table
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -61,14 +62,34 @@ def query_tokens(query: str) -> list[str]:
 
 def bm25(df: DataFrame, key: str, columns: list[str], query: str, limit: int = 100) -> DataFrame:
     """(key, score): all tokens must occur, the last as a prefix; blank queries find nothing."""
+    return bm25_indexed(*token_table(df, key, columns), key, query, limit)
+
+
+def token_index(spark, sf_dir: str, name: str, build, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The token table of a search corpus and its lengths, stored: sorted by token, so a query reads its tokens' row groups."""
+    pair: list = []
+
+    def both(i: int) -> DataFrame:
+        if not pair:
+            pair.extend(token_table(build(), key, columns))
+        return pair[i]
+
+    return stored(spark, sf_dir, f"tokens of {name}", lambda: both(0), ["token"]), stored(spark, sf_dir, f"lengths of {name}", lambda: both(1), [key])
+
+
+def bm25_indexed(tf: DataFrame, length: DataFrame, key: str, query: str, limit: int = 100) -> DataFrame:
+    """The same over a token table (key, token, tf) and the lengths (key, length). Filters on the token come first: equality
+    and a prefix, both readable from Parquet's statistics."""
     q = query_tokens(query)
-    tf, length = token_table(df, key, columns)
     if not q:
         return length.select(key, F.lit(0.0).alias("score")).limit(0)
     phrase = F.when(F.col("token").startswith(q[-1]), len(q) - 1)
     for i, t in enumerate(q[:-1]):
         phrase = F.when(F.col("token") == t, i).otherwise(phrase)
-    hit = tf.withColumn("phrase", phrase).filter("phrase is not null").groupBy(key, "phrase").agg(F.sum("tf").alias("tf"))
+    asked = F.col("token").startswith(q[-1])
+    for t in q[:-1]:
+        asked = asked | (F.col("token") == t)
+    hit = tf.filter(asked).withColumn("phrase", phrase).groupBy(key, "phrase").agg(F.sum("tf").alias("tf"))
     n = hit.groupBy("phrase").agg(F.count("*").alias("n"))  # a row per token of the query
     stats = length.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     idf = F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(IDF_FLOOR))
@@ -139,11 +160,13 @@ def weighted(df: DataFrame, score: Column, file: str | None = None, pagerank: Co
     return F.round(WEIGHTS["name"] * clamp(score) + WEIGHTS["visibility"] * v + WEIGHTS["pagerank"] * clamp(F.lit(0.0) if pagerank is None else pagerank) + WEIGHTS["recency"] * clamp(F.lit(0.0) if recency is None else recency) + WEIGHTS["locality"] * near, 6)
 
 
-def advanced(df: DataFrame, query: str, limit: int = 20, file: str | None = None) -> DataFrame:
-    """Three times as many text hits as wanted, ranked again by weight."""
-    hits = bm25(df, "id", ["name", "signature", "doc_comment"], query, 3 * limit)
+def advanced(df: DataFrame, query: str, limit: int = 20, file: str | None = None, index: tuple[DataFrame, DataFrame] | None = None, metrics: DataFrame | None = None) -> DataFrame:
+    """Three times as many text hits as wanted, ranked again by weight; `metrics` is (id, pagerank, recency), 0 if missing."""
+    tf, length = index or token_table(df, "id", ["name", "signature", "doc_comment"])
+    hits = bm25_indexed(tf, length, "id", query, 3 * limit)  # 3 * limit rows
     d = df.join(F.broadcast(hits), "id")
-    return d.withColumn("rank_score", weighted(d, F.col("score") / 10, file)).orderBy(F.desc("rank_score"), "id").limit(limit)
+    d = d.join(metrics, "id", "left") if metrics is not None else d.withColumns({"pagerank": F.lit(0.0), "recency": F.lit(0.0)})
+    return d.withColumn("rank_score", weighted(d, F.col("score") / 10, file, F.col("pagerank"), F.col("recency"))).orderBy(F.desc("rank_score"), "id").limit(limit)
 
 
 KEYS = ["kind", "file_path", "start_line", "id"]
@@ -240,6 +263,20 @@ def _s(s, d, *extra):
     return symbols(s, d, list(dict.fromkeys([*OUT, *extra])))
 
 
+def _tokens(s, d):
+    return token_index(s, d, "symbols", lambda: _s(s, d, "signature", "doc_comment"), "id", ["name", "signature", "doc_comment"])
+
+
+def _metrics(s, d):
+    """Ranks by how many symbols a parent holds, and the recency of each symbol's file."""
+    x = symbols(s, d, ["id", "parent", "file_path"])
+    held = x.groupBy(F.col("parent").alias("id")).agg((F.count("*") / 10.0).alias("pagerank"))
+    return x.join(held, "id", "left").join(git_recency(table(s, d, "files")).withColumnRenamed("path", "file_path"), "file_path", "left").select("id", "pagerank", "recency")
+
+
+NEAR = "fjord-node/manifestkit-8/app/services/graph_tag.java"
+
+
 def _scored(s, d):
     return bound_symbols(s, d).filter(F.lower("name").contains("ring")).withColumn("score", contains_score("small_ring"))
 
@@ -300,11 +337,13 @@ def _planted(s, d):
 
 
 QUERIES = {
-    "fts_bm25": lambda s, d: bm25(_s(s, d, "signature", "doc_comment"), "id", ["name", "signature", "doc_comment"], "lock snap"),
-    "fts_prefix": lambda s, d: bm25(table(s, d, "documents"), "doc_id", ["text"], "depth*", 50),
+    "fts_bm25": lambda s, d: bm25_indexed(*_tokens(s, d), "id", "lock snap"),
+    "fts_prefix": lambda s, d: bm25_indexed(*token_index(s, d, "documents", lambda: table(s, d, "documents"), "doc_id", ["text"]), "doc_id", "depth*", 50),
+    "fts_blank": lambda s, d: bm25_indexed(*_tokens(s, d), "id", " \"*' "),
     "search_prefix_short": lambda s, d: prefix_search(_s(s, d), "em%i").select(*OUT, "score"),
     "search_fuzzy": lambda s, d: fuzzy(bound_symbols(s, d), "smal_rng", 0.85).select("id", "name", "score"),
-    "search_advanced_rank": lambda s, d: advanced(_s(s, d, "signature", "doc_comment", "visibility"), "cursor").select("id", "name", "rank_score"),
+    "search_advanced_rank": lambda s, d: advanced(_s(s, d, "visibility"), "cursor", index=_tokens(s, d)).select("id", "name", "rank_score"),
+    "search_advanced_metrics": lambda s, d: advanced(_s(s, d, "visibility"), "cursor", file=NEAR, index=_tokens(s, d), metrics=_metrics(s, d)).select("id", "name", "rank_score"),
     "page_keyset_1": lambda s, d: keyset_page(_scored(s, d), 20).select("id", "score", *KEYS[:3]),
     "page_keyset_2": lambda s, d: keyset_page(_scored(s, d), 20, _AFTER).select("id", "score", *KEYS[:3]),
     "page_offset": lambda s, d: offset_page(_scored(s, d), 15, 20).select("id", "score", *KEYS[:3]),
@@ -325,6 +364,8 @@ ORACLES = {
     "search_prefix_short": _W + f"SELECT {_O}, CASE WHEN lower(name) = 'emi' THEN 1.0 ELSE 0.8 END::DOUBLE AS score FROM sym WHERE name ILIKE 'emi%' ORDER BY name, id LIMIT 20",
     "search_fuzzy": f"WITH {BSYM_CTE} SELECT id, name, round(jaro_winkler_similarity(lower(name), 'smal_rng'), 6) AS score FROM bsym WHERE (lower(name) LIKE 'sma%' OR lower(name) LIKE '_ma%' OR contains(lower(name), 'smal')) AND round(jaro_winkler_similarity(lower(name), 'smal_rng'), 6) >= 0.85 ORDER BY score DESC, name, id LIMIT 20",
     "search_advanced_rank": _bm25_sql(_W, "id", "sym", ["name", "signature", "doc_comment"], "cursor", 60) + f"SELECT id, name, round(0.4::DOUBLE * least(greatest(score / 10, 0), 1) + 0.2::DOUBLE * {_VIS}, 6) AS rank_score FROM best JOIN sym USING (id) ORDER BY rank_score DESC, id LIMIT 20",
+    "fts_blank": "SELECT ''::VARCHAR AS id, 0.0::DOUBLE AS score WHERE FALSE",
+    "search_advanced_metrics": _bm25_sql(_W, "id", "sym", ["name", "signature", "doc_comment"], "cursor", 60) + f", h AS (SELECT parent AS id, count(*) / 10.0::DOUBLE AS pr FROM sym WHERE parent IS NOT NULL GROUP BY 1), fl AS (SELECT path, max(last_modified) AS t FROM files WHERE path IS NOT NULL GROUP BY 1), rc AS (SELECT path, round(power(0.5::DOUBLE, ((SELECT max(t) FROM fl) - t) / 7776000.0::DOUBLE), 6) AS rec FROM fl) SELECT id, name, round(0.4::DOUBLE * least(greatest(score / 10, 0), 1) + 0.2::DOUBLE * {_VIS} + 0.2::DOUBLE * least(coalesce(pr, 0), 1) + 0.1::DOUBLE * least(greatest(coalesce(rec, 0), 0), 1) + 0.1::DOUBLE * CASE WHEN file_path = '{NEAR}' THEN 1.0 WHEN regexp_extract(file_path, '^(.*)/[^/]*$', 1) = 'fjord-node/manifestkit-8/app/services' THEN 0.5 ELSE 0.0 END, 6) AS rank_score FROM best JOIN sym USING (id) LEFT JOIN h USING (id) LEFT JOIN rc ON rc.path = sym.file_path ORDER BY rank_score DESC, id LIMIT 20",
     "page_keyset_1": f"WITH {_RING} SELECT id, score, kind, file_path, start_line FROM sc ORDER BY score DESC, kind, file_path, start_line, id LIMIT 20",
     "page_keyset_2": f"WITH {_RING} SELECT id, score, kind, file_path, start_line FROM sc WHERE score < 0.9 OR (score = 0.9 AND (kind, file_path, start_line, id) > ('enum', 'src/brand_22/m1.rs', 1, '')) ORDER BY score DESC, kind, file_path, start_line, id LIMIT 20",
     "page_offset": f"WITH {_RING} SELECT id, score, kind, file_path, start_line FROM sc ORDER BY score DESC, kind, file_path, start_line, id LIMIT 20 OFFSET 15",
