@@ -148,6 +148,8 @@ def _sig(s, d):
     return symbols(s, d, ["id", "name", "kind", "language", "signature"])
 
 
+_EXT = """SELECT concat('k', cast(p_partkey AS varchar(20))) AS id, concat('f', cast(p_partkey AS varchar(20))) AS name, CASE p_partkey % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'method' ELSE 'class' END AS kind, 'kotlin' AS language,
+ concat(CASE p_partkey % 5 WHEN 0 THEN 'fun String.' WHEN 1 THEN 'inline fun <T> List.' WHEN 2 THEN 'fun ' WHEN 3 THEN 'fun lower.' ELSE 'val x.' END, 'f', cast(p_partkey AS varchar(20)), '(a: Int): T') AS signature FROM {part}"""
 _E, _R, _B = f"WITH {EDGES_CTE} ", f"WITH {REFS_CTE} ", f"WITH {BSYM_CTE} "
 _NODES = "n AS (SELECT id, parent_id, name, path FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST) AS rn FROM project_nodes WHERE id IS NOT NULL) WHERE rn = 1)"
 _T = "('" + "','".join(TYPE_KINDS) + "')"
@@ -175,6 +177,7 @@ QUERIES = {
     "implementations": lambda s, d: implementations(refs(s, d), bound_symbols(s, d)),
     "cross_language_refs": lambda s, d: cross_language(symbols(s, d, ["id", "name", "kind", "language"])),
     "kotlin_extensions": lambda s, d: kotlin_extensions(_sig(s, d)).select("id", "name", "receiver"),
+    "kotlin_extensions_planted": lambda s, d: kotlin_extensions(s.sql(_EXT, part=table(s, d, "part"))).select("id", "name", "receiver"),
     "signature_mentions": lambda s, d: mentions(_sig(s, d), "label").select("id", "name"),
     "in_out_degree": lambda s, d: degrees(call_edges(s, d)),
     "pagerank_3": lambda s, d: pagerank(call_edges(s, d), 3).select("name", F.round("rank", 6).alias("rank")),
@@ -196,6 +199,7 @@ ORACLES = {
     "implementations": _R + "SELECT DISTINCT r.symbol_name AS trait_name, t.id, t.name AS type_name FROM refs r JOIN bsym t ON t.file_path = r.referenced_in_file AND t.kind IN ('struct','class','enum') AND r.line BETWEEN t.start_line AND t.end_line WHERE r.reference_kind = 'extend' AND r.symbol_name IN (SELECT name FROM bsym WHERE kind = 'trait')",
     "cross_language_refs": f"WITH {SYM} SELECT DISTINCT a.name, a.id AS java_id, b.id AS kotlin_id FROM sym a JOIN sym b ON a.name = b.name AND a.language = 'java' AND b.language = 'kotlin' WHERE a.kind IN {_T} AND b.kind IN {_T}",
     "kotlin_extensions": f"WITH {SYM} SELECT id, name, receiver FROM (SELECT *, regexp_extract(signature, '\\bfun\\s+(?:<[^>]*>\\s*)?([A-Z]\\w*)\\.\\w+\\s*\\(', 1) AS receiver FROM sym WHERE language = 'kotlin' AND kind IN ('function','method')) WHERE receiver <> ''",
+    "kotlin_extensions_planted": "SELECT id, name, CASE n WHEN 0 THEN 'String' WHEN 1 THEN 'List' END AS receiver FROM (SELECT concat('k', p_partkey) AS id, concat('f', p_partkey) AS name, p_partkey % 5 AS n FROM part WHERE p_partkey % 3 < 2) WHERE n < 2",
     "signature_mentions": f"WITH {SYM} SELECT id, name FROM sym WHERE contains(signature, 'label') AND kind IN ('function','method')",
     "in_out_degree": _E + "SELECT coalesce(o.n, i.n) AS name, coalesce(i.c, 0) AS incoming, coalesce(o.c, 0) AS outgoing FROM (SELECT caller_name AS n, count(*) AS c FROM call_edges GROUP BY 1) o FULL JOIN (SELECT symbol_name AS n, count(*) AS c FROM call_edges GROUP BY 1) i ON i.n = o.n",
     "pagerank_3": _E + _RANK + " SELECT name, round(rank, 6) AS rank FROM r3",

@@ -79,12 +79,12 @@ def status_name(letter: Column) -> Column:
     return out
 
 
-T1, T2 = "2025-12-01 00:00:00", "2026-05-01 00:00:00"
+T0, T1, T2 = "2025-06-01 00:00:00", "2025-12-01 00:00:00", "2026-05-01 00:00:00"
 
 
-def _pre(s, d):
+def _pre(s, d, now: str = T2, before: str = T1):
     f = table(s, d, "files")
-    return precheck(state_at(f, T2), state_at(f, T1))
+    return precheck(state_at(f, now), state_at(f, before))
 
 
 def _merge(s, d):
@@ -122,12 +122,13 @@ def _hunks(s, d):
 
 
 _ST = "(SELECT path, content_hash, last_size, last_mtime_ns FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY indexed_at DESC, last_mtime_ns DESC NULLS LAST, last_size DESC NULLS LAST, content_hash DESC NULLS LAST) AS rn FROM files WHERE indexed_at <= TIMESTAMP '{t}' AND (deleted_at IS NULL OR deleted_at > TIMESTAMP '{t}')) WHERE rn = 1)"
-_PRE = f"WITH c AS {_ST.format(t=T2)}, t AS {_ST.format(t=T1)}, p AS (SELECT coalesce(c.path, t.path) AS path, CASE WHEN c.path IS NULL THEN 'stale' WHEN t.path IS NULL THEN 'new' WHEN t.last_size = c.last_size AND t.last_mtime_ns = c.last_mtime_ns THEN 'unchanged' WHEN t.content_hash = c.content_hash THEN 'metadata_refresh' ELSE 'changed' END AS status FROM c FULL JOIN t ON c.path = t.path) "
+_PRES = lambda now, before: f"WITH c AS {_ST.format(t=now)}, t AS {_ST.format(t=before)}, p AS (SELECT coalesce(c.path, t.path) AS path, CASE WHEN c.path IS NULL THEN 'stale' WHEN t.path IS NULL THEN 'new' WHEN t.last_size = c.last_size AND t.last_mtime_ns = c.last_mtime_ns THEN 'unchanged' WHEN t.content_hash = c.content_hash THEN 'metadata_refresh' ELSE 'changed' END AS status FROM c FULL JOIN t ON c.path = t.path) "
+_PRE = _PRES(T2, T1)
 _CH = f"WITH {SYM}, pa AS (SELECT DISTINCT file_path, length(file_path) % 5 AS n FROM sym), ch AS (SELECT * FROM (SELECT file_path, CASE n WHEN 0 THEN concat('./', file_path) WHEN 1 THEN concat('root/', file_path) ELSE file_path END AS path, CASE n WHEN 2 THEN 'deleted' WHEN 3 THEN 'renamed' ELSE 'modified' END AS status FROM pa) WHERE status <> 'deleted') "
 QUERIES = {
     "precheck_status": _pre,
     "precheck_summary": lambda s, d: _pre(s, d).groupBy("status").agg(F.count("*").alias("files")),
-    "stale_files": lambda s, d: _pre(s, d).filter("status = 'stale'").select("path"),
+    "stale_files": lambda s, d: _pre(s, d, T1, T0).filter("status = 'stale'").select("path"),
     "merge_upsert": lambda s, d: _merge(s, d).select("id", "name", "indexed_at"),
     "cascade_delete": _cascade,
     "overlay_versions": lambda s, d: _overlay(s, d).groupBy("doc").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("conflicts"), F.max("version").cast("long").alias("version")),
@@ -140,7 +141,7 @@ QUERIES = {
 ORACLES = {
     "precheck_status": _PRE + "SELECT * FROM p",
     "precheck_summary": _PRE + "SELECT status, count(*) AS files FROM p GROUP BY 1",
-    "stale_files": _PRE + "SELECT path FROM p WHERE status = 'stale'",
+    "stale_files": _PRES(T1, T0) + "SELECT path FROM p WHERE status = 'stale'",
     "merge_upsert": "SELECT id, name, indexed_at FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC, name DESC, file_path DESC) AS rn FROM symbols WHERE id IS NOT NULL) WHERE rn = 1",
     "cascade_delete": f"WITH {REFS_CTE}, {IMPORTS_CTE}, {TAGS_CTE}, gone AS (SELECT DISTINCT file_path AS p FROM bsym WHERE file_path LIKE '%brand_1_/m1.rs') SELECT 'symbols' AS name, count(*) AS left FROM bsym WHERE file_path NOT IN (SELECT p FROM gone) UNION ALL SELECT 'refs', count(*) FROM refs WHERE referenced_in_file NOT IN (SELECT p FROM gone) UNION ALL SELECT 'imports', count(*) FROM imports WHERE file_path NOT IN (SELECT p FROM gone) UNION ALL SELECT 'file_tags', count(*) FROM file_tags WHERE file_path NOT IN (SELECT p FROM gone)",
     "overlay_versions": "SELECT doc, count(*) FILTER (a) AS accepted, count(*) FILTER (NOT a) AS conflicts, max(version) AS version FROM (SELECT doc, version, coalesce(version > max(version) OVER (PARTITION BY doc ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS a FROM (SELECT user_id AS doc, event_id AS arrival, event_id * 7919 % 1000 AS version FROM events)) GROUP BY 1",
