@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from codeloom.sources.tables import materialise, table
 
-TRAIN_ROWS, SHINGLE, SIMILARITY, THRESHOLD = 20_000, 5, 0.8, 0.7
-FIRST_TREES, TREES, LIKELY, UNLIKELY, LEAF_SHARE, LIBRARY_BYTES = 20, 30, 0.8, 0.5, 0.01, 64_000_000
+TRAIN_ROWS, SHINGLE, SIMILARITY, THRESHOLD = 20_000, 5, 0.8, 0.75
+FIRST_TREES, TREES, LIKELY, UNLIKELY, LEAF_SHARE, LIBRARY_BYTES = 16, 24, 0.8, 0.5, 0.01, 64_000_000
 # Folders that hold third parties' code or generators' output, as whole steps of a path.
 VENDOR_STEPS = "node_modules bower_components jspm_packages third_party thirdparty third-party 3rdparty 3rd_party 3rd-party vendor vendored external externals extern Godeps site-packages dist-packages Pods Carthage".split()
 GENERATED_STEPS = "generated __generated__ _generated gen autogen auto-generated generated-sources generated-src generated_sources target build dist out".split()
@@ -174,6 +174,8 @@ class Library:
         self.size = np.bincount(text, minlength=len(items))
         order = np.argsort(h, kind="stable")
         self.hash, self.item = h[order], text[order]
+        self.low = np.zeros(1 << 22, bool)  # which low bits occur: most runs of other texts fail here
+        self.low[self.hash & (len(self.low) - 1)] = True
 
     def likeness(self, bodies: list[str]) -> np.ndarray:
         """The greatest Jaccard similarity of each text to an item; 0 below SIMILARITY, unless the text holds nearly all of
@@ -183,8 +185,9 @@ class Library:
         if not len(text) or not len(self.hash):
             return best
         # A text like an item shares more than 0.6 of its runs with it; only texts that share so many at all are compared.
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        enough = np.bincount(text, self.hash[at] == h, len(bodies)) >= 0.6 * self.size.min()
+        maybe = np.flatnonzero(self.low[h & (len(self.low) - 1)])
+        at = np.minimum(np.searchsorted(self.hash, h[maybe]), len(self.hash) - 1)
+        enough = np.bincount(text[maybe], self.hash[at] == h[maybe], len(bodies)) >= 0.6 * self.size.min()
         text, h = distinct(text[enough[text]], h[enough[text]])
         n = np.bincount(text, minlength=len(bodies))
         lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
@@ -246,7 +249,7 @@ def fit(labelled: DataFrame, train_rows: int, trees: int, seed: int = 7):
     part = F.pmod(F.xxhash64("body_id", F.lit(seed)), F.lit(1_000_000)) / 1e6
     sample = labelled.filter(part < F.when(F.col("label") == 1, keep[1.0]).otherwise(keep[0.0]))
     weight = F.when(F.col("label") == 1, 1.0 / max(1, count[1.0] * keep[1.0])).otherwise(1.0 / max(1, count[0.0] * keep[0.0])) * F.lit(float(min(train_rows, sum(count.values()))) / 2)
-    return RandomForestClassifier(numTrees=trees, maxDepth=7, minInstancesPerNode=max(3, int(LEAF_SHARE * min(train_rows, sum(count.values())))), seed=seed, labelCol="label", featuresCol="x", weightCol="w", featureSubsetStrategy="sqrt").fit(sample.select("x", "label", weight.alias("w")).coalesce(4))
+    return RandomForestClassifier(numTrees=trees, maxDepth=7, minInstancesPerNode=max(3, int(LEAF_SHARE * min(train_rows, sum(count.values())))), seed=seed, labelCol="label", featuresCol="x", weightCol="w", featureSubsetStrategy="sqrt").fit(sample.select("x", "label", weight.alias("w"), "body_id").repartition(4, "body_id").sortWithinPartitions("body_id").drop("body_id"))  # the same parts in the same order: the same forest
 
 
 def _out_of_fold(labelled: DataFrame, rows: DataFrame, train_rows: int, trees: int) -> DataFrame | None:
